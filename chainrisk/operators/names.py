@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainrisk.functions.text import base_name, name_tokens
 
@@ -35,8 +36,7 @@ TOP = 5
 SALT_ROWS = 20_000
 
 
-@F.pandas_udf("int")
-def common_subsequence(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def common_subsequence(left: Column | str, right: Column | str) -> Column:
     """Length of the longest common subsequence, one bit per character."""
 
     def length(a: str, b: str) -> int:
@@ -52,8 +52,13 @@ def common_subsequence(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator
             row = ((row + hit) | (row - hit)) & full
         return len(b) - row.bit_count()
 
-    for left, right in pairs:
-        yield pd.Series([length(a, b) for a, b in zip(left, right)], dtype="int32")
+    # Defined here, not at module level, so that tasks need no copy of the package.
+    @F.pandas_udf(T.IntegerType())
+    def lengths(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a_batch, b_batch in pairs:
+            yield pd.Series([length(a, b) for a, b in zip(a_batch, b_batch)], dtype="int32")
+
+    return lengths(left, right)
 
 
 def normalised_names(df: DataFrame, column: str) -> DataFrame:

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainrisk.functions import calendar as C
+from chainrisk.functions.text import base_name, words_of
+from chainrisk.functions.values import ratio
+from chainrisk.functions.windows import forward_fill, lead_by
 from chainrisk.operators import decline as DC
 from chainrisk.operators import degrees as DG
 from chainrisk.operators import graph as G
@@ -42,14 +45,17 @@ def query(spec: str, name: str | None = None) -> Callable[[Builder], Builder]:
 
 
 def shaped(df: DataFrame, spec: str) -> DataFrame:
-    """Select the spec's columns with its types; doubles to six places."""
+    """Select the spec's columns with its types; doubles to six places.
+
+    The small shift keeps exact ties such as 0.0000005 from rounding either way.
+    """
     kinds = {"l": "bigint", "d": "double", "s": "string", "t": "date"}
     out = []
     for item in spec.split():
         name, kind = item.split(":")
         col = F.col(name).cast(kinds[kind])
         if kind == "d":
-            col = F.round(col, 6) + F.lit(0.0)
+            col = F.round(col + F.lit(1e-9), 6) + F.lit(0.0)
         out.append(col.alias(name))
     return df.select(*out)
 
@@ -236,7 +242,7 @@ def lexicon_covid(i: Inputs) -> DataFrame:
     """Covid terms with their occurrences in the transcripts and documents."""
     texts = i["conversations"].select("text").unionAll(i["documents"].select("text"))
     counted = (
-        texts.select(F.explode(T.words_of("text")).alias("term"))
+        texts.select(F.explode(words_of("text")).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -382,14 +388,14 @@ def links_union(i: Inputs) -> DataFrame:
 @query("id:l base_a:s base_b:s")
 def name_normalise(i: Inputs) -> DataFrame:
     return i["fx_names"].select(
-        "id", N.base_name("name_a").alias("base_a"), N.base_name("name_b").alias("base_b")
+        "id", base_name("name_a").alias("base_a"), base_name("name_b").alias("base_b")
     )
 
 
 def _name_matches(i: Inputs) -> DataFrame:
     def build() -> DataFrame:
         names = i["fx_names"].select(
-            N.base_name("name_a").alias("name_a"), N.base_name("name_b").alias("name_b")
+            base_name("name_a").alias("name_a"), base_name("name_b").alias("name_b")
         )
         return stage(N.name_matches(names, "name_a", names, "name_b"), "name-matches")
 
@@ -634,7 +640,7 @@ def esg_firm_ffill(i: Inputs) -> DataFrame:
 
 @query("gvkey:l year:l quarter:l covid:d covid_filled:d")
 def ffill_panel(i: Inputs) -> DataFrame:
-    filled = DC.forward_fill("covid", ["gvkey"], ["year", "quarter"])
+    filled = forward_fill("covid", ["gvkey"], ["year", "quarter"])
     return _panel_scores(i).withColumn("covid_filled", filled)
 
 
@@ -899,9 +905,9 @@ def _account_panel(i: Inputs) -> DataFrame:
     return accounts.select(
         F.col("gvkey").alias("firm_gvkey"),
         C.index_of_date("datadate").alias("t"),
-        (M.ratio("niq", "atq") * 100).alias("roa"),
+        (ratio("niq", "atq") * 100).alias("roa"),
         F.log("saleq").alias("log_sale"),
-        (M.ratio("capxy", "saleq") * 100).alias("capx"),
+        (ratio("capxy", "saleq") * 100).alias("capx"),
     )
 
 
@@ -930,7 +936,7 @@ def _horizon_fits(i: Inputs) -> list[R.Fit]:
     panel = _account_panel(i)
     fits = []
     for n in YEAR_HORIZONS:
-        later = M.lead_by("roa", n, ["firm_gvkey"], ["t"])
+        later = lead_by("roa", n, ["firm_gvkey"], ["t"])
         fits.append(R.fit(panel.withColumn("roa", later), _panel_model(f"h{n}")))
     return fits
 
