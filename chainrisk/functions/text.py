@@ -33,13 +33,10 @@ def words_of(text: Column | str) -> Column:
 def bigrams_of(words: Column | str) -> Column:
     """Adjacent word pairs joined by a blank."""
     w = _c(words)
-    return F.when(
-        F.size(w) >= 2,
-        F.transform(
-            F.sequence(F.lit(1), F.size(w) - 1),
-            lambda i: F.concat(F.get(w, i - 1), F.lit(" "), F.get(w, i)),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    pairs = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(w, 1, pairs), F.slice(w, 2, pairs), lambda a, b: F.concat(a, F.lit(" "), b)
+    )
 
 
 def base_name(name: Column | str) -> Column:

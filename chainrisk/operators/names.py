@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainrisk.functions.text import base_name, name_tokens
+from chainrisk.sources.staging import stage
 
 CUTOFF = 90
 TOP = 5
@@ -67,7 +68,6 @@ def normalised_names(df: DataFrame, column: str) -> DataFrame:
 
 def _profile(names: DataFrame, column: str) -> DataFrame:
     """Distinct names with first letter, tokens and length of the token string."""
-    tokens = name_tokens(column)
     return (
         names.select(F.col(column).cast("string").alias("name"))
         .filter(F.col("name").isNotNull())
@@ -236,7 +236,8 @@ def name_matches(
     queries: DataFrame, query_column: str, candidates: DataFrame, candidate_column: str
 ) -> DataFrame:
     """All pairs of distinct names with equal first letter at or above the cutoff."""
-    a, b = _profile(queries, query_column), _profile(candidates, candidate_column)
+    a = stage(_profile(queries, query_column), "names-a")
+    b = stage(_profile(candidates, candidate_column), "names-b")
     return score_pairs(candidate_pairs(a, b), a, b)
 
 

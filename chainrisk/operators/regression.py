@@ -3,8 +3,8 @@
 The firm effect is removed by firm means and the time effect by regressing on
 time dummies, through their cross moments.  The number of time levels is set by
 the calendar, so those moments form a small matrix, and the demeaning is exact
-after two passes over the data, also for unbalanced panels.  Only matrices of
-size (time levels) and (regressors) reach the driver.
+after two passes over the data, also for unbalanced panels; there is no loop to
+converge.  Only matrices of size (time levels) and (regressors) reach the driver.
 """
 
 from __future__ import annotations
@@ -63,65 +63,70 @@ def student_p(t: float, df: float) -> float:
     return min(1.0, 2 * area / whole)
 
 
-def _effect_moments(rows: DataFrame, levels: Sequence, unit: str, time: str) -> np.ndarray:
-    """Sum over units of (time counts) x (time counts) / (unit size).
+def _time_levels(rows: DataFrame, time: str) -> list:
+    """Sorted levels of the time effect; the calendar bounds their number."""
+    found = rows.select(time).distinct().limit(MAX_TIME_LEVELS + 1).collect()
+    if len(found) > MAX_TIME_LEVELS:
+        raise ValueError(f"{time} has too many levels; absorb it as the unit instead")
+    return sorted(r[0] for r in found)
+
+
+def _time_moments(
+    rows: DataFrame, levels: Sequence, columns: Sequence[str], unit: str, time: str
+) -> tuple[np.ndarray, np.ndarray]:
+    """Cross moments of the time dummies, and with the columns, firm means removed.
 
-    A unit is one row of at most as many entries as there are time levels;
-    every task adds up its own matrix.
+    A unit is one row with at most as many cells as there are time levels.
+    Each task adds up its units; the tasks' small matrices are summed in Spark.
     """
     place = {level: i for i, level in enumerate(levels)}
-    size = len(levels)
-    cells = rows.groupBy(unit, time).agg(F.count(F.lit(1)).alias("n"))
+    size, width = len(levels), len(columns)
+    cells = rows.groupBy(unit, time).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in columns]).alias("sums")
+    )
     units = cells.groupBy(unit).agg(
-        F.collect_list(F.struct(F.col(time).alias("t"), "n")).alias("cells")
-    ).select("cells.t", "cells.n")
+        F.collect_list(F.struct(F.col(time).alias("t"), "n", "sums")).alias("cells")
+    ).select("cells.t", "cells.n", F.flatten("cells.sums").alias("sums"))
 
     def add_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size))
+        gram, cross = np.zeros((size, size)), np.zeros((size, width))
         for batch in batches:
             counts = np.zeros((len(batch), size))
-            for i, (times, n) in enumerate(zip(batch["t"], batch["n"])):
-                counts[i, [place[t] for t in times]] = n
-            total += counts.T @ (counts / counts.sum(axis=1, keepdims=True))
-        yield pd.DataFrame({"i": range(size), "row": list(total)})
+            sums = np.zeros((len(batch), size, width))
+            for i, (times, n, flat) in enumerate(zip(batch["t"], batch["n"], batch["sums"])):
+                at = [place[t] for t in times]
+                counts[i, at] = n
+                sums[i, at] = np.asarray(flat).reshape(len(at), width)
+            total = counts.sum(axis=1, keepdims=True)
+            gram += np.diag(counts.sum(axis=0)) - counts.T @ (counts / total)
+            cross += sums.sum(axis=0) - counts.T @ (sums.sum(axis=1) / total)
+        yield pd.DataFrame({"i": range(size), "row": list(np.hstack([gram, cross]))})
 
     parts = units.mapInPandas(add_up, "i int, row array<double>")
-    out = np.zeros((size, size))
-    summed = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    summed = (
+        parts.select("i", F.posexplode("row").alias("j", "v"))
+        .groupBy("i", "j")
+        .agg(F.sum("v").alias("v"))
+    )
+    out = np.zeros((size, size + width))
     for r in summed.collect():
         out[r["i"], r["j"]] = r["v"]
-    return out
+    return out[:, :size], out[:, size:]
 
 
-def demean(rows: DataFrame, columns: Sequence[str], unit: str, time: str) -> DataFrame:
+def demean(
+    rows: DataFrame, levels: Sequence, columns: Sequence[str], unit: str, time: str
+) -> DataFrame:
     """Columns with both effects removed, named as before; keys are kept."""
-    spark = rows.sparkSession
-    by_time = rows.groupBy(time).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in columns]
-    ).orderBy(time).limit(MAX_TIME_LEVELS + 1).collect()
-    levels = [r[time] for r in by_time]
-    if len(levels) > MAX_TIME_LEVELS:
-        raise ValueError(f"{time} has too many levels; absorb it as the unit instead")
-    unit_mean = rows.groupBy(unit).agg(*[F.avg(c).alias(f"{c}_mean") for c in columns])
-    from_units = (
-        rows.groupBy(unit, time).agg(F.count(F.lit(1)).alias("n"))
-        .join(unit_mean, unit)
-        .groupBy(time)
-        .agg(*[F.sum(F.col("n") * F.col(f"{c}_mean")).alias(c) for c in columns])
-    )
-    expected = {r[time]: [r[c] for c in columns] for r in from_units.collect()}
-    cross = np.array([[r[c] for c in columns] for r in by_time]) - np.array(
-        [expected[level] for level in levels]
-    )
-    gram = np.diag([float(r["n"]) for r in by_time]) - _effect_moments(rows, levels, unit, time)
-    effects = np.linalg.pinv(gram, hermitian=True) @ cross
-    effect_table = spark.createDataFrame(
-        pd.DataFrame(effects, columns=[f"{c}_effect" for c in columns]).assign(**{time: levels}),
-        ", ".join([f"{c}_effect double" for c in columns] + [f"{time} {dict(rows.dtypes)[time]}"]),
+    gram, cross = _time_moments(rows, levels, columns, unit, time)
+    # The dummies sum to one, so the moments are singular: cut that direction.
+    effects = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ cross
+    table = pd.DataFrame(effects, columns=[f"{c}_effect" for c in columns]).assign(**{time: levels})
+    schema = [f"{c}_effect double" for c in columns] + [f"{time} {dict(rows.dtypes)[time]}"]
+    effect_table = rows.sparkSession.createDataFrame(table, ", ".join(schema))
+    adjusted = rows.join(effect_table, time).select(
+        unit, time, *[(F.col(c) - F.col(f"{c}_effect")).alias(c) for c in columns]
     )
-    adjusted = rows.join(effect_table, time).withColumns(
-        {c: F.col(c) - F.col(f"{c}_effect") for c in columns}
-    ).drop(*[f"{c}_effect" for c in columns])
     means = adjusted.groupBy(unit).agg(*[F.avg(c).alias(f"{c}_mean") for c in columns])
     return adjusted.join(means, unit).select(
         unit, time, *[(F.col(c) - F.col(f"{c}_mean")).alias(c) for c in columns]
@@ -175,16 +180,16 @@ def fit(data: DataFrame, model: Model) -> Fit:
         F.count(F.lit(1)).alias("n"),
         F.count_distinct(unit).alias("units"),
         F.var_pop(model.outcome).alias("variance"),
+        *[F.sum(F.col(x) * F.col(x)).alias(f"raw_{x}") for x in xs],
     ).first()
     n = shape["n"]
     if n == 0:
         return Fit(model, nothing, nothing, nothing, nothing, 0, 0, 0, 0, np.nan, np.nan)
-    flat = stage(demean(rows, columns, unit, time), "panel-demeaned")
+    levels = _time_levels(rows, time)
+    flat = stage(demean(rows, levels, columns, unit, time), "panel-demeaned")
     whole = _matrix(flat.agg(*_gram_columns([*xs, model.outcome])).first(), k + 1)
     scale = np.diag(whole)[:k]
-    raw = rows.agg(*[F.sum(F.col(x) * F.col(x)).alias(x) for x in xs]).first()
-    varying = np.array([scale[i] > COLLINEAR * max(raw[x] or 0.0, 1e-300) for i, x in enumerate(xs)])
-    usable = [i for i in range(k) if varying[i]]
+    usable = [i for i, x in enumerate(xs) if scale[i] > COLLINEAR * shape[f"raw_{x}"]]
     kept = [usable[i] for i in _independent(whole[np.ix_(usable, usable)])] if usable else []
 
     estimate, error = nothing.copy(), nothing.copy()
@@ -197,14 +202,12 @@ def fit(data: DataFrame, model: Model) -> Fit:
     for b, x in zip(beta, terms):
         residual = residual - F.lit(float(b)) * F.col(x)
     scored = flat.select(
-        unit,
-        time,
-        (residual * residual).alias("_e2"),
-        *[(residual * F.col(x)).alias(f"_s{i}") for i, x in enumerate(terms)],
+        unit, time, *[(residual * F.col(x)).alias(f"_s{i}") for i, x in enumerate(terms)]
     )
-    periods = flat.select(time).distinct().count()
-    ssr = scored.agg(F.sum("_e2").alias("ssr")).first()["ssr"]
-    df = n - (len(kept) + shape["units"] + periods - 1)
+    direction = np.zeros(k + 1)
+    direction[kept], direction[k] = -beta, 1.0
+    ssr = max(float(direction @ whole @ direction), 0.0)
+    df = n - (len(kept) + shape["units"] + len(levels) - 1)
 
     if kept and df > 0:
         names = [f"_s{i}" for i in range(len(kept))]
@@ -226,7 +229,7 @@ def fit(data: DataFrame, model: Model) -> Fit:
     p = np.array([student_p(v, df) for v in t])
     total, within = shape["variance"] * n, whole[k, k]
     return Fit(
-        model, estimate, error, t, p, n, shape["units"], periods, df,
+        model, estimate, error, t, p, n, shape["units"], len(levels), df,
         1 - ssr / total if total > 0 else np.nan,
         1 - ssr / within if within > 0 else np.nan,
     )
