@@ -11,8 +11,8 @@ can reach the cutoff ``c`` in two ways, and each has an exact filter:
   token.
 * *near spelling*: the full strings differ by at most ``D`` inserted or deleted
   characters, and ``D`` is bounded by the name's own length.  One edit breaks
-  at most ``q`` of its q-grams, so among its ``q * D + 1`` rarest q-grams one
-  survives in the other name, whose length is close.
+  at most ``q`` of its q-grams, so among its ``q * D + m`` rarest q-grams ``m``
+  survive in the other name, whose length is close.
 
 Both become equi-joins on a rare key.  Keys that are frequent all the same are
 salted by their counted frequency.
@@ -34,6 +34,9 @@ from chainrisk.sources.staging import stage
 
 CUTOFF = 90
 TOP = 5
+LEAST = (CUTOFF - 0.5) / 100  # smallest unrounded similarity that rounds to the cutoff
+GRAM_SIZES = (1, 2, 3)
+SHARED_GRAMS = 3  # q-grams a near pair must share, if the name has that many to spare
 SALT_ROWS = 20_000
 
 
@@ -101,31 +104,20 @@ def _frequency(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("letter", "key").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _rarest(keyed: DataFrame, frequency: DataFrame, weight: Column, allowed: Column) -> DataFrame:
-    """Keys of a name in order of rarity until their weight exceeds ``allowed``."""
-    order = W.partitionBy("name").orderBy("df", "key", "nr").rowsBetween(W.unboundedPreceding, -1)
-    return (
-        keyed.join(frequency, ["letter", "key"])
-        .withColumn("before", F.coalesce(F.sum(weight).over(order), F.lit(0)))
-        .filter(F.col("before") <= allowed)
-        .select("name", "letter", "key", "len", "df")
-        .distinct()
-    )
-
-
 def _salted_join(few: DataFrame, many: DataFrame, frequency: DataFrame, close: bool) -> DataFrame:
     """Join names on (letter, key); ``few`` is repeated per salt of a hot key.
 
     ``close`` also asks for similar lengths, through a logarithmic bucket.
     """
-    salts = F.ceil(F.col("df") / SALT_ROWS).cast("int")
-    step = math.log(1 + (200 - 2 * (CUTOFF - 0.5)) / (CUTOFF - 0.5)) + 1e-6
+    salts = F.ceil(F.greatest("df", F.lit(1)) / SALT_ROWS).cast("int")
+    step = math.log((2 - LEAST) / LEAST) + 1e-6  # two lengths that still reach the cutoff
     bucket = F.floor(F.log("len") / step) if close else F.lit(0)
     spread = F.array(bucket - 1, bucket, bucket + 1) if close else F.array(bucket)
     left = (
         few.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .withColumn("bucket", F.explode(spread))
-        .select("letter", "key", "salt", "bucket", F.col("name").alias("few_name"))
+        .withColumnRenamed("name", "few_name")
+        .drop("len", "df")
     )
     right = (
         many.select("letter", "key", "name", "len")
@@ -139,62 +131,87 @@ def _salted_join(few: DataFrame, many: DataFrame, frequency: DataFrame, close: b
             F.col("name").alias("many_name"),
         )
     )
-    return left.join(right, ["letter", "key", "salt", "bucket"]).select("few_name", "many_name")
+    return left.join(right, ["letter", "key", "salt", "bucket"])
 
 
-def candidate_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every pair (name_a, name_b) that can reach the cutoff, and few others."""
-    least = (CUTOFF - 0.5) / 100
-    missing = 2 * (1 - least) / (2 - least)  # part of a covered name that may be absent
-    edits = (1 - least) * (1 + (2 - least) / least)  # edits per character of one name
-
-    def keyed(df: DataFrame, keys: Column) -> DataFrame:
-        return df.select("name", "letter", "len", F.posexplode(keys).alias("nr", "key"))
-
-    a_tokens, b_tokens = keyed(queries, F.col("tokens")), keyed(candidates, F.col("tokens"))
-    token_df = _frequency(a_tokens.unionAll(b_tokens))
-    weight, allowed = F.length("key") + 1, F.col("len") * missing + 1e-6
-    a_rare = _rarest(a_tokens, token_df, weight, allowed)
-    b_rare = _rarest(b_tokens, token_df, weight, allowed)
-    covered_a = _salted_join(a_rare, b_tokens, token_df, close=False)
-    covered_b = _salted_join(b_rare, a_tokens, token_df, close=False)
-
-    budget = F.floor(F.col("len") * edits + 1e-6)
-    enough = F.size(_grams(2)) > budget * 2
-    q = F.when(enough, 2).otherwise(1)
-    a_grams = queries.withColumn("q", q).select(
-        "name",
-        "letter",
-        "len",
-        "q",
-        F.posexplode(F.when(F.col("q") == 2, _grams(2)).otherwise(_grams(1))).alias("nr", "key"),
+def _covered_pairs(covered: DataFrame, other: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Pairs in which the shared tokens may make up enough of the ``covered`` name.
+
+    Its tokens are taken in order of rarity until their weight exceeds what may
+    be missing: one of them must be shared.
+    """
+    missing = 2 * (1 - LEAST) / (2 - LEAST)
+    order = W.partitionBy("name").orderBy("df", "key").rowsBetween(W.unboundedPreceding, -1)
+    rare = (
+        covered.join(frequency, ["letter", "key"])
+        .withColumn("before", F.coalesce(F.sum(F.length("key") + 1).over(order), F.lit(0)))
+        .filter(F.col("before") <= F.col("len") * missing + 1e-6)
+        .select("name", "letter", "key", "len", "df")
     )
-    b_grams = keyed(candidates, F.array_distinct(F.concat(_grams(1), _grams(2))))
-    gram_df = _frequency(b_grams)
-    a_rare_grams = _rarest(a_grams, gram_df_with_absent(a_grams, gram_df), F.lit(1), budget_by(edits))
-    near = _salted_join(a_rare_grams, b_grams, gram_df, close=True)
+    return _salted_join(rare, other, frequency, close=False).select("few_name", "many_name")
+
 
-    def named(df: DataFrame, a: str, b: str) -> DataFrame:
-        return df.select(F.col(a).alias("name_a"), F.col(b).alias("name_b"))
+def _near_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pairs of similar length that share enough rare q-grams.
 
+    Of the ``q * D + m`` rarest q-grams of a query at least ``m`` survive ``D``
+    edits.  Every valid ``q`` is exact, so each query takes the one whose grams
+    occur least often among the candidates.
+    """
+    edits = F.floor(F.col("len") * ((1 - LEAST) * (1 + (2 - LEAST) / LEAST)) + 1e-6)
+    sized = [F.struct(F.lit(q).alias("q"), _grams(q).alias("grams")) for q in GRAM_SIZES]
+    offers = (
+        queries.select("name", "letter", "len", edits.alias("edits"), F.explode(F.array(*sized)).alias("g"))
+        .select("name", "letter", "len", "g.q", "g.grams", (F.col("g.q") * F.col("edits")).alias("broken"))
+        .filter(F.size("grams") > F.col("broken"))
+        .withColumn("need", F.least(F.lit(SHARED_GRAMS), F.size("grams") - F.col("broken")))
+        .select("name", "letter", "len", "q", "broken", "need", F.explode("grams").alias("key"))
+    )
+    grams = candidates.select(
+        "name", "letter", "len",
+        F.explode(F.array_distinct(F.concat(*[_grams(q) for q in GRAM_SIZES]))).alias("key"),
+    )
+    frequency = _frequency(grams)
+    order = W.partitionBy("name", "q").orderBy("df", "key")
+    rare = (
+        offers.join(frequency, ["letter", "key"], "left")
+        .fillna(0, ["df"])  # a gram that no candidate has is the rarest
+        .withColumn("nr", F.row_number().over(order))
+        .filter(F.col("nr") <= F.col("broken") + F.col("need"))
+        .groupBy("name", "letter", "len", "q", "need", "key")
+        .agg(F.count(F.lit(1)).alias("times"), F.max("df").alias("df"))
+        .withColumn("cost", F.sum("df").over(W.partitionBy("name", "q")))
+        .withColumn("best", F.min(F.struct("cost", "q")).over(W.partitionBy("name")))
+        .filter(F.col("q") == F.col("best.q"))
+        .select("name", "letter", "len", "need", "key", "times", "df")
+    )
     return (
-        named(covered_a, "few_name", "many_name")
-        .unionAll(named(covered_b, "many_name", "few_name"))
-        .unionAll(named(near, "few_name", "many_name"))
-        .distinct()
+        _salted_join(rare, grams, frequency, close=True)
+        .groupBy("few_name", "many_name")
+        .agg(F.sum("times").alias("shared"), F.max("need").alias("need"))
+        .filter(F.col("shared") >= F.col("need"))
+        .select("few_name", "many_name")
     )
 
 
-def budget_by(edits: float) -> Column:
-    """Weight of q-grams that the allowed edits can break."""
-    q = F.substring_index("key", ":", 1).cast("int")
-    return F.floor(F.col("len") * edits + 1e-6) * q
+def candidate_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every pair (name_a, name_b) that can reach the cutoff, and few others."""
+
+    def tokens(df: DataFrame) -> DataFrame:
+        return df.select("name", "letter", "len", F.explode("tokens").alias("key"))
+
+    a, b = tokens(queries), tokens(candidates)
+    frequency = _frequency(a.unionAll(b))
 
+    def named(df: DataFrame, first: str, second: str) -> DataFrame:
+        return df.select(F.col(first).alias("name_a"), F.col(second).alias("name_b"))
 
-def gram_df_with_absent(wanted: DataFrame, known: DataFrame) -> DataFrame:
-    """Frequencies for all wanted keys; a key no candidate has is the rarest."""
-    keys = wanted.select("letter", "key").distinct()
-    return keys.join(known, ["letter", "key"], "left").fillna(0, ["df"])
+    return (
+        named(_covered_pairs(a, b, frequency), "few_name", "many_name")
+        .unionAll(named(_covered_pairs(b, a, frequency), "many_name", "few_name"))
+        .unionAll(named(_near_pairs(queries, candidates), "few_name", "many_name"))
+        .distinct()
+    )
 
 
 def score_pairs(pairs: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ converge.  Only matrices of size (time levels) and (regressors) reach the driver
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,18 +125,18 @@ def demean(
     table = pd.DataFrame(effects, columns=[f"{c}_effect" for c in columns]).assign(**{time: levels})
     schema = [f"{c}_effect double" for c in columns] + [f"{time} {dict(rows.dtypes)[time]}"]
     effect_table = rows.sparkSession.createDataFrame(table, ", ".join(schema))
-    adjusted = rows.join(effect_table, time).select(
-        unit, time, *[(F.col(c) - F.col(f"{c}_effect")).alias(c) for c in columns]
+    adjusted = rows.join(effect_table, time).selectExpr(
+        unit, time, *[f"`{c}` - `{c}_effect` AS `{c}`" for c in columns]
     )
-    means = adjusted.groupBy(unit).agg(*[F.avg(c).alias(f"{c}_mean") for c in columns])
-    return adjusted.join(means, unit).select(
-        unit, time, *[(F.col(c) - F.col(f"{c}_mean")).alias(c) for c in columns]
+    means = adjusted.groupBy(unit).agg(*[F.expr(f"avg(`{c}`) AS `{c}_mean`") for c in columns])
+    return adjusted.join(means, unit).selectExpr(
+        unit, time, *[f"`{c}` - `{c}_mean` AS `{c}`" for c in columns]
     )
 
 
 def _gram_columns(columns: Sequence[str]) -> list[Column]:
     return [
-        F.sum(F.col(a) * F.col(b)).alias(f"g_{i}_{j}")
+        F.expr(f"sum(`{a}` * `{b}`) AS g_{i}_{j}")
         for i, a in enumerate(columns)
         for j, b in enumerate(columns)
         if i <= j
@@ -166,21 +167,24 @@ def _independent(gram: np.ndarray) -> list[int]:
     return kept
 
 
-def fit(data: DataFrame, model: Model) -> Fit:
-    """Estimate one model; collinear regressors get NaN."""
+def fit(data: DataFrame, model: Model, staged: bool = False) -> Fit:
+    """Estimate one model; collinear regressors get NaN.
+
+    The rows are read several times: they are written once first, unless the
+    caller says that ``data`` is a plain scan already (``staged``).
+    """
     unit, time, xs = model.unit, model.time, list(model.regressors)
     columns = [model.outcome, *xs]
-    rows = stage(
-        data.select(unit, time, *[F.col(c).cast("double").alias(c) for c in columns]).dropna("any"),
-        "panel-rows",
-    )
+    rows = data.selectExpr(unit, time, *[f"double(`{c}`) AS `{c}`" for c in columns]).dropna("any")
+    if not staged:
+        rows = stage(rows, "panel-rows")
     k = len(xs)
     nothing = np.full(k, np.nan)
     shape = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct(unit).alias("units"),
         F.var_pop(model.outcome).alias("variance"),
-        *[F.sum(F.col(x) * F.col(x)).alias(f"raw_{x}") for x in xs],
+        *[F.expr(f"sum(`{x}` * `{x}`) AS raw_{x}") for x in xs],
     ).first()
     n = shape["n"]
     if n == 0:
@@ -198,11 +202,11 @@ def fit(data: DataFrame, model: Model) -> Fit:
     estimate[kept] = beta
     terms = [xs[i] for i in kept]
 
-    residual = F.col(model.outcome)
-    for b, x in zip(beta, terms):
-        residual = residual - F.lit(float(b)) * F.col(x)
-    scored = flat.select(
-        unit, time, *[(residual * F.col(x)).alias(f"_s{i}") for i, x in enumerate(terms)]
+    residual = " - ".join(
+        [f"`{model.outcome}`", *[f"({float(b)!r}D * `{x}`)" for b, x in zip(beta, terms)]]
+    )
+    scored = flat.selectExpr(unit, time, *terms, f"{residual} AS _e").selectExpr(
+        unit, time, *[f"`{x}` * _e AS _s{i}" for i, x in enumerate(terms)]
     )
     direction = np.zeros(k + 1)
     direction[kept], direction[k] = -beta, 1.0
@@ -235,6 +239,16 @@ def fit(data: DataFrame, model: Model) -> Fit:
     )
 
 
+def fit_all(jobs: Sequence[Callable[[], Sequence[Fit]]], at_once: int = 4) -> list[Fit]:
+    """Run independent estimations side by side; results keep the given order.
+
+    One fit is a chain of small jobs, so a few of them together keep the
+    executors busy.
+    """
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f for fits in pool.map(lambda job: job(), jobs) for f in fits]
+
+
 def _plain(value: float) -> float | None:
     return None if value is None or not math.isfinite(value) else float(value)
 

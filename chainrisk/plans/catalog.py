@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -933,12 +934,13 @@ def felm_clustered_se(i: Inputs) -> DataFrame:
 
 
 def _horizon_fits(i: Inputs) -> list[R.Fit]:
-    panel = _account_panel(i)
-    fits = []
-    for n in YEAR_HORIZONS:
+    panel = stage(_account_panel(i), "account-panel")
+
+    def one(n: int) -> list[R.Fit]:
         later = lead_by("roa", n, ["firm_gvkey"], ["t"])
-        fits.append(R.fit(panel.withColumn("roa", later), _panel_model(f"h{n}")))
-    return fits
+        return [R.fit(panel.withColumn("roa", later), _panel_model(f"h{n}"))]
+
+    return R.fit_all([partial(one, n) for n in YEAR_HORIZONS])
 
 
 @query("model:s term:s estimate:d se:d t:d n:l units:l periods:l r2:d r2_within:d")
@@ -956,31 +958,34 @@ def _model_pair(sample: DataFrame, name: str, full_time: str, first_time: str) -
     rows = stage(M.model_columns(sample), "model-rows")
     controls = tuple(M.CONTROLS)
     return [
-        R.fit(rows, R.Model(f"{name}-all", "excess_return", (*M.ALL_FLAGS, *controls), time=full_time)),
-        R.fit(rows, R.Model(f"{name}-first", "excess_return", (*M.FIRST_FLAGS, *controls), time=first_time)),
+        R.fit(rows, R.Model(f"{name}-all", "excess_return", (*M.ALL_FLAGS, *controls), time=full_time), True),
+        R.fit(rows, R.Model(f"{name}-first", "excess_return", (*M.FIRST_FLAGS, *controls), time=first_time), True),
     ]
 
 
 @query(MODEL_SPEC)
 def felm_annual_models(i: Inputs) -> DataFrame:
-    fits: list[R.Fit] = []
-    for n in YEAR_HORIZONS:
-        fits += _model_pair(_sample_year(i, n), f"year{n}", "year", "year")
-    return R.model_table(i.spark, fits)
+    _linked_year(i)
+
+    def one(n: int) -> list[R.Fit]:
+        return _model_pair(_sample_year(i, n), f"year{n}", "year", "year")
+
+    return R.model_table(i.spark, R.fit_all([partial(one, n) for n in YEAR_HORIZONS]))
 
 
 def _quarter_models(i: Inputs, kind: str, excess: Callable[[int], DataFrame]) -> DataFrame:
-    fits: list[R.Fit] = []
-    for n in QUARTER_HORIZONS:
+    _linked_quarter(i)
+
+    def one(n: int) -> list[R.Fit]:
         sample = _sample_quarter(i, excess(n)).withColumn(
             "year_quarter", C.period_label("year", "quarter")
         )
         # The first-degree model of horizon 1 and every cumulative one absorb the year.
         yearly = kind == "cumulative" or n == 1
-        fits += _model_pair(
-            sample, f"{kind}{n}", "year_quarter", "year" if yearly else "year_quarter"
-        )
-    return R.model_table(i.spark, fits)
+        first_time = "year" if yearly else "year_quarter"
+        return _model_pair(sample, f"{kind}{n}", "year_quarter", first_time)
+
+    return R.model_table(i.spark, R.fit_all([partial(one, n) for n in QUARTER_HORIZONS]))
 
 
 @query(MODEL_SPEC)
