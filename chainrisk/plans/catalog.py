@@ -134,8 +134,8 @@ def _edges(i: Inputs) -> DataFrame:
     return G.graph_edges(_links(i))
 
 
-def _paths(i: Inputs) -> G.ShortestPaths:
-    return shared(i, "paths", lambda: G.shortest_paths(_edges(i)))
+def _search(i: Inputs) -> G.Search:
+    return shared(i, "search", lambda: G.search_all(_edges(i)))
 
 
 def _exposure(i: Inputs) -> DataFrame:
@@ -716,17 +716,17 @@ def degree_centrality(i: Inputs) -> DataFrame:
 
 @query("year:l quarter:l node:l closeness_centrality:d")
 def closeness_centrality(i: Inputs) -> DataFrame:
-    return G.closeness_centrality(_paths(i))
+    return G.closeness_centrality(_search(i))
 
 
 @query("year:l quarter:l node:l betweenness_centrality:d")
 def betweenness_centrality(i: Inputs) -> DataFrame:
-    return G.betweenness_centrality(_paths(i))
+    return G.betweenness_centrality(_search(i))
 
 
 @query("year:l quarter:l node:l degree_centrality:d betweenness_centrality:d closeness_centrality:d")
 def centrality_table(i: Inputs) -> DataFrame:
-    return G.centrality_table(_edges(i), _paths(i))
+    return G.centrality_table(_edges(i), _search(i))
 
 
 @query("year:l quarter:l node:l exposure:d")
