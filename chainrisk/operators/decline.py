@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from chainrisk.functions.calendar import quarter_index
 from chainrisk.functions.values import nan_to_null
 from chainrisk.functions.windows import forward_fill, lagged
+from chainrisk.sources.staging import stage
 
 LINK = ["side", "degree", "firm_gvkey", "partner_gvkey"]
 
@@ -64,9 +65,11 @@ def environmental_scores_by_year(trucost: DataFrame, companies: DataFrame) -> Da
 
 
 def _by_period(scores: DataFrame, period: Column, key: str) -> DataFrame:
-    return scores.select(
+    """Distinct scores per firm and period, staged because several joins read them."""
+    own = scores.select(
         F.col("gvkey").alias(key), period.alias("t"), F.col("scorevalue").alias("score")
-    ).distinct()
+    )
+    return stage(own.distinct(), "scores-by-period")
 
 
 def _top(by_period: DataFrame, key: str, name: str, shift: int = 0) -> DataFrame:
@@ -174,23 +177,31 @@ def with_decline_rate(declines: DataFrame) -> DataFrame:
 def decline_rate_summary(declines: DataFrame) -> DataFrame:
     """Mean over quarters of mean, deviation, quartiles and median of the rates.
 
-    Quantiles work on the frequency of each distinct rate, so that the size of
-    a quarter's state follows the number of different rates, not of firms.
+    All statistics work on the frequency of each distinct rate, so that the state
+    of a quarter follows the number of different rates, not of firms.
     """
-    rates = firm_decline_rate(declines)
     by = ["side", "degree", "year", "quarter"]
-    weighted = rates.groupBy(*by, "decline_rate").agg(F.count(F.lit(1)).alias("w"))
-    quantile = [
-        F.expr(f"percentile(decline_rate, {p}, w)").alias(name)
-        for name, p in (("q25", "0.25D"), ("q75", "0.75D"), ("median", "0.5D"))
+    rate, w = F.col("decline_rate"), F.col("w")
+    weighted = firm_decline_rate(declines).groupBy(*by, "decline_rate").agg(
+        F.count(F.lit(1)).alias("w")
+    )
+    quantiles = [
+        F.expr(f"percentile(decline_rate, {p}D, w)").alias(name)
+        for name, p in (("q25", 0.25), ("q75", 0.75), ("median", 0.5))
     ]
-    quantiles = weighted.groupBy(*by).agg(*quantile)
-    moments = rates.groupBy(*by).agg(
-        F.avg("decline_rate").alias("mean"), F.stddev_samp("decline_rate").alias("std")
+    periods = weighted.groupBy(*by).agg(
+        F.sum(w).alias("n"), F.sum(rate * w).alias("s1"), F.sum(rate * rate * w).alias("s2"), *quantiles
     )
+    spread = F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0))
+    moments = {
+        "mean": F.col("s1") / F.col("n"),
+        "std": F.sqrt(F.try_divide(spread, F.col("n") - 1)),
+    }
     names = ["mean", "std", "q25", "q75", "median"]
-    return moments.join(quantiles, by).groupBy("side", "degree").agg(
-        *[F.avg(c).alias(c) for c in names]
+    return (
+        periods.withColumns(moments)
+        .groupBy("side", "degree")
+        .agg(*[F.avg(c).alias(c) for c in names])
     )
 
 

@@ -256,25 +256,38 @@ def compound_returns(portfolio: DataFrame, period: Sequence[str]) -> DataFrame:
     )
 
 
-def excess_return_lead(portfolio: DataFrame, period: Sequence[str], ahead: int) -> DataFrame:
-    """Excess return ``ahead`` rows later in the security's own order."""
+def _by_horizon(df: DataFrame, period: Sequence[str], values: dict[int, Column]) -> DataFrame:
+    """One row per horizon that has a value; all horizons share one window pass."""
+    offers = F.array(
+        *[F.struct(F.lit(n).alias("horizon"), v.alias("excess_return")) for n, v in values.items()]
+    )
+    return (
+        df.select("permno", *period, offers.alias("offers"))
+        .select("permno", *period, F.explode("offers").alias("o"))
+        .select("o.horizon", "permno", *period, "o.excess_return")
+        .dropna("any")
+    )
+
+
+def excess_return_leads(
+    portfolio: DataFrame, period: Sequence[str], horizons: Sequence[int]
+) -> DataFrame:
+    """Excess return so many rows later in the security's own order, per horizon."""
     excess = compound_returns(portfolio, period).withColumn(
         "excess", F.col("ret") - F.col("port_ret")
     )
-    later = lead_by("excess", ahead, ["permno"], list(period))
-    return excess.select("permno", *period, later.alias("excess_return")).dropna("any")
+    later = {n: lead_by("excess", n, ["permno"], list(period)) for n in horizons}
+    return _by_horizon(excess, period, later)
 
 
-def excess_return_cumulative(portfolio: DataFrame, quarters: int) -> DataFrame:
-    """Excess of the gross returns compounded over ``quarters`` from the row on."""
-    gross = compound_returns(portfolio, QUARTERLY)
+def excess_return_cumulative(portfolio: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """Excess of the gross returns compounded over the next quarters, per horizon."""
 
-    def rolled(c: str) -> Column:
-        return rolling_product(c, quarters, ["permno"], QUARTERLY, leading=True)
+    def rolled(c: str, n: int) -> Column:
+        return rolling_product(c, n, ["permno"], QUARTERLY, leading=True)
 
-    return gross.select(
-        "permno", *QUARTERLY, (rolled("ret") - rolled("port_ret")).alias("excess_return")
-    ).dropna("any")
+    ahead = {n: rolled("ret", n) - rolled("port_ret", n) for n in horizons}
+    return _by_horizon(compound_returns(portfolio, QUARTERLY), QUARTERLY, ahead)
 
 
 # -- regression sample -------------------------------------------------------

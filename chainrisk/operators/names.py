@@ -11,8 +11,9 @@ can reach the cutoff ``c`` in two ways, and each has an exact filter:
   token.
 * *near spelling*: the full strings differ by at most ``D`` inserted or deleted
   characters, and ``D`` is bounded by the name's own length.  One edit breaks
-  at most ``q`` of its q-grams, so among its ``q * D + m`` rarest q-grams ``m``
-  survive in the other name, whose length is close.
+  at most ``q`` of its q-grams, so among its ``q * D + 1`` rarest q-grams one
+  survives in the other name, whose length is close.  Counting all surviving
+  q-grams then removes most pairs before they are scored.
 
 Both become equi-joins on a rare key.  Keys that are frequent all the same are
 salted by their counted frequency.
@@ -35,8 +36,8 @@ from chainrisk.sources.staging import stage
 CUTOFF = 90
 TOP = 5
 LEAST = (CUTOFF - 0.5) / 100  # smallest unrounded similarity that rounds to the cutoff
-GRAM_SIZES = (1, 2, 3)
-SHARED_GRAMS = 3  # q-grams a near pair must share, if the name has that many to spare
+GRAM_SIZES = (1, 2, 3)  # lengths offered for the joins
+COUNTED_GRAMS = (1, 2)  # lengths counted before a pair is scored
 SALT_ROWS = 20_000
 
 
@@ -152,11 +153,11 @@ def _covered_pairs(covered: DataFrame, other: DataFrame, frequency: DataFrame) -
 
 
 def _near_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Pairs of similar length that share enough rare q-grams.
+    """Pairs of similar length that share a rare q-gram.
 
-    Of the ``q * D + m`` rarest q-grams of a query at least ``m`` survive ``D``
-    edits.  Every valid ``q`` is exact, so each query takes the one whose grams
-    occur least often among the candidates.
+    Of the ``q * D + 1`` rarest q-grams of a query one survives ``D`` edits.
+    Every ``q`` for which the query has that many is exact, so each query takes
+    the one whose grams occur least often among the candidates.
     """
     edits = F.floor(F.col("len") * ((1 - LEAST) * (1 + (2 - LEAST) / LEAST)) + 1e-6)
     sized = [F.struct(F.lit(q).alias("q"), _grams(q).alias("grams")) for q in GRAM_SIZES]
@@ -164,8 +165,7 @@ def _near_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
         queries.select("name", "letter", "len", edits.alias("edits"), F.explode(F.array(*sized)).alias("g"))
         .select("name", "letter", "len", "g.q", "g.grams", (F.col("g.q") * F.col("edits")).alias("broken"))
         .filter(F.size("grams") > F.col("broken"))
-        .withColumn("need", F.least(F.lit(SHARED_GRAMS), F.size("grams") - F.col("broken")))
-        .select("name", "letter", "len", "q", "broken", "need", F.explode("grams").alias("key"))
+        .select("name", "letter", "len", "q", "broken", F.explode("grams").alias("key"))
     )
     grams = candidates.select(
         "name", "letter", "len",
@@ -177,21 +177,15 @@ def _near_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
         offers.join(frequency, ["letter", "key"], "left")
         .fillna(0, ["df"])  # a gram that no candidate has is the rarest
         .withColumn("nr", F.row_number().over(order))
-        .filter(F.col("nr") <= F.col("broken") + F.col("need"))
-        .groupBy("name", "letter", "len", "q", "need", "key")
-        .agg(F.count(F.lit(1)).alias("times"), F.max("df").alias("df"))
+        .filter(F.col("nr") <= F.col("broken") + 1)
+        .groupBy("name", "letter", "len", "q", "key")
+        .agg(F.max("df").alias("df"))
         .withColumn("cost", F.sum("df").over(W.partitionBy("name", "q")))
         .withColumn("best", F.min(F.struct("cost", "q")).over(W.partitionBy("name")))
-        .filter(F.col("q") == F.col("best.q"))
-        .select("name", "letter", "len", "need", "key", "times", "df")
-    )
-    return (
-        _salted_join(rare, grams, frequency, close=True)
-        .groupBy("few_name", "many_name")
-        .agg(F.sum("times").alias("shared"), F.max("need").alias("need"))
-        .filter(F.col("shared") >= F.col("need"))
-        .select("few_name", "many_name")
+        .filter((F.col("q") == F.col("best.q")) & (F.col("df") > 0))
+        .select("name", "letter", "len", "key", "df")
     )
+    return _salted_join(rare, grams, frequency, close=True).select("few_name", "many_name")
 
 
 def candidate_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -216,8 +210,13 @@ def candidate_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def score_pairs(pairs: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """Token-set similarity of candidate pairs; pairs below the cutoff are dropped."""
-    a = queries.select(F.col("name").alias("name_a"), F.col("tokens").alias("ta"), F.col("len").alias("la"))
-    b = candidates.select(F.col("name").alias("name_b"), F.col("tokens").alias("tb"), F.col("len").alias("lb"))
+
+    def side(df: DataFrame, end: str) -> DataFrame:
+        grams = [_grams(q).alias(f"g{q}{end}") for q in COUNTED_GRAMS]
+        own = {"name": f"name_{end}", "tokens": f"t{end}", "len": f"l{end}"}
+        return df.select("name", "tokens", "len", *grams).withColumnsRenamed(own)
+
+    a, b = side(queries, "a"), side(candidates, "b")
     split = (
         pairs.join(a, "name_a")
         .join(b, "name_b")
@@ -241,7 +240,14 @@ def score_pairs(pairs: DataFrame, queries: DataFrame, candidates: DataFrame) ->
 
     best_shared = F.greatest(with_shared("la"), with_shared("lb"))
     bound = percent(joint + F.least(F.length("da"), F.length("db")), total)
-    feasible = split.filter(F.greatest(best_shared, bound) >= CUTOFF)
+    edits = F.floor(total * (1 - LEAST) + 1e-6)
+    near = bound >= CUTOFF
+    for q in COUNTED_GRAMS:
+        kept = F.size(F.expr(f"filter(g{q}a, g -> array_contains(g{q}b, g))"))
+        near = near & (kept >= F.size(f"g{q}a") - edits * q)
+    feasible = split.filter((best_shared >= CUTOFF) | near).drop(
+        *[f"g{q}{end}" for q in COUNTED_GRAMS for end in "ab"]
+    )
     common = feasible.withColumn("lcs", common_subsequence("da", "db"))
     score = F.greatest(best_shared, percent(joint + F.col("lcs"), total))
     return common.withColumn("score", score).filter(F.col("score") >= CUTOFF).select(

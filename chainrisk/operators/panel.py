@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from chainrisk.functions.calendar import (
     index_of_date,
     quarter_end,
-    quarter_index,
     quarter_of_index,
     year_of_index,
 )
@@ -176,7 +175,3 @@ def sided_links(linked: DataFrame) -> DataFrame:
         "year",
         "quarter",
     ).filter(F.col("side").isNotNull()).distinct()
-
-
-def period_of(df: DataFrame) -> Column:
-    return quarter_index("year", "quarter")

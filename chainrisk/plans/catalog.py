@@ -155,15 +155,21 @@ def _env_year(i: Inputs) -> DataFrame:
 
 
 def _esg_decline(i: Inputs) -> DataFrame:
-    return DC.quarterly_decline(_degree_links(i), _esg(i))
+    return shared(
+        i, "esg_decline", lambda: stage(DC.quarterly_decline(_degree_links(i), _esg(i)), "esg-decline")
+    )
 
 
 def _env_decline(i: Inputs) -> DataFrame:
-    return DC.quarterly_decline(_degree_links(i), _env(i))
+    return shared(
+        i, "env_decline", lambda: stage(DC.quarterly_decline(_degree_links(i), _env(i)), "env-decline")
+    )
 
 
 def _env_decline_year(i: Inputs) -> DataFrame:
-    return DC.annual_decline(_degree_links(i), _env_year(i))
+    return shared(
+        i, "env_decline_year", lambda: stage(DC.annual_decline(_degree_links(i), _env_year(i)), "env-decline-year")
+    )
 
 
 def _flags_quarter(i: Inputs) -> DataFrame:
@@ -839,33 +845,19 @@ def compound_returns(i: Inputs) -> DataFrame:
     return M.compound_returns(i["fx_port"], M.QUARTERLY)
 
 
-def _horizons(i: Inputs, make: Callable[[int], DataFrame], ahead: tuple[int, ...]) -> DataFrame:
-    out = None
-    for n in ahead:
-        one = make(n).withColumn("horizon", F.lit(n))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query("horizon:l permno:l year:l excess_return:d")
 def excess_return_lead_year(i: Inputs) -> DataFrame:
-    return _horizons(
-        i, lambda n: M.excess_return_lead(i["fx_port"], M.YEARLY, n), YEAR_HORIZONS
-    )
+    return M.excess_return_leads(i["fx_port"], M.YEARLY, YEAR_HORIZONS)
 
 
 @query("horizon:l permno:l year:l quarter:l excess_return:d")
 def excess_return_lead_quarter(i: Inputs) -> DataFrame:
-    return _horizons(
-        i, lambda n: M.excess_return_lead(i["fx_port"], M.QUARTERLY, n), QUARTER_HORIZONS
-    )
+    return M.excess_return_leads(i["fx_port"], M.QUARTERLY, QUARTER_HORIZONS)
 
 
 @query("horizon:l permno:l year:l quarter:l excess_return:d")
 def excess_return_cumulative(i: Inputs) -> DataFrame:
-    return _horizons(
-        i, lambda n: M.excess_return_cumulative(i["fx_port"], n), QUARTER_HORIZONS
-    )
+    return M.excess_return_cumulative(i["fx_port"], QUARTER_HORIZONS)
 
 
 YEAR_HORIZONS = (1, 2, 3, 4)
@@ -876,7 +868,7 @@ QUARTER_HORIZONS = (1, 2, 4, 6, 8)
 
 
 def _sample_year(i: Inputs, ahead: int) -> DataFrame:
-    excess = M.excess_return_lead(i["fx_port"], M.YEARLY, ahead)
+    excess = M.excess_return_leads(i["fx_port"], M.YEARLY, [ahead]).drop("horizon")
     return M.regression_sample_year(_linked_year(i), i["fx_msf"], i["fx_funda"], excess)
 
 
@@ -896,7 +888,7 @@ def regression_sample(i: Inputs) -> DataFrame:
 
 @query("firm_gvkey:l firm_permno:l year:l quarter:l " + FLAG_SPEC + SAMPLE_TAIL)
 def regression_sample_quarter(i: Inputs) -> DataFrame:
-    excess = M.excess_return_lead(i["fx_port"], M.QUARTERLY, 1)
+    excess = M.excess_return_leads(i["fx_port"], M.QUARTERLY, [1]).drop("horizon")
     return M.usable_rows(_sample_quarter(i, excess))
 
 
@@ -977,7 +969,7 @@ def _quarter_models(i: Inputs, kind: str, excess: Callable[[int], DataFrame]) ->
     _linked_quarter(i)
 
     def one(n: int) -> list[R.Fit]:
-        sample = _sample_quarter(i, excess(n)).withColumn(
+        sample = _sample_quarter(i, excess(n).drop("horizon")).withColumn(
             "year_quarter", C.period_label("year", "quarter")
         )
         # The first-degree model of horizon 1 and every cumulative one absorb the year.
@@ -991,12 +983,12 @@ def _quarter_models(i: Inputs, kind: str, excess: Callable[[int], DataFrame]) ->
 @query(MODEL_SPEC)
 def felm_quarterly_models(i: Inputs) -> DataFrame:
     return _quarter_models(
-        i, "lead", lambda n: M.excess_return_lead(i["fx_port"], M.QUARTERLY, n)
+        i, "lead", lambda n: M.excess_return_leads(i["fx_port"], M.QUARTERLY, [n])
     )
 
 
 @query(MODEL_SPEC)
 def felm_cumulative_models(i: Inputs) -> DataFrame:
     return _quarter_models(
-        i, "cumulative", lambda n: M.excess_return_cumulative(i["fx_port"], n)
+        i, "cumulative", lambda n: M.excess_return_cumulative(i["fx_port"], [n])
     )

@@ -6,8 +6,6 @@ over the directory's Parquet tables, so it grows with them.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 

@@ -13,24 +13,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PRIVATE: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def staging_root(spark: SparkSession) -> str:
     """Shared folder for staged tables, as configured for the session.
 
-    Only a session without the setting (a local test) gets a private folder.
+    Only a local session without the setting (a test) gets a private folder,
+    which goes away with the process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="chainrisk-stage-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _PRIVATE:
+        _PRIVATE[app] = tempfile.TemporaryDirectory(prefix="chainrisk-stage-")
+    return _PRIVATE[app].name
 
 
-def stage(df: DataFrame, name: str, partitions_hint: int | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a scan of the written table."""
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
-    out = df if partitions_hint is None else df.coalesce(partitions_hint)
-    out.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

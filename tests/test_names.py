@@ -73,12 +73,24 @@ def test_matches_equal_all_pairs(spark, monkeypatch, salt_rows):
     assert sorted(rows(N.best_matches(found), "name_a", "name_b", "score")) == top
 
 
-def test_one_letter_is_not_compared_pair_by_pair(spark):
+def test_one_letter_is_not_scored_pair_by_pair(spark, monkeypatch):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(7)) for _ in range(400)]
     names = [("x" + rng.choice(words) + " " + rng.choice(words) + " holdings",) for _ in range(600)]
-    df = spark.createDataFrame(names, "n string")
-    profile = N._profile(df, "n").cache()
-    pairs = N.candidate_pairs(profile, profile).count()
+    profile = N._profile(spark.createDataFrame(names, "n string"), "n").cache()
     n = profile.count()
-    assert pairs < n * n / 20
+    assert N.candidate_pairs(profile, profile).count() < n * n / 3
+    scored = spark.sparkContext.accumulator(0)
+    original = N.common_subsequence
+
+    def counting(left, right):
+        @N.F.pandas_udf("string")
+        def count(values: N.pd.Series) -> N.pd.Series:
+            scored.add(len(values))
+            return values
+
+        return original(count(left), right)
+
+    monkeypatch.setattr(N, "common_subsequence", counting)
+    N.score_pairs(N.candidate_pairs(profile, profile), profile, profile).count()
+    assert 0 < scored.value < n * n / 20
