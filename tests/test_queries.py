@@ -4,12 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from chainrisk.plans import catalog
 from chainrisk.plans.inputs import BASE_TABLES
 from tools.compare import canonical, same
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+QUERIES = {name: build for name, build in entry.queries().items() if name in catalog.QUERIES}
+SQL = {name: text for name, text in entry.oracle_sql().items() if name in catalog.QUERIES}
 LONG = {"felm_quarterly_models", "felm_cumulative_models"}  # same code as the annual models
 
 
