@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chainrisk.llm.hash_tree import tree_shards, tree_sql
+from chainrisk.llm.host_rules import host_verdicts, verdict_sql
 from chainrisk.llm.jaccard_join import jaccard_classes
+from chainrisk.llm.source_mixing import mix_sql, poisson_mix, tempered_weights
+from chainrisk.llm.suffix_dedup import cut_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +26,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op3_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return poisson_mix(docs, tempered_weights(docs))
+
+
+@query
+def op4_host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return host_verdicts(table(spark, folder, "documents"))
+
+
 @query
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_classes(table(spark, folder, "documents"))
+
+
+@query
+def op6_hash_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return tree_shards(table(spark, folder, "documents"))
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = cut_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op3_source_mixing"] = mix_sql()
+ORACLE["op4_host_rules"] = verdict_sql()
+ORACLE["op6_hash_tree"] = tree_sql()
