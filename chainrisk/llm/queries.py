@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chainrisk.llm.hash_tree import tree_shards, tree_sql
 from chainrisk.llm.host_rules import host_verdicts, verdict_sql
 from chainrisk.llm.jaccard_join import jaccard_classes
+from chainrisk.llm.language_id import fit_languages, held_out, predict_languages
 from chainrisk.llm.source_mixing import mix_sql, poisson_mix, tempered_weights
 from chainrisk.llm.suffix_dedup import cut_repeats
 
@@ -53,6 +54,13 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", held_out(5))
+    model = fit_languages(docs.where(~F.col("held_out")))
+    return predict_languages(docs, model, carry=("doc_id", "held_out"))
+
+
 ORACLE["op3_source_mixing"] = mix_sql()
 ORACLE["op4_host_rules"] = verdict_sql()
 ORACLE["op6_hash_tree"] = tree_sql()
