@@ -120,6 +120,22 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which is faster than hashing for 64-bit numbers."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of values[start:end]; equal segments have equal sums wherever they lie."""
+    out = np.zeros(len(starts))
+    some = np.flatnonzero(ends > starts)
+    if len(some):
+        cuts = np.stack([starts[some], ends[some]], axis=1).reshape(-1)
+        out[some] = np.add.reduceat(np.append(values, 0.0), cuts)[::2]
+    return out
+
+
 def split_by_bucket(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """Buckets (top bits) present in sorted hashes, and where each lies."""
     buckets = (hashes >> np.uint64(64 - bits)).astype(np.int64)
