@@ -8,6 +8,7 @@ and shingles that occur once can be left out of that search.  So:
 1. equal sets are one class, and classes with equal prefix and size one group;
 2. groups meet through shared prefix shingles; first only with a pivot of each
    list, which links large families of near copies by as many checks as members;
+   what that leaves apart tries several members of the list's largest component;
 3. what a list still holds outside its largest component meets the whole list,
    under size and position filters;
 4. group pairs are expanded to member classes and verified on the whole sets.
@@ -25,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainrisk.llm.arrays import SpanHash, lower, mix, text_chunks, word_spans
+from chainrisk.llm.arrays import SpanHash, distinct, lower, mix, text_chunks, word_spans
 from chainrisk.llm.components import components
 from chainrisk.llm.levels import corpus_levels, level_of
 from chainrisk.sources.staging import stage
 
 #: Least counts of a "repeated", a "frequent" and a "very frequent" shingle.
 STEPS = (2, 32, 1024)
+#: Members of a list's largest component that the rest of the list tries, and how often.
+PIVOTS, PIVOT_TURNS = 8, 2
 _SEED = np.uint64(0x51ED270B7F4A7C15)
 
 
@@ -52,7 +55,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
     whole = mix(whole)
     for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
         if hi - lo >= size:
-            yield np.unique(whole[lo : hi - size + 1])
+            yield distinct(whole[lo : hi - size + 1])
         elif hi > lo:
             few = np.array([hi - lo], np.uint64)
             for k in range(hi - lo):
@@ -125,6 +128,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(shared * 100 >= union * percent).select("a", "b")
 
 
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """group, class and component (part) of every class after more links between classes."""
+    of = lambda c: parts.select(F.col("class").alias(c), F.col("part").alias(f"p{c}"))
+    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    label = components(edges).select(F.col("v").alias("part"), "label")
+    found = parts.join(label, "part", "left").select("group", "class", F.coalesce("label", "part").alias("part"))
+    return stage(found, "parts")
+
+
+def _open_lists(entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """Entries of the token lists that hold several parts, with the list's largest part (main)."""
+    in_list = stage(entries.join(parts.select("group", "part").distinct(), "group"), "listed")
+    sizes = in_list.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("token").agg(
+        F.max_by("part", F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts")
+    )
+    return stage(in_list.join(main.where("parts > 1").select("token", "main"), "token"), "open")
+
+
 def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """Columns doc_id, n_shingles, component_id: components of texts linked by similarity.
 
@@ -184,16 +206,28 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
         .select(F.col("class").alias("a"), F.col("pivot").alias("b"))
         .distinct()
     )
-    links = stage(_verified(tries, sets, percent), "links")
-    label = components(links).select(F.col("v").alias("class"), F.col("label").alias("part"))
-    parts = member.join(label, "class", "left").select("group", "class", F.coalesce("part", "class").alias("part"))
-    parts = stage(parts, "parts")
+    alone = member.withColumn("part", F.col("class"))
+    parts = _merged(alone, stage(_verified(tries, sets, percent), "links"))
+    # A list's rest then tries several members of its largest component.
+    open_lists = _open_lists(entries, parts)
+    for turn in range(PIVOT_TURNS):
+        if open_lists.isEmpty():
+            break
+        draws = [F.min_by("head", F.xxhash64("head", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)]
+        chosen = open_lists.where("part = main").groupBy("token").agg(F.array_distinct(F.array(*draws)).alias("heads"))
+        rest = open_lists.where("part <> main").select("token", "group", "part")
+        tries = (
+            rest.join(chosen, "token")
+            .select("group", "part", F.explode("heads").alias("b"))
+            .distinct()
+            .join(parts.withColumnRenamed("class", "a"), ["group", "part"])
+            .select("a", "b")
+            .distinct()
+        )
+        parts = _merged(parts, stage(_verified(tries, sets, percent), "links"))
+        open_lists = _open_lists(entries, parts)
 
-    # What is outside the largest component of a list meets the whole list.
-    in_list = stage(entries.drop("head").join(parts.select("group", "part").distinct(), "group"), "listed")
-    sizes = in_list.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    open_lists = in_list.join(main.where("parts > 1").select("token", "main"), "token")
+    # What is still outside the largest component of a list meets the whole list.
     one = open_lists.where("part <> main").select(
         "token", F.col("group").alias("g1"), F.col("part").alias("p1"), F.col("n").alias("n1"), F.col("rank").alias("r1")
     )
@@ -222,12 +256,8 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
         .select("a", "b")
     )
     outer = cross.join(side("g1", "p1", "a"), ["g1", "p1"]).join(side("g2", "p2", "b"), ["g2", "p2"]).select("a", "b")
-    more = stage(_verified(outer.unionByName(inner).distinct(), sets, percent), "links")
-    all_links = links.unionByName(more)
-    final = components(all_links).select(F.col("v").alias("class"), F.col("label").alias("part"))
-    named_parts = classes.select("class", "low").join(final, "class", "left").select(
-        "class", "low", F.coalesce("part", "class").alias("part")
-    )
+    last = stage(_verified(outer.unionByName(inner).distinct(), sets, percent), "links")
+    named_parts = classes.select("class", "low").join(_merged(parts, last).drop("group"), "class")
     least = named_parts.groupBy("part").agg(F.min("low").alias("component_id"))
     ids = named_parts.join(least, "part").select("class", "component_id")
     return (
