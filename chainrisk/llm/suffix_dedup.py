@@ -31,12 +31,13 @@ from chainrisk.llm.arrays import SpanHash, mix, text_chunks
 from chainrisk.llm.levels import bucket_bits, corpus_levels, level_of
 
 GRAM = 32
-_RARE = np.uint64((1 << 64) // 32)  # one gram in 32 is an anchor
+_RARE = np.uint64((1 << 64) // 16)  # one gram in 16 is an anchor
 #: Least counts of levels; anchors of level 3 are the very frequent ones.
 STEPS = (2, 64, 4096)
+_ZSTD = pa.Codec("zstd", 1)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 CHUNK = 1 << 20
-FLUSH_BYTES = 1 << 22
+FLUSH_BYTES = 1 << 24
 FLUSH_WINDOWS = 1 << 20
 INDEX_BYTES = 1 << 20
 NO_ID = -(1 << 63)
@@ -122,7 +123,7 @@ class _Outbox:
         order = np.argsort(home, kind="stable")
         rows = []
         for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
-            data = b"".join([texts[i] for i in part])
+            data = _ZSTD.compress(b"".join([texts[i] for i in part]), asbytes=True)
             rows.append(self._row(int(home[part[0]]), _STRING_KIND, keys[part], rid[part], tag[part], start[part], size[part], data))
         self.strings, self.bytes = [], 0
         yield self.batch(rows)
@@ -184,8 +185,14 @@ def _deal(batches: Iterable[pa.RecordBatch], table: object, length: int, bits: i
             owner = np.searchsorted(offsets, first, side="right") - 1
             ends = last + length
             raw = data.tobytes()
+            # Anchors of the run's key inside it: with one alone no window of the run equals another of it.
+            lo, hi = np.searchsorted(rare, first), np.searchsorted(rare, last + width)
+            run = np.repeat(np.arange(len(first)), hi - lo)
+            at = np.arange(len(run)) + np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo)
+            held = np.bincount(run[order[rare[at]] == key[first][run]], minlength=len(first))
+            size = (ends - first) * 2 + (held != 1)
             out.strings.append(
-                (key[first], rid[owner], tag[owner], first - offsets[owner], ends - first, [raw[a:b] for a, b in zip(first.tolist(), ends.tolist())])
+                (key[first], rid[owner], tag[owner], first - offsets[owner], size, [raw[a:b] for a, b in zip(first.tolist(), ends.tolist())])
             )
             out.bytes += int((ends - first).sum())
         hot = np.flatnonzero(valid & (level == 3))
@@ -233,15 +240,15 @@ class RunLengthIndex:
         """Suffix array; suffixes end with their string, equal ones stand in text order."""
         n = len(self.data)
         lengths = np.diff(self.offsets)
-        stop = np.repeat(self.offsets[1:], lengths)
-        left = stop - np.arange(n)
+        stop = np.repeat(self.offsets[1:], lengths).astype(np.int32)
+        left = stop - np.arange(n, dtype=np.int32)
         key = np.zeros(n, dtype=np.uint64)
         padded = np.concatenate([self.data.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
         for k in range(7):
             key = key << np.uint64(9) | np.where(left > k, padded[k : k + n], np.uint64(0))
-        sa = np.argsort(key, kind="stable")
+        sa = np.argsort(key, kind="stable").astype(np.int32)
         key = key[sa]
-        rank = np.empty(n, dtype=np.int64)
+        rank = np.empty(n, dtype=np.int32)
         new = np.concatenate([[True], key[1:] != key[:-1]])
         rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         slots = np.flatnonzero(~(new & np.append(new[1:], True)))
@@ -250,7 +257,7 @@ class RunLengthIndex:
             at = sa[slots]
             ahead = at + reach
             later = np.where(ahead < stop[at], rank[np.minimum(ahead, n - 1)] + 1, 0)
-            key = (rank[at] << 32) | later
+            key = rank[at].astype(np.int64) << 32 | later
             o = np.argsort(key, kind="stable")
             at, key = at[o], key[o]
             sa[slots] = at
@@ -301,7 +308,10 @@ def _column(pdf: pd.DataFrame, name: str, kind: type) -> np.ndarray:
 def _string_spans(pdf: pd.DataFrame, length: int) -> Iterator[tuple]:
     keys, rid, tag = (_column(pdf, c, k) for c, k in (("keys", np.uint64), ("rid", np.int64), ("tag", np.int64)))
     start, size = _column(pdf, "start", np.int64), _column(pdf, "size", np.int64)
-    data = _column(pdf, "data", np.uint8)
+    several, size = (size & 1).astype(bool), size >> 1  # the low bit: the anchor may stand in the string more than once
+    cuts = np.cumsum([0, *(len(x) // 8 for x in pdf["size"])])
+    packs = [(x, int(size[a:b].sum())) for x, a, b in zip(pdf["data"], cuts[:-1], cuts[1:])]
+    data = np.concatenate([np.frombuffer(_ZSTD.decompress(x, n, asbytes=True), np.uint8) for x, n in packs])
     where = np.concatenate([[0], np.cumsum(size)])
     ids = mix(SpanHash(data)(where[:-1], where[1:]) + mix(keys))
     _, lead, group, times = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
@@ -309,7 +319,7 @@ def _string_spans(pdf: pd.DataFrame, length: int) -> Iterator[tuple]:
     yield rid[full], tag[full], start[full], size[full]
     # Strings for the index: several of one anchor, or one that may match itself.
     _, anchor, kinds = np.unique(keys[lead], return_inverse=True, return_counts=True)
-    chosen = np.flatnonzero((kinds[anchor] > 1) | ((times == 1) & (size[lead] > length)))
+    chosen = np.flatnonzero((kinds[anchor] > 1) | ((times == 1) & several[lead] & (size[lead] > length)))
     chosen = chosen[np.argsort(anchor[chosen], kind="stable")]
     if not len(chosen):
         return
