@@ -20,9 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     done: DataFrame | None = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = stage(
-            both.groupBy("a").agg(F.least("a", F.min("b")).alias("h")).select(F.col("a").alias("v"), "h"), "hook"
-        )
+        hook = both.groupBy("a").agg(F.least("a", F.min("b")).alias("h")).select(F.col("a").alias("v"), "h")
         onward = hook.select(F.col("v").alias("h"), F.col("h").alias("h2"))
         jump = stage(
             hook.join(onward, "h", "left").select("v", F.coalesce("h2", "h").alias("t")), "jump"

@@ -109,13 +109,14 @@ def _prefixes(
         yield pa.record_batch(
             [
                 rows.column("doc_id"),
+                rows.column("text_hash"),
                 pa.array(out["n"], pa.int64()),
                 pa.array(out["class"], pa.binary()),
                 pa.array(out["group"], pa.binary()),
                 lists(out["tokens"]),
                 lists(out["shingles"]),
             ],
-            ["doc_id", "n", "class", "group", "tokens", "shingles"],
+            ["doc_id", "text_hash", "n", "class", "group", "tokens", "shingles"],
         )
 
 
@@ -148,7 +149,7 @@ def _open_lists(entries: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """Columns doc_id, n_shingles, component_id: components of texts linked by similarity.
+    """Columns doc_id, n_shingles, component_id, text_hash: components of texts linked by similarity.
 
     Two texts link when 100 |A and B| >= percent |A or B| for their sets of
     ``size``-word shingles.  ``component_id`` is the smallest doc_id that links
@@ -160,12 +161,13 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
     named = texts.where("doc_id is not null")
     table = corpus_levels(named.select("text"), lambda it: _all_sets(it, size), STEPS)
     rows = stage(
         texts.mapInArrow(
             lambda it: _prefixes(it, table, size, percent),
-            "doc_id bigint, n bigint, class binary, group binary, tokens array<bigint>, shingles array<bigint>",
+            "doc_id bigint, text_hash bigint, n bigint, class binary, group binary, tokens array<bigint>, shingles array<bigint>",
         ),
         "prefixes",
     )
@@ -261,11 +263,12 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     least = named_parts.groupBy("part").agg(F.min("low").alias("component_id"))
     ids = named_parts.join(least, "part").select("class", "component_id")
     return (
-        rows.select("doc_id", "n", "class")
+        rows.select("doc_id", "text_hash", "n", "class")
         .join(ids, "class", "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+            "text_hash",
         )
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from chainrisk.llm.byte_ppm import ppm_scores
 from chainrisk.llm.hash_tree import tree_shards, tree_sql
 from chainrisk.llm.host_rules import host_verdicts, verdict_sql
@@ -90,6 +91,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predict_languages(docs, model, carry=("doc_id", "held_out"))
 
 
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE["op2_maxscore_search"] = """
     WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
       WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

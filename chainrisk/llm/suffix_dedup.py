@@ -377,7 +377,7 @@ def _bucket_spans(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(("rid", "tag", "start", "size"), cols)))
 
 
-def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterable[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in text_chunks(batches, column="body", limit=CHUNK):
         spans = rows.column("spans").to_pylist()
         raw = data.tobytes()
@@ -401,25 +401,28 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = b"".join(kept)
             out["removed"].append(removed)
             out["runs"].append(runs)
-            out["kept"].append(text)
+            out["kept"].append(text.decode("utf-8", "ignore") if as_text else text)
         yield pa.record_batch(
             [
                 *(rows.column(c) for c in rows.schema.names if c not in ("body", "spans")),
                 pa.array(np.diff(offsets), pa.int64()),
                 pa.array(out["removed"], pa.int64()),
                 pa.array(out["runs"], pa.int64()),
-                pa.array(out["kept"], pa.binary()),
+                pa.array(out["kept"], pa.string() if as_text else pa.binary()),
             ],
             [*(c for c in rows.schema.names if c not in ("body", "spans")), "n_bytes", "n_removed", "n_spans", "kept"],
         )
 
 
-def cut_repeats(docs: DataFrame, length: int = 200, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def cut_repeats(
+    docs: DataFrame, length: int = 200, carry: tuple[str, ...] = ("doc_id",), as_text: bool = False
+) -> DataFrame:
     """The ``carry`` columns of ``docs`` with n_bytes, n_removed, n_spans and kept (the bytes left).
 
     Texts are UTF-8 bytes, null as empty; texts shorter than ``length`` lose nothing.
     Every string is judged on the input, equal rows count as two texts, and doc_id may
-    be null or repeated.  Other columns are ignored.  Counts anchors in a job of its own.
+    be null or repeated.  ``as_text`` gives kept as text, without what is left of characters
+    that lost a part.  Other columns are ignored.  Counts anchors in a job of its own.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
@@ -446,5 +449,8 @@ def cut_repeats(docs: DataFrame, length: int = 200, carry: tuple[str, ...] = ("d
     )
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
     schema = ", ".join(f"`c_{c}` {kinds[f'c_{c}']}" for c in carry)
-    cut = joined.mapInArrow(_cut, f"{schema}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    kept = "string" if as_text else "binary"
+    cut = joined.mapInArrow(
+        lambda it: _cut(it, as_text), f"{schema}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {kept}"
+    )
     return cut.select(*(F.col(f"c_{c}").alias(c) for c in carry), "n_bytes", "n_removed", "n_spans", "kept")
