@@ -65,6 +65,8 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = lower(data)
         first, last, _ = word_spans(small, offsets)
         for kind, keys in ((_GRAMS, codes[keep[3:]].astype(np.uint64)), (_WORDS, SpanHash(small)(first, last))):
+            if not len(keys):
+                continue
             keys, n = np.unique(keys, return_counts=True)
             held[kind].append((keys, n.astype(np.int64)))
             if sum(len(k) for k, _ in held[kind]) > FLUSH:

@@ -67,11 +67,13 @@ def _presences(data: np.ndarray, offsets: np.ndarray, max_gram: int, buckets: in
     return rows
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _blocks(
+    batches: Iterable[pa.RecordBatch], column: str = "text"
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         for at in range(0, batch.num_rows, _BLOCK):
             rows = batch.slice(at, _BLOCK)
-            yield rows, *text_arrays(rows.column("text"))
+            yield rows, *text_arrays(rows.column(column))
 
 
 def _kernels(presences: np.ndarray, landmarks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -152,9 +154,9 @@ def fit_languages(
     return KernelModel(languages, landmarks, sizes, (root @ solved).astype(np.float32), max_gram)
 
 
-def _predict(batches: Iterable[pa.RecordBatch], shared: object) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterable[pa.RecordBatch], shared: object, column: str) -> Iterator[pa.RecordBatch]:
     model: KernelModel = shared.value
-    for rows, data, offsets in _blocks(batches):
+    for rows, data, offsets in _blocks(batches, column):
         n = rows.num_rows
         letters = rows.column("lettered").to_numpy(zero_copy_only=False)
         names, scores = [UNKNOWN] * n, np.zeros(n)
@@ -180,10 +182,10 @@ def predict_languages(docs: DataFrame, model: KernelModel, carry: tuple[str, ...
     nothing was learned.  Ties go to the first language by name.  Only the text is read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(
-        *(F.col(c).alias(f"c_{c}") for c in carry), F.col("text").cast("string").alias("text"), _has_letter("text").alias("lettered")
-    )
+    column = "c_text" if "text" in carry else "text"  # the text goes to the tasks once
+    text = [] if "text" in carry else [F.col("text").cast("string").alias("text")]
+    rows = docs.select(*(F.col(c).alias(f"c_{c}") for c in carry), *text, _has_letter("text").alias("lettered"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`c_{c}` {kinds[f'c_{c}']}" for c in carry)
-    found = rows.mapInArrow(lambda it: _predict(it, shared), f"{schema}, lang_pred string, score double")
+    found = rows.mapInArrow(lambda it: _predict(it, shared, column), f"{schema}, lang_pred string, score double")
     return found.select(*(F.col(f"c_{c}").alias(c) for c in carry), "lang_pred", "score")

@@ -117,7 +117,7 @@ def fit_votes(docs: DataFrame, labels: DataFrame, per_label: int = 1500, dims: i
     rate = F.lit(0.0)
     for label, count in totals.items():
         rate = F.when(F.col("label") == label, min(1.0, per_label / count)).otherwise(rate)
-    picked = known.where(u < rate).select("doc_id", "label", (1 / rate).alias("weight"), u.alias("u"))
+    picked = known.where(u < rate).select("doc_id", "label", F.try_divide(F.lit(1.0), rate).alias("weight"), u.alias("u"))
     picked = stage(picked.orderBy("u", "doc_id").limit(2 * per_label), "labelled")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id")
     rows = texts.select("text", "label", "weight").mapInArrow(

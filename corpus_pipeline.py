@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainrisk.llm.jaccard_join import jaccard_classes
@@ -24,6 +24,26 @@ from chainrisk.llm.suffix_dedup import cut_repeats
 from chainrisk.sources.staging import stage
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` but the text under names that no operator uses."""
+    return docs.select("text", *(F.col(c).alias(f"p_{i}") for i, c in enumerate(docs.columns) if c != "text"))
+
+
+def _column(rows: DataFrame, docs: DataFrame, name: str) -> Column:
+    return rows[f"p_{docs.columns.index(name)}"]
+
+
+def _named(rows: DataFrame, docs: DataFrame, changed: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Back to the columns of ``docs``, some of them changed."""
+    out = []
+    for i, name in enumerate(docs.columns):
+        column = rows["text"] if name == "text" else rows[f"p_{i}"]
+        if name in changed:
+            column = changed[name](column).cast(docs.schema[name].dataType)
+        out.append(column.alias(name))
+    return rows.select(*out)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; those without a letter, or null, go.
 
@@ -32,12 +52,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     but texts without a letter.
     """
     model = fit_languages(docs.where(~held_out(5)))
-    columns = tuple(docs.columns)
-    found = predict_languages(docs, model, carry=columns)
-    lettered = F.col("text").rlike(r"\p{L}")
-    kept = found.where((F.col("lang_pred") != UNKNOWN) | (lettered & F.lit(not model.languages)))
-    language = F.when(F.col("lang_pred") == UNKNOWN, F.col("lang")).otherwise(F.col("lang_pred"))
-    return kept.withColumn("lang", language).select(*columns)
+    rows = _numbered(docs)
+    found = predict_languages(rows, model, carry=tuple(rows.columns))
+    known = F.lit(bool(model.languages))
+    kept = found.where((F.col("lang_pred") != UNKNOWN) | (~known & F.col("text").rlike(r"\p{L}")))
+    language = F.when(F.col("lang_pred") != UNKNOWN, F.col("lang_pred"))
+    return _named(kept, docs, {"lang": lambda lang: F.coalesce(language, lang)})
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,13 +79,12 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ``n_chars`` is counted anew, a text of which nothing is left stays as an empty one, and
     a null text stays null.
     """
-    cut = cut_repeats(docs, carry=tuple(docs.columns), as_text=True)
-    changed = F.col("n_removed") > 0
-    out = cut.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        count = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(changed, count).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rows = _numbered(docs).withColumn("p_null", F.col("text").isNull())
+    carry = tuple(c for c in rows.columns if c != "text")
+    cut = cut_repeats(rows.withColumn("doc_id", _column(rows, docs, "doc_id")), carry=carry, as_text=True)
+    cut = cut.withColumn("text", F.when(~F.col("p_null"), F.col("kept")))
+    count = F.when(F.col("n_removed") > 0, F.length("text"))
+    return _named(cut, docs, {"n_chars": lambda n: F.coalesce(count, n)})
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
