@@ -78,7 +78,7 @@ def shared(i: Inputs, name: str, build: Callable[[], object]):
 
 
 def _links(i: Inputs) -> DataFrame:
-    return shared(i, "links", lambda: stage(i.links(), "links"))
+    return shared(i, "links", lambda: stage(P.sided_links(_linked(i)), "links"))
 
 
 def _panel_scores(i: Inputs) -> DataFrame:
@@ -127,11 +127,16 @@ def _degree_table(i: Inputs) -> DataFrame:
 
 
 def _degree_links(i: Inputs) -> DataFrame:
-    return shared(i, "degree_links", lambda: DG.degree_links(_links(i)))
+    return shared(i, "degree_links", lambda: DG.degree_links(_complete(i)))
+
+
+def _firm_scored(i: Inputs) -> DataFrame:
+    """Links of firms with all their own scores: what the network is built from."""
+    return S.with_firm_scores(_scored(i))
 
 
 def _edges(i: Inputs) -> DataFrame:
-    return G.graph_edges(_links(i))
+    return G.graph_edges(_firm_scored(i))
 
 
 def _search(i: Inputs) -> G.Search:
@@ -139,7 +144,7 @@ def _search(i: Inputs) -> G.Search:
 
 
 def _exposure(i: Inputs) -> DataFrame:
-    return G.node_exposure(_edges(i), _scored(i))
+    return G.node_exposure(_edges(i), _firm_scored(i))
 
 
 def _esg(i: Inputs) -> DataFrame:
@@ -379,8 +384,7 @@ def link_name(i: Inputs) -> DataFrame:
     return P.link_name(_identified(i), _name_link(i))
 
 
-@query(LINK_SPEC + " SOURCE_name:s TARGET_name:s")
-def links_union(i: Inputs) -> DataFrame:
+def _linked(i: Inputs) -> DataFrame:
     rows = _identified(i)
     return P.links_union(
         P.link_cusip(rows, i["fx_link"]),
@@ -389,6 +393,11 @@ def links_union(i: Inputs) -> DataFrame:
     )
 
 
+@query(LINK_SPEC + " SOURCE_name:s TARGET_name:s")
+def links_union(i: Inputs) -> DataFrame:
+    return _linked(i)
+
+
 # -- names -------------------------------------------------------------------
 
 
@@ -540,7 +549,7 @@ def partner_larger_props_long(i: Inputs) -> DataFrame:
 
 @query("firm_gvkey:l year:l quarter:l firm_pol:d firm_covid:d firm_cc:d")
 def firm_universe(i: Inputs) -> DataFrame:
-    return S.firm_universe(_scored(i))
+    return S.firm_universe(_firm_scored(i))
 
 
 @query("firm_gvkey:l year:l quarter:l supplier_gvkey:l customer_gvkey:l sc_pol:d sc_covid:d sc_cc:d")

@@ -25,20 +25,25 @@ GRAPH_PERIOD = (1998, 4)
 CENTER = 1000
 
 STANDINS: dict[str, str] = {
+    # One relation per supplier, line status and quarter, over all their line items.
     "fx_relation": """
-        SELECT l_suppkey AS source_company_id, o_custkey % (SELECT count(*) FROM supplier) AS target_company_id,
-          CASE WHEN l_linestatus='F' THEN 'SUPPLIER' ELSE 'CUSTOMER' END AS rel_type,
-          CAST(least(o_orderdate,l_shipdate) AS DATE) AS start_,
-          CASE WHEN l_tax>=0.08 THEN DATE '4000-01-01' ELSE CAST(greatest(o_orderdate,l_shipdate) AS DATE) END AS end_,
-          CASE WHEN l_linenumber<>7 THEN concat('Firm ',l_suppkey,' Inc.') END AS SOURCE_name,
-          concat('Firm ',o_custkey % (SELECT count(*) FROM supplier),' Inc.') AS TARGET_name,
-          CASE WHEN l_linenumber<=2 THEN concat(lpad(CAST(l_suppkey AS STRING),8,'0'),'7') END AS SOURCE_cusip,
-          CASE WHEN l_linenumber<=2 THEN concat(lpad(CAST(o_custkey % (SELECT count(*) FROM supplier) AS STRING),8,'0'),'7') END AS TARGET_cusip,
-          CASE WHEN l_linenumber BETWEEN 2 AND 4 THEN concat('US',l_suppkey) END AS SOURCE_isin,
-          CASE WHEN l_linenumber BETWEEN 2 AND 4 THEN concat('US',o_custkey % (SELECT count(*) FROM supplier)) END AS TARGET_isin
-        FROM lineitem JOIN orders ON l_orderkey=o_orderkey
-        WHERE l_returnflag='R' AND l_quantity<=5 AND l_discount<=0.02
-          AND l_suppkey<>o_custkey % (SELECT count(*) FROM supplier)""",
+        SELECT source_company_id, target_company_id, rel_type, start_, end_,
+          CASE WHEN k%7<>0 THEN concat('Firm ',source_company_id,' Inc.') END AS SOURCE_name,
+          concat('Firm ',target_company_id,' Inc.') AS TARGET_name,
+          CASE WHEN k%4 IN (0,2) THEN concat(lpad(CAST(source_company_id AS STRING),8,'0'),'7') END AS SOURCE_cusip,
+          CASE WHEN k%4=0 THEN concat(lpad(CAST(target_company_id AS STRING),8,'0'),'7') END AS TARGET_cusip,
+          CASE WHEN k%4=1 THEN concat('US',source_company_id) END AS SOURCE_isin,
+          CASE WHEN k%4 IN (1,2) THEN concat('US',target_company_id) END AS TARGET_isin
+        FROM (SELECT l_suppkey AS source_company_id,
+                CAST(sum(o_custkey) % (SELECT count(*) FROM supplier) AS BIGINT) AS target_company_id,
+                CASE WHEN l_linestatus='F' THEN 'SUPPLIER' ELSE 'CUSTOMER' END AS rel_type,
+                min(CAST(least(o_orderdate,l_shipdate) AS DATE)) AS start_,
+                CASE WHEN sum(CAST(round(l_tax*100) AS BIGINT))>=5*count(*) THEN DATE '4000-01-01'
+                     ELSE max(CAST(greatest(o_orderdate,l_shipdate) AS DATE)) END AS end_,
+                count(*) AS k
+              FROM lineitem JOIN orders ON l_orderkey=o_orderkey
+              GROUP BY l_suppkey, l_linestatus, year(l_shipdate), quarter(l_shipdate)) r
+        WHERE source_company_id<>target_company_id""",
     "fx_link": """
         SELECT s_suppkey+1000 AS gvkey, lpad(CAST(s_suppkey AS STRING),8,'0') AS CUSIPH, s_suppkey+5000 AS cik,
           concat('Firm ',s_suppkey,' Inc.') AS coname, DATE '1995-01-01' AS FNDATE,
@@ -53,20 +58,23 @@ STANDINS: dict[str, str] = {
     "fx_cc": """
         SELECT l_suppkey+1000 AS gvkey, year(l_shipdate) AS year, quarter(l_shipdate) AS quarter, avg(l_discount) AS cc_expo_ew
         FROM lineitem GROUP BY l_suppkey, year(l_shipdate), quarter(l_shipdate)""",
+    # Sales of a supplier to ten customer segments a year, over all line items.
     "fx_disclosed": """
-        SELECT l_suppkey+1000 AS GVKEY1, customer_no + 1000 AS GVKEY2, y, sum(l_extendedprice)-20000 AS SALECS
-        FROM (SELECT l_suppkey, o_custkey % (SELECT count(*) FROM supplier) AS customer_no,
-                     year(o_orderdate) AS y, l_extendedprice
-              FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_quantity<=3) s
+        SELECT l_suppkey+1000 AS GVKEY1, customer_no + 1000 AS GVKEY2, y, sum(sales)-100000 AS SALECS
+        FROM (SELECT l_suppkey, CAST(sum(o_custkey) % (SELECT count(*) FROM supplier) AS BIGINT) AS customer_no,
+                     year(o_orderdate) AS y, sum(l_extendedprice) AS sales
+              FROM lineitem JOIN orders ON l_orderkey=o_orderkey
+              GROUP BY l_suppkey, o_custkey%10, year(o_orderdate)) s
         GROUP BY l_suppkey, customer_no, y""",
+    # One score per institution, quarter and line number, over all line items.
     "fx_trucost": """
-        SELECT l_suppkey+9000 AS institutionid, CAST(l_shipdate AS DATE) AS scoredate, year(l_shipdate) AS assessmentyear,
-          CAST(l_extendedprice % 100 AS DOUBLE) AS scorevalue,
-          CASE WHEN l_linestatus='F' THEN 'S&P Global ESG Score' ELSE 'Dimension' END AS scoretype,
+        SELECT l_suppkey+9000 AS institutionid, max(CAST(l_shipdate AS DATE)) AS scoredate, year(l_shipdate) AS assessmentyear,
+          CAST(sum(CAST(l_quantity AS BIGINT)) % 100 AS DOUBLE) AS scorevalue,
+          CASE WHEN l_linenumber%2=0 THEN 'S&P Global ESG Score' ELSE 'Dimension' END AS scoretype,
           CASE WHEN l_linenumber=7 THEN 'Reported' ELSE 'Modeled' END AS csascoretypename,
           'Environmental Dimension' AS dimensionname, 'Environmental Dimension' AS aspectname,
-          CASE WHEN l_linenumber=6 THEN 2 ELSE 1 END AS mostrecentsequence
-        FROM lineitem WHERE l_returnflag='R' AND l_quantity<=4""",
+          CASE WHEN l_linenumber=5 THEN 2 ELSE 1 END AS mostrecentsequence
+        FROM lineitem GROUP BY l_suppkey, l_linenumber, year(l_shipdate), quarter(l_shipdate)""",
     "fx_inst": """
         SELECT s_suppkey+9000 AS institutionid, s_suppkey+1000 AS gvkey FROM supplier WHERE s_suppkey%13<>0""",
     "fx_msf": """
@@ -133,16 +141,6 @@ class Inputs:
     def panel(self) -> DataFrame:
         return panel_expand(self["fx_relation"], FIRST_YEAR, LAST_YEAR, OPEN_END)
 
-    def links(self) -> DataFrame:
-        """Firm-quarter links with numeric firm keys, one row per side and pair."""
-        return self.panel().select(
-            F.when(F.col("rel_type") == "SUPPLIER", "supplier").otherwise("customer").alias("side"),
-            (F.col("source_company_id") + 1000).alias("firm_gvkey"),
-            (F.col("target_company_id") + 1000).alias("partner_gvkey"),
-            "year",
-            "quarter",
-        ).distinct()
-
     def lexicon(self) -> DataFrame:
         tagged = {"positive": POSITIVE, "negative": NEGATIVE, "risk": RISK, "covid": COVID_EXTRA}
         rows = [(w, tag) for tag, words in tagged.items() for w in words]

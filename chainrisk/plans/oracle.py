@@ -189,8 +189,10 @@ CTES |= {
       (SELECT name_a, name_b, row_number() OVER (PARTITION BY name_a ORDER BY score DESC, name_b) AS r FROM nm WHERE score >= 90) m
       ON m.name_a = l.coname AND m.r = 1""",
     # links and scores
-    "lk": """SELECT DISTINCT CASE rel_type WHEN 'SUPPLIER' THEN 'supplier' ELSE 'customer' END AS side,
-        source_company_id + 1000 AS firm_gvkey, target_company_id + 1000 AS partner_gvkey, year, quarter FROM pan""",
+    "lk": """SELECT DISTINCT CASE rel_type WHEN 'SUPPLIER' THEN 'supplier' WHEN 'CUSTOMER' THEN 'customer' END AS side,
+        SOURCE_gvkey AS firm_gvkey, TARGET_gvkey AS partner_gvkey, year, quarter
+      FROM (SELECT * FROM lcusip UNION ALL SELECT * FROM lisin UNION ALL SELECT * FROM lname)
+      WHERE SOURCE_gvkey IS NOT NULL AND TARGET_gvkey IS NOT NULL AND rel_type IN ('SUPPLIER', 'CUSTOMER')""",
     "sp": """SELECT coalesce(a.gvkey, b.gvkey) AS gvkey, coalesce(a.year, b.year) AS year, coalesce(a.quarter, b.quarter) AS quarter, pol, covid, cc
       FROM (SELECT gvkey, year(date) AS year, quarter(date) AS quarter, avg(Risk) AS pol, avg(Covid_Exposure) AS covid FROM fx_pol GROUP BY ALL) a
       FULL JOIN (SELECT gvkey, year, quarter, avg(cc_expo_ew) AS cc FROM fx_cc GROUP BY ALL) b
@@ -208,6 +210,9 @@ CTES |= {
     "fl": f"""SELECT *, {", ".join(f"CASE WHEN partner_{m} > firm_{m} THEN 1 ELSE 0 END AS larger_{m}, CASE WHEN partner_{m}_weighted > firm_{m} THEN 1 ELSE 0 END AS larger_{m}_w" for m in METRICS)}
       FROM vw WHERE firm_pol IS NOT NULL AND firm_covid IS NOT NULL AND firm_cc IS NOT NULL""",
     "fc": _complete("fs"),
+    # links of firms with own scores (network) and complete links (degrees)
+    "fo": "SELECT * FROM fs WHERE firm_pol IS NOT NULL AND firm_covid IS NOT NULL AND firm_cc IS NOT NULL",
+    "ck": "SELECT DISTINCT side, firm_gvkey, partner_gvkey, year, quarter FROM fc",
     "dc": _complete("vw", "sale_cs", "sale_t", "sale_r"),
     "d1": "SELECT side, firm_gvkey, year, quarter, avg(partner_pol) AS pol, avg(partner_covid) AS covid, avg(partner_cc) AS cc FROM fc GROUP BY ALL",
     "d2": """SELECT l.side, l.firm_gvkey, l.year, l.quarter, avg(d.pol) AS pol, avg(d.covid) AS covid, avg(d.cc) AS cc
@@ -228,10 +233,10 @@ CTES |= {
         (degree1_supplier_pol IS NOT NULL OR degree1_customer_pol IS NOT NULL) AND (degree2_supplier_pol IS NOT NULL OR degree2_customer_pol IS NOT NULL) AS two,
         (degree3_supplier_pol IS NOT NULL OR degree3_customer_pol IS NOT NULL) AS three FROM ft""",
     "h2": """SELECT DISTINCT a.side, a.firm_gvkey, b.partner_gvkey, a.year, a.quarter
-      FROM lk a JOIN lk b ON b.side = a.side AND b.firm_gvkey = a.partner_gvkey AND b.year = a.year AND b.quarter = a.quarter""",
+      FROM ck a JOIN ck b ON b.side = a.side AND b.firm_gvkey = a.partner_gvkey AND b.year = a.year AND b.quarter = a.quarter""",
     "h3": """SELECT DISTINCT a.side, a.firm_gvkey, b.partner_gvkey, a.year, a.quarter
-      FROM h2 a JOIN lk b ON b.side = a.side AND b.firm_gvkey = a.partner_gvkey AND b.year = a.year AND b.quarter = a.quarter""",
-    "dlk": """SELECT side, 1 AS degree, firm_gvkey, partner_gvkey, year, quarter FROM lk
+      FROM h2 a JOIN ck b ON b.side = a.side AND b.firm_gvkey = a.partner_gvkey AND b.year = a.year AND b.quarter = a.quarter""",
+    "dlk": """SELECT side, 1 AS degree, firm_gvkey, partner_gvkey, year, quarter FROM ck
       UNION ALL SELECT side, 2, firm_gvkey, partner_gvkey, year, quarter FROM h2
       UNION ALL SELECT side, 3, firm_gvkey, partner_gvkey, year, quarter FROM h3""",
     # declines
@@ -253,7 +258,7 @@ CTES |= {
     "nwa": _wide("nfa", "firm_gvkey, year"),
     # graph
     "ge": """SELECT DISTINCT year, quarter, CASE side WHEN 'supplier' THEN partner_gvkey ELSE firm_gvkey END AS source,
-        CASE side WHEN 'supplier' THEN firm_gvkey ELSE partner_gvkey END AS target FROM lk""",
+        CASE side WHEN 'supplier' THEN firm_gvkey ELSE partner_gvkey END AS target FROM fo""",
     "gn": "SELECT year, quarter, source AS node FROM ge UNION SELECT year, quarter, target FROM ge",
     "gs": "SELECT year, quarter, count(*) AS n FROM gn GROUP BY ALL",
     "walk": """SELECT year, quarter, source AS s, target AS t, 1 AS d FROM ge
@@ -277,7 +282,7 @@ CTES |= {
       FROM (SELECT year, quarter, node, count(*) AS k FROM (SELECT year, quarter, source AS node FROM ge UNION ALL SELECT year, quarter, target FROM ge) GROUP BY ALL) g
       JOIN gs s USING (year, quarter)""",
     "ex": """SELECT g.year, g.quarter, g.node, coalesce(min(f.firm_pol), 0) AS exposure FROM gn g
-      LEFT JOIN fs f ON f.firm_gvkey = g.node AND f.year = g.year AND f.quarter = g.quarter GROUP BY ALL""",
+      LEFT JOIN fo f ON f.firm_gvkey = g.node AND f.year = g.year AND f.quarter = g.quarter GROUP BY ALL""",
     "ee": """SELECT e.*, a.exposure AS own, b.exposure AS other FROM ge e JOIN ex a ON a.node = e.source AND a.year = e.year AND a.quarter = e.quarter
       JOIN ex b ON b.node = e.target AND b.year = e.year AND b.quarter = e.quarter""",
     "gp": f"SELECT * FROM ge WHERE year = {IN.GRAPH_PERIOD[0]} AND quarter = {IN.GRAPH_PERIOD[1]}",
@@ -470,7 +475,7 @@ SQL: dict[str, str] = {
     + " UNION ALL ".join(
         f"SELECT 'larger_' || side || '_{m}_prop' AS metric, year, quarter, {m}_prop AS prop, firm_count FROM rs" for m in METRICS
     ),
-    "firm_universe": "SELECT DISTINCT firm_gvkey, year, quarter, firm_pol, firm_covid, firm_cc FROM fs",
+    "firm_universe": "SELECT DISTINCT firm_gvkey, year, quarter, firm_pol, firm_covid, firm_cc FROM fo",
     "firm_meta": "SELECT DISTINCT u.firm_gvkey, u.year, u.quarter, s.partner_gvkey AS supplier_gvkey, c.partner_gvkey AS customer_gvkey, "
     + ", ".join(f"u.firm_{m} + s.partner_{m}_weighted + c.partner_{m}_weighted AS sc_{m}" for m in METRICS)
     + """ FROM (SELECT DISTINCT firm_gvkey, year, quarter, firm_pol, firm_covid, firm_cc FROM fl) u
@@ -484,7 +489,7 @@ SQL: dict[str, str] = {
     "coverage_by_year": "SELECT year, count(*) AS n FROM cov WHERE two AND three GROUP BY year",
     "degree_links": "SELECT * FROM dlk",
     "link_cycles": "SELECT * FROM dlk WHERE firm_gvkey = partner_gvkey",
-    "avg_partner_count": """SELECT s.side, g.degree, avg(coalesce(c.n, 0)) AS avg_partners FROM (SELECT DISTINCT firm_gvkey, year, quarter FROM lk) u,
+    "avg_partner_count": """SELECT s.side, g.degree, avg(coalesce(c.n, 0)) AS avg_partners FROM (SELECT DISTINCT firm_gvkey, year, quarter FROM ck) u,
       (VALUES ('supplier'), ('customer')) s(side), range(1, 4) g(degree)
       LEFT JOIN (SELECT side, degree, firm_gvkey, year, quarter, count(DISTINCT partner_gvkey) AS n FROM dlk GROUP BY ALL) c
         ON c.side = s.side AND c.degree = g.degree AND c.firm_gvkey = u.firm_gvkey AND c.year = u.year AND c.quarter = u.quarter GROUP BY ALL""",
@@ -569,7 +574,8 @@ def _needed(sql: str) -> list[str]:
     found: list[str] = []
 
     def visit(text: str) -> None:
-        for name in re.findall(r"[a-z_][a-z0-9_]*", text):
+        # A table stands after FROM, JOIN or a comma; a name followed by "." is an alias.
+        for name in re.findall(r"(?:\bFROM|\bJOIN|,)\s+([a-z_][a-z0-9_]*)(?![\w.(])", text):
             if name in CTES and name not in found and name not in visiting:
                 visiting.add(name)
                 visit(CTES[name])
@@ -596,6 +602,8 @@ def _typed(spec: str) -> str:
 def statement(name: str) -> str:
     """Complete SQL of one query, with the named steps it needs."""
     body = SQL[name].strip()
+    if "{nm_link}" not in body and "lname" in _needed(body):
+        body = "{nm_link} " + body
     after: list[str] = []
     for bundle, text in BUNDLES.items():
         marker = "{" + bundle + "}"
