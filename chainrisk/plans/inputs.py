@@ -37,9 +37,9 @@ STANDINS: dict[str, str] = {
         FROM (SELECT l_suppkey AS source_company_id,
                 CAST(sum(o_custkey) % (SELECT count(*) FROM supplier) AS BIGINT) AS target_company_id,
                 CASE WHEN l_linestatus='F' THEN 'SUPPLIER' ELSE 'CUSTOMER' END AS rel_type,
-                min(CAST(least(o_orderdate,l_shipdate) AS DATE)) AS start_,
+                min(CAST(l_shipdate AS DATE)) AS start_,
                 CASE WHEN sum(CAST(round(l_tax*100) AS BIGINT))>=5*count(*) THEN DATE '4000-01-01'
-                     ELSE max(CAST(greatest(o_orderdate,l_shipdate) AS DATE)) END AS end_,
+                     ELSE CAST(max(CAST(l_shipdate AS DATE)) + INTERVAL '100' DAY AS DATE) END AS end_,
                 count(*) AS k
               FROM lineitem JOIN orders ON l_orderkey=o_orderkey
               GROUP BY l_suppkey, l_linestatus, year(l_shipdate), quarter(l_shipdate)) r
