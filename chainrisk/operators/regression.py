@@ -1,10 +1,11 @@
 """Two-way fixed-effect least squares with two-way clustered errors.
 
 The firm effect is removed by firm means and the time effect by regressing on
-time dummies, through their cross moments.  The number of time levels is set by
-the calendar, so those moments form a small matrix, and the demeaning is exact
-after two passes over the data, also for unbalanced panels; there is no loop to
-converge.  Only matrices of size (time levels) and (regressors) reach the driver.
+time dummies, through their cross moments.  With at most DENSE_LEVELS time levels
+those moments form a small matrix, and the demeaning is exact after two passes over
+the data, also for unbalanced panels.  With more levels the same equations are
+solved by conjugate gradients whose vectors stay distributed, one table row per
+level.  Only matrices of size (DENSE_LEVELS) and (regressors) reach the driver.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from chainrisk.sources.staging import stage
 
-MAX_TIME_LEVELS = 5_000
+DENSE_LEVELS = 1_000
+TOLERANCE = 1e-12  # of the squared residual against the right-hand side
 COLLINEAR = 1e-9
 
 
@@ -64,27 +66,23 @@ def student_p(t: float, df: float) -> float:
     return min(1.0, 2 * area / whole)
 
 
-def _time_levels(rows: DataFrame, time: str) -> list:
-    """Sorted levels of the time effect; the calendar bounds their number."""
-    found = rows.select(time).distinct().limit(MAX_TIME_LEVELS + 1).collect()
-    if len(found) > MAX_TIME_LEVELS:
-        raise ValueError(f"{time} has too many levels; absorb it as the unit instead")
-    return sorted(r[0] for r in found)
+def _cells(rows: DataFrame, columns: Sequence[str], unit: str, time: str) -> DataFrame:
+    """Rows per unit and level (n), and the sums of the columns."""
+    return rows.groupBy(unit, time).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in columns]).alias("sums")
+    )
 
 
 def _time_moments(
-    rows: DataFrame, levels: Sequence, columns: Sequence[str], unit: str, time: str
+    cells: DataFrame, levels: Sequence, width: int, unit: str, time: str
 ) -> tuple[np.ndarray, np.ndarray]:
     """Cross moments of the time dummies, and with the columns, firm means removed.
 
     A unit is one row with at most as many cells as there are time levels.
-    Each task adds up its units; the tasks' small matrices are summed in Spark.
+    Each task adds up its units cell by cell; the tasks' matrices are summed in Spark.
     """
     place = {level: i for i, level in enumerate(levels)}
-    size, width = len(levels), len(columns)
-    cells = rows.groupBy(unit, time).agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in columns]).alias("sums")
-    )
+    size = len(levels)
     units = cells.groupBy(unit).agg(
         F.collect_list(F.struct(F.col(time).alias("t"), "n", "sums")).alias("cells")
     ).select("cells.t", "cells.n", F.flatten("cells.sums").alias("sums"))
@@ -92,15 +90,12 @@ def _time_moments(
     def add_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gram, cross = np.zeros((size, size)), np.zeros((size, width))
         for batch in batches:
-            counts = np.zeros((len(batch), size))
-            sums = np.zeros((len(batch), size, width))
-            for i, (times, n, flat) in enumerate(zip(batch["t"], batch["n"], batch["sums"])):
-                at = [place[t] for t in times]
-                counts[i, at] = n
-                sums[i, at] = np.asarray(flat).reshape(len(at), width)
-            total = counts.sum(axis=1, keepdims=True)
-            gram += np.diag(counts.sum(axis=0)) - counts.T @ (counts / total)
-            cross += sums.sum(axis=0) - counts.T @ (sums.sum(axis=1) / total)
+            for times, n, flat in zip(batch["t"], batch["n"], batch["sums"]):
+                at = np.array([place[t] for t in times])
+                n, sums = np.asarray(n, dtype=float), np.asarray(flat).reshape(len(at), width)
+                gram[at, at] += n
+                gram[np.ix_(at, at)] -= np.outer(n, n / n.sum())
+                cross[at] += sums - np.outer(n / n.sum(), sums.sum(axis=0))
         yield pd.DataFrame({"i": range(size), "row": list(np.hstack([gram, cross]))})
 
     parts = units.mapInPandas(add_up, "i int, row array<double>")
@@ -115,23 +110,115 @@ def _time_moments(
     return out[:, :size], out[:, size:]
 
 
+def _scaled_sum(a: str, b: str, factors: np.ndarray) -> Column:
+    """a + factor * b, column by column of two array columns."""
+    scale = F.array(*[F.lit(float(f)) for f in factors])
+    return F.zip_with(a, F.zip_with(b, scale, lambda x, f: x * f), lambda x, y: x + y)
+
+
+def _array_sums(name: str, width: int, weight: Column | None = None) -> Column:
+    value = lambda j: F.col(name)[j] if weight is None else F.col(name)[j] * weight
+    return F.array(*[F.sum(value(j)) for j in range(width)])
+
+
+def _dots(df: DataFrame, a: str, b: str, width: int) -> np.ndarray:
+    row = df.agg(*[F.sum(F.col(a)[j] * F.col(b)[j]).alias(f"d{j}") for j in range(width)]).first()
+    return np.array([row[j] or 0.0 for j in range(width)])
+
+
+def _without_unit_part(cells: DataFrame, vectors: DataFrame, name: str, unit: str, time: str, width: int) -> DataFrame:
+    """The normal equations' matrix times a vector of the levels, as (time, product)."""
+    here = cells.select(unit, time, "n").join(vectors.select(time, name), time)
+    means = here.groupBy(unit).agg(
+        F.sum("n").alias("rows"), _array_sums(name, width, F.col("n")).alias("total")
+    ).select(unit, F.transform("total", lambda x: x / F.col("rows")).alias("mean"))
+    left = here.join(means, unit).select(
+        time, F.zip_with(name, "mean", lambda x, m: (x - m)).alias("v"), "n"
+    )
+    return left.groupBy(time).agg(_array_sums("v", width, F.col("n")).alias("product"))
+
+
+def _distributed_effects(cells: DataFrame, width: int, unit: str, time: str) -> DataFrame:
+    """Time effects by conjugate gradients, all columns at once: (time, x array)."""
+    totals = cells.groupBy(unit).agg(F.sum("n").alias("rows"), _array_sums("sums", width).alias("total"))
+    right = cells.join(totals, unit).select(
+        time,
+        F.zip_with("sums", "total", lambda s, t: s - t * F.col("n") / F.col("rows")).alias("v"),
+    ).groupBy(time).agg(_array_sums("v", width).alias("r"))
+    state = stage(right.select(time, F.transform("r", lambda x: x * 0).alias("x"), "r", F.col("r").alias("p")), "cg")
+    norms = _dots(state, "r", "r", width)
+    limit = TOLERANCE * np.maximum(norms, 1e-300)
+    for _ in range(10 * DENSE_LEVELS):
+        if (norms <= limit).all():
+            break
+        applied = stage(
+            state.join(_without_unit_part(cells, state, "p", unit, time, width), time), "cg-applied"
+        )
+        curve = _dots(applied, "p", "product", width)
+        live = (norms > limit) & (curve > 0)
+        step = np.where(live, norms / np.where(live, curve, 1.0), 0.0)
+        moved = applied.select(
+            time, _scaled_sum("x", "p", step).alias("x"), _scaled_sum("r", "product", -step).alias("r"), "p"
+        )
+        after = _dots(moved, "r", "r", width)
+        if not live.any():
+            break
+        turn = np.where(live, after / np.where(live, norms, 1.0), 0.0)
+        state = stage(moved.select(time, "x", "r", _scaled_sum("r", "p", turn).alias("p")), "cg")
+        norms = np.where(live, after, norms)
+    return state.select(time, "x")
+
+
+def _linked_parts(cells: DataFrame, unit: str, time: str) -> int:
+    """Number of connected parts of the graph of units and levels."""
+    labels = stage(cells.select(time).distinct().withColumn("label", F.xxhash64(time)), "part-labels")
+    while True:
+        by_unit = cells.join(labels, time).groupBy(unit).agg(F.min("label").alias("low"))
+        lower = stage(cells.join(by_unit, unit).groupBy(time).agg(F.min("low").alias("label")), "part-labels")
+        old = labels.select(time, F.col("label").alias("old"))
+        if lower.join(old, time).where("label <> old").isEmpty():
+            return lower.select("label").distinct().count()
+        labels = lower
+
+
 def demean(
-    rows: DataFrame, levels: Sequence, columns: Sequence[str], unit: str, time: str
-) -> DataFrame:
-    """Columns with both effects removed, named as before; keys are kept."""
-    gram, cross = _time_moments(rows, levels, columns, unit, time)
-    # The dummies sum to one, so the moments are singular: cut that direction.
-    effects = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ cross
-    table = pd.DataFrame(effects, columns=[f"{c}_effect" for c in columns]).assign(**{time: levels})
-    schema = [f"{c}_effect double" for c in columns] + [f"{time} {dict(rows.dtypes)[time]}"]
-    effect_table = rows.sparkSession.createDataFrame(table, ", ".join(schema))
+    rows: DataFrame, columns: Sequence[str], unit: str, time: str
+) -> tuple[DataFrame, int, int]:
+    """Columns with both effects removed, named as before; keys are kept.
+
+    Also the number of time levels, and how many of their effects are free once
+    the unit effects are in: levels minus connected parts of units and levels.
+    """
+    kind = dict(rows.dtypes)[time]
+    cells = stage(_cells(rows, columns, unit, time), "panel-cells")
+    count = cells.agg(F.count_distinct(time)).first()[0]
+    if count <= DENSE_LEVELS:
+        levels = sorted(r[0] for r in cells.select(time).distinct().collect())
+        gram, cross = _time_moments(cells, levels, len(columns), unit, time)
+        # The dummies of a connected part sum to one, so the moments are singular: cut those directions.
+        effects = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ cross
+        free = int(np.linalg.matrix_rank(gram, tol=1e-9 * max(np.abs(gram).max(), 1e-300), hermitian=True))
+        table = pd.DataFrame(effects, columns=[f"{c}_effect" for c in columns]).assign(**{time: levels})
+        schema = [f"{c}_effect double" for c in columns] + [f"{time} {kind}"]
+        effect_table = rows.sparkSession.createDataFrame(table, ", ".join(schema))
+    else:
+        solved = _distributed_effects(cells, len(columns), unit, time)
+        effect_table = solved.select(time, *[F.col("x")[j].alias(f"{c}_effect") for j, c in enumerate(columns)])
+        free = count - _linked_parts(cells, unit, time)
     adjusted = rows.join(effect_table, time).selectExpr(
         unit, time, *[f"`{c}` - `{c}_effect` AS `{c}`" for c in columns]
     )
     means = adjusted.groupBy(unit).agg(*[F.expr(f"avg(`{c}`) AS `{c}_mean`") for c in columns])
-    return adjusted.join(means, unit).selectExpr(
+    flat = adjusted.join(means, unit).selectExpr(
         unit, time, *[f"`{c}` - `{c}_mean` AS `{c}`" for c in columns]
     )
+    return flat, count, free
+
+
+def semidefinite(variance: np.ndarray) -> np.ndarray:
+    """A variance matrix with its negative eigenvalues set to zero."""
+    value, vector = np.linalg.eigh((variance + variance.T) / 2)
+    return (vector * np.maximum(value, 0.0)) @ vector.T
 
 
 def _gram_columns(columns: Sequence[str]) -> list[Column]:
@@ -189,8 +276,8 @@ def fit(data: DataFrame, model: Model, staged: bool = False) -> Fit:
     n = shape["n"]
     if n == 0:
         return Fit(model, nothing, nothing, nothing, nothing, 0, 0, 0, 0, np.nan, np.nan)
-    levels = _time_levels(rows, time)
-    flat = stage(demean(rows, levels, columns, unit, time), "panel-demeaned")
+    flat, periods, free = demean(rows, columns, unit, time)
+    flat = stage(flat, "panel-demeaned")
     whole = _matrix(flat.agg(*_gram_columns([*xs, model.outcome])).first(), k + 1)
     scale = np.diag(whole)[:k]
     usable = [i for i, x in enumerate(xs) if scale[i] > COLLINEAR * shape[f"raw_{x}"]]
@@ -211,7 +298,7 @@ def fit(data: DataFrame, model: Model, staged: bool = False) -> Fit:
     direction = np.zeros(k + 1)
     direction[kept], direction[k] = -beta, 1.0
     ssr = max(float(direction @ whole @ direction), 0.0)
-    df = n - (len(kept) + shape["units"] + len(levels) - 1)
+    df = n - (len(kept) + shape["units"] + free)
 
     if kept and df > 0:
         names = [f"_s{i}" for i in range(len(kept))]
@@ -226,16 +313,16 @@ def fit(data: DataFrame, model: Model, staged: bool = False) -> Fit:
             if groups > 1:
                 factor = sign * (n - 1) / df * groups / (groups - 1)
                 meat += factor * _matrix(r, len(kept))
-        variance = np.diag(inverse @ meat @ inverse)
+        variance = np.diag(semidefinite(inverse @ meat @ inverse))
         error[kept] = np.sqrt(np.where(variance > 0, variance, np.nan))
     with np.errstate(invalid="ignore", divide="ignore"):
         t = estimate / error
     p = np.array([student_p(v, df) for v in t])
     total, within = shape["variance"] * n, whole[k, k]
     return Fit(
-        model, estimate, error, t, p, n, shape["units"], len(levels), df,
-        1 - ssr / total if total > 0 else np.nan,
-        1 - ssr / within if within > 0 else np.nan,
+        model, estimate, error, t, p, n, shape["units"], periods, df,
+        1 - ssr / total if total > 0 and df > 0 else np.nan,
+        1 - ssr / within if within > 0 and df > 0 else np.nan,
     )
 
 

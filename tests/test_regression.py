@@ -70,7 +70,8 @@ def test_unbalanced_panel(spark, parts):
 
 def test_demeaned_columns_have_no_group_means(spark):
     rows = spark.createDataFrame(panel(5), SCHEMA)
-    flat = R.demean(rows, list(range(9)), ["a", "y"], "firm_gvkey", "year")
+    flat, levels, free = R.demean(rows, ["a", "y"], "firm_gvkey", "year")
+    assert (levels, free) == (9, 8)
     for key in ("firm_gvkey", "year"):
         worst = flat.groupBy(key).avg("a", "y").toPandas()[["avg(a)", "avg(y)"]].abs().max().max()
         assert worst < 1e-9
@@ -87,6 +88,59 @@ def test_collinear_terms_are_left_out(spark):
     assert sum(r["estimate"] is None for r in table) == 2
 
 
+def test_distributed_solution_equals_the_dense_one(spark, monkeypatch):
+    df = spark.createDataFrame(panel(3), SCHEMA)
+    dense = R.fit(df, R.Model("m", "y", ("a", "b")))
+    monkeypatch.setattr(R, "DENSE_LEVELS", 4)
+    free = R.fit(df, R.Model("m", "y", ("a", "b")))
+    assert free.estimate == pytest.approx(dense.estimate, rel=1e-6)
+    assert free.error == pytest.approx(dense.error, rel=1e-6)
+    assert (free.df, free.periods) == (dense.df, dense.periods)
+
+
+def test_more_than_five_thousand_time_levels(spark):
+    """The levels' effects are taken out by the normal equations of numpy."""
+    rng = np.random.default_rng(11)
+    levels, units = 5_200, 300
+    t = np.concatenate([np.arange(levels), rng.integers(0, levels, 7_000)])
+    u = rng.integers(0, units, len(t))
+    a = rng.normal(size=len(t)) + u % 7 + t % 5
+    y = 0.5 * a + u % 11 - t % 3 + rng.normal(size=len(t))
+    d = np.zeros((len(t), units))
+    d[np.arange(len(t)), u] = 1
+    n_t = np.bincount(t, minlength=levels)
+
+    def rest(v):
+        """Level means out, then what the level-free unit dummies explain."""
+        out = lambda m: m - (np.stack([np.bincount(t, c, levels) for c in m.T], 1) / n_t[:, None])[t]
+        return out(v) - out(d) @ np.linalg.lstsq(out(d), out(v), rcond=None)[0]
+
+    x, z = rest(np.stack([a, y], 1)).T
+    rows = [(int(i), int(j), float(p), 0.0, 0.0, 0.0, float(q)) for i, j, p, q in zip(u, t, a, y)]
+    got = R.fit(spark.createDataFrame(rows, SCHEMA), R.Model("m", "y", ("a",)))
+    assert got.periods == levels and got.df == len(t) - (1 + units + levels - 1)
+    assert got.estimate[0] == pytest.approx((x @ z) / (x @ x), rel=1e-5)
+
+
+def test_unconnected_panels_have_a_free_effect_each(spark):
+    """Two panels that share no firm and no year: one more degree of freedom, as two time effects fall away."""
+    data = panel(3) + [(5000 + r[0], 50 + r[1], *r[2:]) for r in panel(4)]
+    got = R.fit(spark.createDataFrame(data, SCHEMA), R.Model("m", "y", ("a", "b")))
+    units, periods = len({r[0] for r in data}), len({r[1] for r in data})
+    assert got.df == len(data) - (2 + units + periods - 2)
+
+
+def test_indefinite_variance_is_repaired():
+    fixed = R.semidefinite(np.array([[1.0, 2.0], [2.0, 1.0]]))
+    assert fixed == pytest.approx(np.full((2, 2), 1.5))
+
+
+def test_no_fit_without_degrees_of_freedom(spark):
+    rows = [(i, 0, float(i), 1.0, 0.0, 0.0, float(i)) for i in range(5)]
+    got = R.fit(spark.createDataFrame(rows, SCHEMA), R.Model("m", "y", ("a",)))
+    assert got.df <= 0 and np.isnan(got.r2)
+
+
 def test_empty_sample(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert R.fit(df, R.Model("m", "y", ("a",))).n == 0
