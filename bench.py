@@ -2,8 +2,9 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose
 the tables and the local cores; BENCH_QUERIES, a comma-separated list, narrows
-the queries.  A query's time includes building its plan, every staged table it
-writes, and the full evaluation of its result.
+the queries.  Every query starts cold: what earlier ones have staged is deleted.  Its
+time includes building its plan, every staged table it writes, and the full
+evaluation of its result.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -60,12 +62,14 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_STAGE_DIR") or tempfile.mkdtemp(prefix="bench-stage-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/nation.parquet").count()  # start the executors
     seconds: dict[str, float] = {}
     for name in names:
+        catalog.forget(spark)
         start = time.perf_counter()
         catalog.run(name, spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)

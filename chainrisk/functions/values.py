@@ -28,10 +28,16 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+#: Decimal places to which means are compared: far above what the order of summation changes.
+COMPARED_PLACES = 6
+
+
 def larger_flag(left: Column | str, right: Column | str) -> Column:
-    """1 where ``left > right``; 0 otherwise, also when either side is missing."""
-    a = F.col(left) if isinstance(left, str) else left
-    b = F.col(right) if isinstance(right, str) else right
+    """1 where ``left > right`` at COMPARED_PLACES; 0 otherwise, also when either side is missing.
+
+    The small shift keeps values that lie on a rounding edge from going either way.
+    """
+    a, b = (F.round((F.col(c) if isinstance(c, str) else c) + F.lit(1e-9), COMPARED_PLACES) for c in (left, right))
     return F.when(a > b, 1).otherwise(0)
 
 

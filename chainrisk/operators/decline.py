@@ -177,31 +177,23 @@ def with_decline_rate(declines: DataFrame) -> DataFrame:
 def decline_rate_summary(declines: DataFrame) -> DataFrame:
     """Mean over quarters of mean, deviation, quartiles and median of the rates.
 
-    All statistics work on the frequency of each distinct rate, so that the state
-    of a quarter follows the number of different rates, not of firms.
+    Quartiles work on the frequency of each distinct rate, so that the state of a
+    quarter follows the number of different rates, not of firms.
     """
     by = ["side", "degree", "year", "quarter"]
-    rate, w = F.col("decline_rate"), F.col("w")
-    weighted = firm_decline_rate(declines).groupBy(*by, "decline_rate").agg(
-        F.count(F.lit(1)).alias("w")
+    rates = firm_decline_rate(declines)
+    moments = rates.groupBy(*by).agg(
+        F.avg("decline_rate").alias("mean"), F.stddev_samp("decline_rate").alias("std")
     )
     quantiles = [
         F.expr(f"percentile(decline_rate, {p}D, w)").alias(name)
         for name, p in (("q25", 0.25), ("q75", 0.75), ("median", 0.5))
     ]
-    periods = weighted.groupBy(*by).agg(
-        F.sum(w).alias("n"), F.sum(rate * w).alias("s1"), F.sum(rate * rate * w).alias("s2"), *quantiles
-    )
-    spread = F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.lit(0.0))
-    moments = {
-        "mean": F.col("s1") / F.col("n"),
-        "std": F.sqrt(F.try_divide(spread, F.col("n") - 1)),
-    }
+    weighted = rates.groupBy(*by, "decline_rate").agg(F.count(F.lit(1)).alias("w"))
+    places = weighted.groupBy(*by).agg(*quantiles)
     names = ["mean", "std", "q25", "q75", "median"]
     return (
-        periods.withColumns(moments)
-        .groupBy("side", "degree")
-        .agg(*[F.avg(c).alias(c) for c in names])
+        moments.join(places, by).groupBy("side", "degree").agg(*[F.avg(c).alias(c) for c in names])
     )
 
 
@@ -218,6 +210,7 @@ def flagged_share(declines: DataFrame) -> DataFrame:
     return firm_decline_flag(declines).groupBy("side", "degree").agg(F.avg("flag").alias("share"))
 
 
+# Names of the flag columns.
 FLAG_COLUMNS = {
     (s, d): f"{word}_degree_{s}_env_decline"
     for s in ("supplier", "customer")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainrisk.functions.values import clip_negative, keep_keys, larger_flag, ratio, sum_or_zero
+from chainrisk.functions.values import as_id, clip_negative, keep_keys, larger_flag, ratio, sum_or_zero
 
 METRICS = ["pol", "covid", "cc"]
 KEY = ["gvkey", "year", "quarter"]
@@ -20,17 +20,17 @@ def score_panel(pol: DataFrame, cc: DataFrame) -> DataFrame:
     """Mean political, pandemic and climate score per firm and quarter.
 
     Both tables are stacked and averaged in one grouping; a mean skips the
-    rows of the other table.
+    rows of the other table.  Rows whose firm is not a number are left out.
     """
     exposure = pol.select(
-        F.col("gvkey").cast("bigint").alias("gvkey"),
+        as_id("gvkey").alias("gvkey"),
         F.year("date").alias("year"),
         F.quarter("date").alias("quarter"),
         F.col("Risk").alias("pol"),
         F.col("Covid_Exposure").alias("covid"),
     )
     climate = cc.select(
-        F.col("gvkey").cast("bigint").alias("gvkey"), "year", "quarter", F.col("cc_expo_ew").alias("cc")
+        as_id("gvkey").alias("gvkey"), "year", "quarter", F.col("cc_expo_ew").alias("cc")
     )
     stacked = exposure.unionByName(climate, allowMissingColumns=True)
     return keep_keys(stacked, *KEY).groupBy(*KEY).agg(*[F.avg(m).alias(m) for m in METRICS])

@@ -30,7 +30,7 @@ from chainrisk.plans import inputs as IN
 from chainrisk.plans.inputs import Inputs
 from chainrisk.sources import lexicons as LX
 from chainrisk.sources import tables as TB
-from chainrisk.sources.staging import stage, staging_root
+from chainrisk.sources.staging import discard, stage, staging_root, table_versions
 
 Builder = Callable[[Inputs], DataFrame]
 QUERIES: dict[str, tuple[str, Builder]] = {}
@@ -67,13 +67,21 @@ def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shared(i: Inputs, name: str, build: Callable[[], object]):
-    """Staged result used by several queries of one session and folder."""
-    key = (i.spark.sparkContext.applicationId, i.folder, name)
+    """Staged result used by several queries of one session, as long as the folder's files stay the same."""
+    key = (i.spark.sparkContext.applicationId, i.folder, table_versions(i.spark, i.folder), name)
     if key not in _STAGED:
         _STAGED[key] = build()
     return _STAGED[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """End the life of all staged results of the session and delete their files."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _STAGED if k[0] == app]:
+        del _STAGED[key]
+    discard(spark)
+
+
 # -- intermediate results ----------------------------------------------------
 
 
@@ -253,12 +261,14 @@ def lexicon_bigrams(i: Inputs) -> DataFrame:
 def lexicon_covid(i: Inputs) -> DataFrame:
     """Covid terms with their occurrences in the transcripts and documents."""
     texts = i["conversations"].select("text").unionAll(i["documents"].select("text"))
+    terms = LX.covid_lexicon(i.spark)
     counted = (
         texts.select(F.explode(words_of("text")).alias("term"))
+        .join(terms.select("term"), "term", "left_semi")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return LX.covid_lexicon(i.spark).join(counted, "term", "left").fillna(0, ["n"])
+    return terms.join(counted, "term", "left").fillna(0, ["n"])
 
 
 # -- projections and filters -------------------------------------------------

@@ -19,6 +19,11 @@ from chainrisk.sources.tables import LINK_TYPES
 METRICS = ("pol", "covid", "cc")
 
 
+def _larger(a: str, b: str) -> str:
+    """Comparison of two means at six decimal places."""
+    return f"CASE WHEN round({a} + 1e-9, 6) > round({b} + 1e-9, 6) THEN 1 ELSE 0 END"
+
+
 def _values(rows: list[tuple]) -> str:
     def text(v: object) -> str:
         return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
@@ -207,7 +212,7 @@ CTES |= {
     "vw": """SELECT *, partner_pol * sale_r AS partner_pol_weighted, partner_covid * sale_r AS partner_covid_weighted, partner_cc * sale_r AS partner_cc_weighted
       FROM (SELECT d.*, t.sale_t, CASE WHEN t.sale_t <> 0 THEN d.sale_cs / t.sale_t END AS sale_r
             FROM ds d LEFT JOIN st t ON t.side = d.side AND t.firm_gvkey = d.firm_gvkey AND t.year = d.year)""",
-    "fl": f"""SELECT *, {", ".join(f"CASE WHEN partner_{m} > firm_{m} THEN 1 ELSE 0 END AS larger_{m}, CASE WHEN partner_{m}_weighted > firm_{m} THEN 1 ELSE 0 END AS larger_{m}_w" for m in METRICS)}
+    "fl": f"""SELECT *, {", ".join(f"{_larger(f'partner_{m}', f'firm_{m}')} AS larger_{m}, {_larger(f'partner_{m}_weighted', f'firm_{m}')} AS larger_{m}_w" for m in METRICS)}
       FROM vw WHERE firm_pol IS NOT NULL AND firm_covid IS NOT NULL AND firm_cc IS NOT NULL""",
     "fc": _complete("fs"),
     # links of firms with own scores (network) and complete links (degrees)
@@ -469,7 +474,7 @@ SQL: dict[str, str] = {
     "partner_larger_props": _SHARES.format(props=_props(""), t="fl"),
     "partner_larger_props_weighted": _SHARES.format(props=_props("_w"), t="fl"),
     "partner_larger_props_long": "rl AS (SELECT *, "
-    + ", ".join(f"CASE WHEN partner_{m} > firm_{m} THEN 1 ELSE 0 END AS larger_{m}" for m in METRICS)
+    + ", ".join(f"{_larger(f'partner_{m}', f'firm_{m}')} AS larger_{m}" for m in METRICS)
     + " FROM fs WHERE firm_pol IS NOT NULL AND firm_covid IS NOT NULL AND firm_cc IS NOT NULL), rs AS ("
     + _SHARES.format(props=_props(""), t="rl") + ") "
     + " UNION ALL ".join(

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _PRIVATE: dict[str, tempfile.TemporaryDirectory] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -38,4 +39,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop path and file system of a path, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all tables that this session has staged; frames that read them end with them."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        where, system = _file_system(spark, path)
+        system.delete(where, True)
+
+
+def table_versions(spark: SparkSession, folder: str) -> tuple:
+    """Name, size and time of every table file of a folder: another value once one is rewritten."""
+    where, system = _file_system(spark, folder)
+    found = []
+    for entry in system.listStatus(where):
+        inside = system.listStatus(entry.getPath()) if entry.isDirectory() else [entry]
+        found += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in inside]
+    return tuple(sorted(found))
