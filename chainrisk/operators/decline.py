@@ -25,6 +25,7 @@ def _mapped(scores: DataFrame, companies: DataFrame) -> DataFrame:
     return nan_to_null(scores.join(firms, "institutionid", "left"))
 
 
+# Score types and dimension names of the source.
 def esg_scores(trucost: DataFrame, companies: DataFrame) -> DataFrame:
     """Overall modelled scores by firm, year and quarter."""
     rows = trucost.filter(
@@ -197,6 +198,14 @@ def decline_rate_summary(declines: DataFrame) -> DataFrame:
     )
 
 
+def decline_coverage(declines: DataFrame) -> DataFrame:
+    """Distinct firms and distinct partners of each side's and degree's decline table."""
+    by = ["side", "degree"]
+    firms = declines.groupBy(*by).agg(F.count_distinct("firm_gvkey").alias("firms"))
+    partners = declines.groupBy(*by).agg(F.count_distinct("partner_gvkey").alias("partners"))
+    return firms.join(partners, by)
+
+
 def firm_decline_flag(declines: DataFrame) -> DataFrame:
     """1 where more than half of the firm's partner rows decline."""
     rates = firm_decline_rate(declines)

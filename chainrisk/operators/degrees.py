@@ -129,6 +129,36 @@ def coverage_by_year(table: DataFrame, degrees: Sequence[int] = (1, 2, 3)) -> Da
     return covered(table, degrees).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
 
 
+def scored_coverage(table: DataFrame) -> DataFrame:
+    """Firm-quarters with three degrees and a score of their own, and their firms, per year and in all.
+
+    ``table`` is a degree table with ``scorevalue``; the row with a NULL year is the total.
+    """
+    kept = covered(table, (1, 2, 3)).filter(F.col("scorevalue").isNotNull())
+    per_firm = kept.groupBy("year", "firm_gvkey").agg(F.count(F.lit(1)).alias("rows"))
+    yearly = per_firm.groupBy("year").agg(F.count(F.lit(1)).alias("firms"), F.sum("rows").alias("n"))
+    total = per_firm.groupBy("firm_gvkey").agg(F.sum("rows").alias("rows")).agg(
+        F.lit(None).cast("int").alias("year"), F.count(F.lit(1)).alias("firms"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n")
+    )
+    return yearly.unionByName(total)
+
+
+def firm_first_degree_table(links: DataFrame, equal: DataFrame, value: DataFrame) -> DataFrame:
+    """Equal- and value-weighted first-degree scores of a firm-quarter in one row."""
+    named = {"ew": equal, "vw": value}
+    stacked = reduce(
+        DataFrame.unionByName,
+        [d.select(F.lit(w).alias("weight"), *SIDED_PERIOD, *METRICS) for w, d in named.items()],
+    )
+    spread = [
+        F.max(F.when((F.col("weight") == w) & (F.col("side") == side), F.col(m))).alias(f"degree1_{w}_{side}_{m}")
+        for w in named
+        for side in ("supplier", "customer")
+        for m in METRICS
+    ]
+    return firm_universe(links).join(stacked.groupBy(*FIRM_PERIOD).agg(*spread), FIRM_PERIOD, "left")
+
+
 def degree_links(links: DataFrame) -> DataFrame:
     """Distinct partners at one, two and three hops, long.
 

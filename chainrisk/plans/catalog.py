@@ -664,6 +664,25 @@ def esg_firm_ffill(i: Inputs) -> DataFrame:
     return DC.fill_firm_scores(_degree_table(i), _esg(i))
 
 
+@query("year:l firms:l n:l")
+def coverage_with_esg_score(i: Inputs) -> DataFrame:
+    return DG.scored_coverage(DC.fill_firm_scores(_degree_table(i), _esg(i)))
+
+
+@query("side:s degree:l firms:l partners:l")
+def decline_table_counts(i: Inputs) -> DataFrame:
+    return DC.decline_coverage(_esg_decline(i))
+
+
+@query(
+    "firm_gvkey:l year:l quarter:l "
+    + " ".join(f"degree1_{w}_{s}_{m}:d" for w in ("ew", "vw") for s in ("supplier", "customer") for m in S.METRICS)
+)
+def firm_first_degree_table(i: Inputs) -> DataFrame:
+    links = _complete_weighted(i)
+    return DG.firm_first_degree_table(links, DG.first_degree_equal(links), DG.first_degree_value(links))
+
+
 @query("gvkey:l year:l quarter:l covid:d covid_filled:d")
 def ffill_panel(i: Inputs) -> DataFrame:
     filled = forward_fill("covid", ["gvkey"], ["year", "quarter"])

@@ -503,6 +503,21 @@ SQL: dict[str, str] = {
     "esg_firm_ffill": f"""SELECT firm_gvkey, year, quarter, firm_pol, degree1_supplier_pol,
         last_value(v IGNORE NULLS) OVER (PARTITION BY firm_gvkey ORDER BY year, quarter, v NULLS FIRST {FILL}) AS scorevalue
       FROM (SELECT f.*, e.scorevalue AS v FROM ft f LEFT JOIN esg e ON e.gvkey = f.firm_gvkey AND e.year = f.year AND e.quarter = f.quarter)""",
+    "coverage_with_esg_score": f"""ff AS (SELECT f.*, last_value(v IGNORE NULLS) OVER (PARTITION BY firm_gvkey ORDER BY year, quarter, v NULLS FIRST {FILL}) AS filled
+        FROM (SELECT f.*, e.scorevalue AS v FROM ft f LEFT JOIN esg e ON e.gvkey = f.firm_gvkey AND e.year = f.year AND e.quarter = f.quarter) f),
+      fk AS (SELECT * FROM ff WHERE filled IS NOT NULL AND """
+    + " AND ".join(f"(degree{d}_supplier_pol IS NOT NULL OR degree{d}_customer_pol IS NOT NULL)" for d in (1, 2, 3))
+    + """) SELECT year, count(DISTINCT firm_gvkey) AS firms, count(*) AS n FROM fk GROUP BY year
+      UNION ALL SELECT NULL, count(DISTINCT firm_gvkey), count(*) FROM fk""",
+    "decline_table_counts": "SELECT side, degree, count(DISTINCT firm_gvkey) AS firms, count(DISTINCT partner_gvkey) AS partners FROM edq GROUP BY side, degree",
+    "firm_first_degree_table": "SELECT u.firm_gvkey, u.year, u.quarter, "
+    + ", ".join(f"{w}_{s[0]}.{m} AS degree1_{w}_{s}_{m}" for w in ("ew", "vw") for s in ("supplier", "customer") for m in METRICS)
+    + " FROM (SELECT DISTINCT firm_gvkey, year, quarter, firm_pol, firm_covid, firm_cc FROM dc) u "
+    + " ".join(
+        f"LEFT JOIN {t} {w}_{s[0]} ON {w}_{s[0]}.side = '{s}' AND {w}_{s[0]}.firm_gvkey = u.firm_gvkey AND {w}_{s[0]}.year = u.year AND {w}_{s[0]}.quarter = u.quarter"
+        for w, t in (("ew", "e1"), ("vw", "v1"))
+        for s in ("supplier", "customer")
+    ),
     "ffill_panel": f"SELECT gvkey, year, quarter, covid, last_value(covid IGNORE NULLS) OVER (PARTITION BY gvkey ORDER BY year, quarter {FILL}) AS covid_filled FROM sp",
     "esg_decline_quarterly": "SELECT * FROM edq",
     "env_decline_quarterly": "SELECT * FROM ndq",
