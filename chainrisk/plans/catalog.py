@@ -446,6 +446,14 @@ def name_match_pairs(i: Inputs) -> DataFrame:
 # -- transcripts -------------------------------------------------------------
 
 
+def _lexicon(i: Inputs) -> DataFrame:
+    return shared(i, "lexicon", lambda: stage(i.lexicon(), "lexicon"))
+
+
+def _bigrams(i: Inputs) -> DataFrame:
+    return shared(i, "bigrams", lambda: stage(i.bigrams(), "bigrams"))
+
+
 @query("transcriptid:l ord:l cleaned:s n_words:l")
 def text_clean(i: Inputs) -> DataFrame:
     return T.cleaned_components(i["fx_transcripts"])
@@ -468,17 +476,17 @@ def bigram_windows(i: Inputs) -> DataFrame:
 
 @query("transcriptid:l Risk:l Sentiment:l Covid:l total_words:l")
 def transcript_unconditional(i: Inputs) -> DataFrame:
-    return T.unconditional_scores(i["fx_transcripts"], i.lexicon())
+    return T.unconditional_scores(i["fx_transcripts"], _lexicon(i))
 
 
 @query("transcriptid:l Pol:d PRisk:d PSentiment:d")
 def transcript_conditional(i: Inputs) -> DataFrame:
-    return T.conditional_scores(i["fx_transcripts"], i.lexicon(), i.bigrams())
+    return T.conditional_scores(i["fx_transcripts"], _lexicon(i), _bigrams(i))
 
 
 @query("transcriptid:l Risk:d Sentiment:d Covid:d Pol:d PRisk:d PSentiment:d total_words:l")
 def transcript_scores(i: Inputs) -> DataFrame:
-    return T.transcript_scores(i["fx_transcripts"], i.lexicon(), i.bigrams())
+    return T.transcript_scores(i["fx_transcripts"], _lexicon(i), _bigrams(i))
 
 
 @query("transcriptid:l Risk:d Sentiment:d Covid:d Pol:d PRisk:d PSentiment:d total_words:l")
@@ -487,7 +495,7 @@ def document_scores(i: Inputs) -> DataFrame:
     parts = i["documents"].select(
         F.col("doc_id").alias("transcriptid"), F.lit(0).alias("ord"), F.col("text").alias("componenttext")
     )
-    return T.transcript_scores(parts, i.lexicon(), i.bigrams())
+    return T.transcript_scores(parts, _lexicon(i), _bigrams(i))
 
 
 # -- scores and links --------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chainrisk.functions.text import bigrams_of, words_of
 from chainrisk.operators.panel import panel_expand
-from chainrisk.sources.lexicons import covid_lexicon
+from chainrisk.sources.lexicons import bigram_lexicon, covid_lexicon, risk_lexicon, sentiment_lexicon
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -109,14 +109,6 @@ STANDINS: dict[str, str] = {
         SELECT conv_id AS transcriptid, turn AS ord, text AS componenttext FROM conversations""",
 }
 
-# Frequent words of the test texts used as lexicons.
-POSITIVE = ["from", "with", "this"]
-NEGATIVE = ["was", "by", "are"]
-RISK = ["that", "for", "on"]
-COVID_EXTRA = ["is"]
-BIGRAMS = {"of the": 0.5, "the of": 0.25, "to the": 1.0, "and the": 0.125}
-
-
 class Inputs:
     """Tables of one data directory; stand-ins are built on demand."""
 
@@ -142,13 +134,15 @@ class Inputs:
         return panel_expand(self["fx_relation"], FIRST_YEAR, LAST_YEAR, OPEN_END)
 
     def lexicon(self) -> DataFrame:
-        tagged = {"positive": POSITIVE, "negative": NEGATIVE, "risk": RISK, "covid": COVID_EXTRA}
-        rows = [(w, tag) for tag, words in tagged.items() for w in words]
-        own = self.spark.createDataFrame(rows, "term string, tag string")
-        return own.unionByName(covid_lexicon(self.spark))
+        """Sentiment, risk and virus terms of the folder's own texts."""
+        return (
+            sentiment_lexicon(self.dictionary())
+            .unionByName(risk_lexicon(self.synonym_lines()))
+            .unionByName(covid_lexicon(self.spark))
+        )
 
     def bigrams(self) -> DataFrame:
-        return self.spark.createDataFrame(list(BIGRAMS.items()), "term string, weight double")
+        return bigram_lexicon(self.bigram_table())
 
     def dictionary(self) -> DataFrame:
         """A master dictionary: every document word with marks by its length."""

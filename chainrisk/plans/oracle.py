@@ -45,13 +45,7 @@ def _words(column: str) -> str:
     return f"list_filter(string_split({_clean(column)}, ' '), lambda w: w <> '')"
 
 
-LEXICON_ROWS = (
-    [(w, "positive") for w in IN.POSITIVE]
-    + [(w, "negative") for w in IN.NEGATIVE]
-    + [(w, "risk") for w in IN.RISK]
-    + [(w, "covid") for w in IN.COVID_EXTRA]
-    + sorted({(re.sub("[^a-z ]", "", t.lower()), "covid") for t in COVID_TERMS})
-)
+COVID_ROWS = sorted({(re.sub("[^a-z ]", "", t.lower()), "covid") for t in COVID_TERMS})
 
 FILL = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 LINK = "side, degree, firm_gvkey, partner_gvkey"
@@ -153,8 +147,14 @@ def _name_scores(a: str, b: str) -> str:
 
 CTES: dict[str, str] = {k: v.replace("STRING", "VARCHAR") for k, v in IN.STANDINS.items()}
 CTES |= {
-    "lex": f"SELECT * FROM (VALUES {_values(LEXICON_ROWS)}) v(term, tag)",
-    "big": f"SELECT * FROM (VALUES {_values(list(IN.BIGRAMS.items()))}) v(term, weight)",
+    # lexicons: marked words and all blank-separated words of the documents, counted word pairs of the transcripts
+    "dic": f"SELECT DISTINCT unnest({_words('text')}) AS w FROM documents",
+    "lex": f"""SELECT w AS term, 'positive' AS tag FROM dic WHERE length(w) % 5 = 0 UNION ALL SELECT w, 'negative' FROM dic WHERE length(w) % 7 = 0
+      UNION ALL SELECT DISTINCT term, 'risk' FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS term FROM documents) WHERE term <> ''
+      UNION ALL SELECT * FROM (VALUES {_values(COVID_ROWS)}) v(term, tag)""",
+    "pw": f"SELECT {_words('text')} AS w FROM conversations",
+    "big": """SELECT term, count(*) * 0.125 AS weight FROM
+      (SELECT unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM pw) GROUP BY term""",
     # transcripts as one word list each
     "tw": f"""SELECT transcriptid, {_words("string_agg(componenttext, ' ' ORDER BY ord)")} AS w
       FROM fx_transcripts GROUP BY transcriptid""",
@@ -383,18 +383,23 @@ CTES["nb"] = f"SELECT id, {_base('name_a')} AS name_a, {_base('name_b')} AS name
 
 
 def _scores_sql(words: str, columns: str) -> str:
-    def n(t: str, w: str = "w") -> str:
-        terms = ", ".join(f"'{term}'" for term, tag in LEXICON_ROWS if tag == t)
-        return f"len(list_filter({w}, lambda x: list_contains([{terms}], x)))"
+    def n(tag: str) -> str:
+        return f"count(*) FILTER (tag = '{tag}')"
 
     return f"""
       win AS (SELECT transcriptid, w, unnest(range(11, greatest(len(w) - 10, 11))) AS c FROM {words}),
-      hit AS (SELECT transcriptid, weight, list_distinct(w[c - 10:c + 11]) AS v FROM win JOIN big ON big.term = w[c] || ' ' || w[c + 1]),
-      con AS (SELECT transcriptid, sum(weight) AS Pol, sum(CASE WHEN {n("risk", "v")} > 0 THEN weight ELSE 0 END) AS PRisk,
-          sum(weight * ({n("positive", "v")} - {n("negative", "v")})) AS PSentiment FROM hit GROUP BY ALL),
-      unc AS (SELECT transcriptid, {n("risk")} AS Risk, {n("positive")} - {n("negative")} AS Sentiment, {n("covid")} AS Covid, len(w) AS total_words FROM {words}),
-      allsc AS (SELECT u.*, coalesce(c.Pol, 0) AS Pol, coalesce(c.PRisk, 0) AS PRisk, coalesce(c.PSentiment, 0) AS PSentiment
-        FROM unc u LEFT JOIN con c USING (transcriptid))
+      hit AS (SELECT transcriptid, c, weight, list_distinct(w[c - 10:c + 11]) AS v FROM win JOIN big ON big.term = w[c] || ' ' || w[c + 1]),
+      hw AS (SELECT transcriptid, c, weight, unnest(v) AS x FROM hit),
+      hn AS (SELECT transcriptid, c, weight, {n("risk")} AS r, {n("positive")} AS p, {n("negative")} AS g FROM hw
+        LEFT JOIN lex ON lex.term = hw.x GROUP BY ALL),
+      con AS (SELECT transcriptid, sum(weight) AS Pol, sum(CASE WHEN r > 0 THEN weight ELSE 0 END) AS PRisk,
+          sum(weight * (p - g)) AS PSentiment FROM hn GROUP BY ALL),
+      uw AS (SELECT transcriptid, unnest(w) AS x FROM {words}),
+      un AS (SELECT transcriptid, {n("risk")} AS Risk, {n("positive")} - {n("negative")} AS Sentiment, {n("covid")} AS Covid
+        FROM uw JOIN lex ON lex.term = uw.x GROUP BY ALL),
+      allsc AS (SELECT t.transcriptid, len(t.w) AS total_words, coalesce(u.Risk, 0) AS Risk, coalesce(u.Sentiment, 0) AS Sentiment,
+          coalesce(u.Covid, 0) AS Covid, coalesce(c.Pol, 0) AS Pol, coalesce(c.PRisk, 0) AS PRisk, coalesce(c.PSentiment, 0) AS PSentiment
+        FROM {words} t LEFT JOIN un u USING (transcriptid) LEFT JOIN con c USING (transcriptid))
       SELECT {columns} FROM allsc"""
 
 
@@ -418,8 +423,7 @@ SQL: dict[str, str] = {
     "scan_pruned": "SELECT l_orderkey, l_suppkey, l_quantity FROM lineitem",
     "scan_date_range": "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-31' AND TIMESTAMP '1998-06-30'",
     "scan_linktype_in": "SELECT * FROM ccm",
-    "lexicon_sentiment": f"""dic AS (SELECT DISTINCT unnest({_words('text')}) AS w FROM documents)
-      SELECT w AS term, 'positive' AS tag FROM dic WHERE length(w) % 5 = 0 UNION ALL SELECT w, 'negative' FROM dic WHERE length(w) % 7 = 0""",
+    "lexicon_sentiment": """SELECT w AS term, 'positive' AS tag FROM dic WHERE length(w) % 5 = 0 UNION ALL SELECT w, 'negative' FROM dic WHERE length(w) % 7 = 0""",
     "lexicon_risk": """lt AS (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS term FROM documents)
       SELECT DISTINCT term, 'risk' AS tag FROM lt WHERE term <> ''""",
     "lexicon_bigrams": f"""cw AS (SELECT {_words('text')} AS w FROM conversations),
