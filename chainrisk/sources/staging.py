@@ -49,6 +49,14 @@ def _file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; each must be a plain scan of one."""
+    for df in tables:
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            where, system = _file_system(df.sparkSession, folder)
+            system.delete(where, True)
+
+
 def discard(spark: SparkSession) -> None:
     """Delete all tables that this session has staged; frames that read them end with them."""
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
