@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _ODD = 0x9E3779B97F4A7C15  # base of the polynomial; any odd number has an inverse
 _INVERSE = pow(_ODD, -1, 1 << 64)
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])

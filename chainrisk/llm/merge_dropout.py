@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from chainrisk.llm.arrays import SpanHash, mix, text_chunks
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 LONG = 48
 _SPACE_MARK = 0x2581
 _NEVER = np.int64(1) << np.int64(62)
