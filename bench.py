@@ -27,25 +27,16 @@ HEADLINE = [
     "links_union",
     "name_match_topk",
     "score_panel",
-    "score_attach",
     "value_weighted_links",
     "partner_larger_props",
     "firm_degree_table",
     "degree_links",
-    "esg_decline_quarterly",
-    "env_decline_annual",
     "decline_rate_summary",
-    "degree_centrality",
     "closeness_centrality",
-    "betweenness_centrality",
-    "nodes_majority_lower",
-    "ego_network",
-    "ctl_bm_quarter",
     "ctl_return_quarter",
     "excess_return_cumulative",
     "regression_sample",
     "felm_coefficients",
-    "felm_annual_models",
 ]
 
 
