@@ -3,14 +3,15 @@
 Training counts every four-byte string and every word of all training texts.  The
 context trie holds contexts of up to three bytes.  A byte is predicted in its longest
 context of the trie; escapes follow method C, and symbols of a longer context are
-excluded in the shorter ones.  The pretrained trie is turned into one table of log
-probabilities, so that scoring is a gather per byte.
+excluded in the shorter ones.  The frequent part of the pretrained trie is turned into
+one table of log probabilities, so that scoring is a gather per byte; bytes in all other
+contexts are joined with log probabilities made from the same counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,31 @@ class TrieModel:
     symbols: np.ndarray  # byte -> symbol, unseen bytes share the last one
     rows: np.ndarray  # contexts of three symbols -> row of their longest known suffix
     logs: np.ndarray  # rows x symbols
+    deep: int  # first row of a context of three symbols
+    pairs: np.ndarray  # contexts of two symbols x symbols: counts
+
+
+def _parts(symbols: np.ndarray, code: np.ndarray, n: int) -> list[np.ndarray]:
+    return [symbols[code >> (8 * (n - 1 - i)) & 0xFF] for i in range(n)]
+
+
+def _logs_of(stack: list[np.ndarray]) -> np.ndarray:
+    """Log probabilities for contexts given their counts at falling orders."""
+    m, size = stack[0].shape
+    p = np.zeros((m, size + 1))
+    escape, known = np.ones(m), np.zeros((m, size), dtype=bool)
+    for level in stack:
+        left = np.where(known, 0.0, level)
+        total, kinds = left.sum(axis=1), (left > 0).sum(axis=1)
+        some = kinds > 0
+        share = np.where(some, escape / np.maximum(total + kinds, 1), 0.0)
+        p[:, :size] += left * share[:, None]
+        escape = np.where(some, share * kinds, escape)
+        known |= left > 0
+    flat = escape / np.maximum(256 - known.sum(axis=1), 1)
+    p[:, :size] = np.where(known, p[:, :size], flat[:, None])
+    p[:, size] = flat
+    return np.log10(np.maximum(p, 1e-300)).astype(np.float32)
 
 
 def build_trie(codes: np.ndarray, counts: np.ndarray, lower_codes: np.ndarray, lower_counts: np.ndarray) -> TrieModel:
@@ -96,46 +122,26 @@ def build_trie(codes: np.ndarray, counts: np.ndarray, lower_codes: np.ndarray, l
     symbols[seen] = np.arange(size)
     wide = size + 1
 
-    def parts(code: np.ndarray, n: int) -> list[np.ndarray]:
-        return [symbols[code >> (8 * (n - 1 - i)) & 0xFF] for i in range(n)]
-
-    a, b, c = parts(lower_codes, 3)
+    a, b, c = _parts(symbols, lower_codes, 3)
     pairs = np.zeros((wide * wide, size))
     np.add.at(pairs, (a * wide + b, c), lower_counts)
     singles = pairs.reshape(wide, wide, size).sum(axis=0)
     nothing = singles.sum(axis=0, keepdims=True)
 
-    def logs_of(stack: list[np.ndarray]) -> np.ndarray:
-        """Probabilities for contexts given their counts at falling orders."""
-        m = len(stack[0])
-        p = np.zeros((m, wide))
-        escape, known = np.ones(m), np.zeros((m, size), dtype=bool)
-        for level in stack:
-            left = np.where(known, 0.0, level)
-            total, kinds = left.sum(axis=1), (left > 0).sum(axis=1)
-            some = kinds > 0
-            share = np.where(some, escape / np.maximum(total + kinds, 1), 0.0)
-            p[:, :size] += left * share[:, None]
-            escape = np.where(some, share * kinds, escape)
-            known |= left > 0
-        flat = escape / np.maximum(256 - known.sum(axis=1), 1)
-        p[:, :size] = np.where(known, p[:, :size], flat[:, None])
-        p[:, size] = flat
-        return np.log10(np.maximum(p, 1e-300)).astype(np.float32)
-
-    tables = [logs_of([nothing])]
+    tables = [_logs_of([nothing])]
     rows = np.zeros((wide, wide, wide), dtype=np.int32)
     known1 = np.flatnonzero(singles.sum(axis=1))
-    tables.append(logs_of([singles[known1], np.repeat(nothing, len(known1), 0)]))
+    tables.append(_logs_of([singles[known1], np.repeat(nothing, len(known1), 0)]))
     rows[:, :, known1] = 1 + np.arange(len(known1))
     known2 = np.flatnonzero(pairs.sum(axis=1))
     of1 = known2 % wide
     used = 1 + len(known1)
-    tables.append(logs_of([pairs[known2], singles[of1], np.repeat(nothing, len(known2), 0)]))
+    tables.append(_logs_of([pairs[known2], singles[of1], np.repeat(nothing, len(known2), 0)]))
     rows.reshape(wide, wide * wide)[:, known2] = used + np.arange(len(known2))
     used += len(known2)
+    deep = used
     if len(codes):
-        a, b, c, d = parts(codes, 4)
+        a, b, c, d = _parts(symbols, codes, 4)
         context, place = np.unique((a * wide + b) * wide + c, return_inverse=True)
         for at in range(0, len(context), 2048):
             part = context[at : at + 2048]
@@ -143,23 +149,79 @@ def build_trie(codes: np.ndarray, counts: np.ndarray, lower_codes: np.ndarray, l
             triples = np.zeros((len(part), size))
             np.add.at(triples, (place[inside] - at, d[inside]), counts[inside])
             of2, of1 = part % (wide * wide), part % wide
-            tables.append(logs_of([triples, pairs[of2], singles[of1], np.repeat(nothing, len(part), 0)]))
+            tables.append(_logs_of([triples, pairs[of2], singles[of1], np.repeat(nothing, len(part), 0)]))
         rows.reshape(-1)[context] = used + np.arange(len(context))
-    return TrieModel(symbols, rows.reshape(-1), np.concatenate(tables))
+    return TrieModel(symbols, rows.reshape(-1), np.concatenate(tables), deep, pairs)
 
 
-def text_logs(model: TrieModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 probability of each text, its end included."""
+def _loose_logs(batches: Iterable[pa.RecordBatch], shared: object) -> Iterator[pa.RecordBatch]:
+    """(code, log) of the asked codes of (code, n, asked), which stand sorted with whole contexts in a partition."""
+    symbols, pairs = shared.value
+    size = pairs.shape[1]
+    wide = size + 1
+    singles = pairs.reshape(wide, wide, size).sum(axis=0)
+    nothing = singles.sum(axis=0, keepdims=True)
+
+    def logs(code: np.ndarray, n: np.ndarray, asked: np.ndarray) -> pa.RecordBatch:
+        out = np.zeros(len(code))
+        _, place = np.unique(code >> 8, return_inverse=True)
+        a, b, c, d = _parts(symbols, code, 4)
+        cuts = np.searchsorted(place, np.arange(0, place[-1] + 1025, 1024)) if len(code) else []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            inner = place[lo:hi] - place[lo]
+            first = lo + np.searchsorted(inner, np.arange(inner[-1] + 1))
+            triples = np.zeros((len(first), size + 1))  # asked symbols that no training text has go last, with no count
+            np.add.at(triples, (inner, d[lo:hi]), n[lo:hi])
+            of2 = b[first] * wide + c[first]
+            stack = [triples[:, :size], pairs[of2], singles[c[first]], np.repeat(nothing, len(first), 0)]
+            out[lo:hi] = _logs_of(stack)[inner, d[lo:hi]]
+        return pa.record_batch([pa.array(code[asked]), pa.array(out[asked])], ["code", "log"])
+
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+    for batch in batches:
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("code", "n", "asked")]
+        held = [np.concatenate(x) for x in zip(held, new)]
+        if len(held[0]):  # the last context may go on in the next batch
+            cut = int(np.searchsorted(held[0] >> 8, held[0][-1] >> 8))
+            yield logs(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
+    yield logs(*held)
+
+
+def _deep_logs(
+    model: TrieModel, data: np.ndarray, offsets: np.ndarray, joined: bool
+) -> tuple[np.ndarray, list[np.ndarray]]:
+    """log10 probability of each text, its end included, and its codes (with times << 32) that are left to a join."""
     s, starts = _stream(data, offsets)
     sym = model.symbols[s]
     wide = model.logs.shape[1]
     context = (sym[:-3] * wide + sym[1:-2]) * wide + sym[2:-1]
-    each = model.logs[model.rows[context], sym[3:]].astype(np.float64)
-    return segment_sums(each, starts - 3, starts - 2 + np.diff(offsets))
+    row = model.rows[context]
+    each = model.logs[row, sym[3:]].astype(np.float64)
+    begin, end = starts - 3, starts - 2 + np.diff(offsets)
+    if not joined:
+        return segment_sums(each, begin, end), [np.zeros(0, np.int64)] * len(starts)
+    loose = np.flatnonzero(row < model.deep)
+    owner = np.searchsorted(begin, loose, side="right") - 1
+    inside = (owner >= 0) & (loose < end[owner])  # edges before a text are not predicted
+    loose, owner = loose[inside], owner[inside]
+    each[loose] = 0.0
+    code = np.zeros(len(loose), dtype=np.int64)
+    for k in range(4):
+        code = code << 8 | s[loose + k]
+    keys, times = np.unique(owner.astype(np.int64) << 32 | code, return_counts=True)
+    cuts = np.searchsorted(keys >> 32, np.arange(len(starts) + 1))
+    packed = times.astype(np.int64) << 32 | keys & 0xFFFFFFFF
+    return segment_sums(each, begin, end), [packed[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def text_logs(model: TrieModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """log10 probability of each text, its end included."""
+    return _deep_logs(model, data, offsets, False)[0]
 
 
 def _scored(batches: Iterable[pa.RecordBatch], shared: object) -> Iterator[pa.RecordBatch]:
-    model, keys, known, scale = shared.value
+    model, keys, known, scale, joined = shared.value
     for rows, data, offsets in text_chunks(batches):
         small = lower(data)
         first, last, of = word_spans(small, offsets)
@@ -172,6 +234,7 @@ def _scored(batches: Iterable[pa.RecordBatch], shared: object) -> Iterator[pa.Re
         rare = np.flatnonzero(~common)
         cuts = np.searchsorted(rare, of)
         rest = words[rare]
+        near, loose = _deep_logs(model, data, offsets, joined)
         yield pa.record_batch(
             [
                 rows.column("rid"),
@@ -180,10 +243,11 @@ def _scored(batches: Iterable[pa.RecordBatch], shared: object) -> Iterator[pa.Re
                 pa.array(np.diff(of) + 1, pa.int64()),
                 pa.array(many[of[1:]] - many[of[:-1]], pa.int64()),
                 pa.array(segment_sums(logs, of[:-1], of[1:]), pa.float64()),
-                pa.array(text_logs(model, data, offsets), pa.float64()),
+                pa.array(near, pa.float64()),
                 longs([rest[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]),
+                longs(loose),
             ],
-            ["rid", "doc_id", "held_out", "n_tokens", "n_common", "common_score", "score", "rare"],
+            ["rid", "doc_id", "held_out", "n_tokens", "n_common", "common_score", "near_score", "rare", "loose"],
         )
 
 
@@ -197,10 +261,10 @@ def ppm_scores(
     the bytes and the end of the text).  A null text is empty: one end.  Without training
     texts every byte has the same probability.
 
-    Counts are of all training texts.  ``contexts`` bounds the three-byte contexts that the
-    trie keeps, the most frequent ones; bytes in others are predicted in shorter contexts.
+    Counts are of all training texts, and every three-byte context of them predicts.  At
+    most ``contexts`` frequent contexts are broadcast; bytes in all others are joined.
     Counts of at most ``common_words`` frequent words are broadcast, those of all other
-    words are joined, which changes no result.
+    words are joined.  Neither bound changes a result.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
@@ -226,18 +290,20 @@ def ppm_scores(
     rare_counts = words.where(step < floor_) if floor_ is not None else words
 
     # Four-byte strings are 32-bit numbers, and shorter ones are sums of them: at most 2^24 triples.
-    top = grams.groupBy(F.shiftright("key", 8).alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(contexts)
+    by_context = grams.groupBy(F.shiftright("key", 8).alias("c")).agg(F.sum("n").alias("n"))
+    top = stage(by_context.orderBy(F.desc("n"), "c").limit(contexts), "contexts")
+    joined = by_context.count() > contexts
     deep = grams.join(top.select("c"), F.shiftright("key", 8) == F.col("c"), "left_semi").select("key", "n").toPandas()
     low = grams.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFF)).alias("key")).agg(F.sum("n").alias("n")).toPandas()
     model = build_trie(*(x.to_numpy(np.int64) for x in (deep["key"], deep["n"], low["key"], low["n"])))
-    shared = spark.sparkContext.broadcast((model, keys[order], known[order], scale))
+    shared = spark.sparkContext.broadcast((replace(model, pairs=None), keys[order], known[order], scale, joined))
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", body)
     scored = stage(
         rows.mapInArrow(
             lambda it: _scored(it, shared),
             "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_common bigint, common_score double, "
-            "score double, rare array<bigint>",
+            "near_score double, rare array<bigint>, loose array<bigint>",
         ),
         "scored",
     )
@@ -245,6 +311,22 @@ def ppm_scores(
     rest = loose.groupBy("rid").agg(
         F.count("n").alias("n_rare"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(scale))).alias("rare_score")
     )
+    score = F.col("near_score")
+    if joined:
+        # Counts of the other contexts and the asked codes meet by context: at most 512 rows each.
+        asked = scored.select("rid", F.explode("loose").alias("x")).select(
+            "rid", F.col("x").bitwiseAND(F.lit(0xFFFFFFFF)).alias("code"), F.shiftright("x", 32).alias("times")
+        )
+        others = grams.join(top.select("c"), F.shiftright("key", 8) == F.col("c"), "left_anti")
+        both = others.select(F.col("key").alias("code"), "n", F.lit(False).alias("asked")).unionByName(
+            asked.select("code").distinct().select("code", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("asked"))
+        )
+        both = both.repartition(F.shiftright("code", 8)).sortWithinPartitions("code")
+        lower_counts = spark.sparkContext.broadcast((model.symbols, model.pairs))
+        logs = both.mapInArrow(lambda it: _loose_logs(it, lower_counts), "code bigint, log double")
+        deep_rest = asked.join(logs, "code").groupBy("rid").agg(F.sum(F.col("times") * F.col("log")).alias("far_score"))
+        scored = scored.join(deep_rest, "rid", "left")
+        score = score + F.coalesce("far_score", F.lit(0.0))
     end_log = float(np.log10((texts + 0.1) / scale))
     return scored.join(rest, "rid", "left").select(
         "doc_id",
@@ -253,5 +335,5 @@ def ppm_scores(
         (F.col("n_common") + F.coalesce("n_rare", F.lit(0)) + (1 if texts else 0)).alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
         (F.col("common_score") + F.coalesce("rare_score", F.lit(0.0)) + F.lit(end_log)).alias("base_score"),
-        "score",
+        score.alias("score"),
     )

@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from chainrisk.llm import arrays, jaccard_join, merge_dropout, suffix_dedup
-from chainrisk.llm.byte_ppm import build_trie, text_logs
+from chainrisk.llm.byte_ppm import build_trie, ppm_scores, text_logs
 from chainrisk.llm.hash_tree import layout, with_shard
 from chainrisk.llm.maxscore_search import top_of_shard
 from chainrisk.llm.queries import ORACLE, QUERIES
@@ -195,6 +195,16 @@ def test_unigram_base_equals_plain_counts(spark, texts):
         assert math.isclose(r.base_score, base, rel_tol=1e-9)
 
 
+def test_ppm_keeps_the_contexts_that_are_not_broadcast(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("held_out", F.col("doc_id") % 10 == 0)
+    docs = docs.unionByName(docs.limit(1).select(*(F.lit("日本 ÿ text").alias(c) if c == "text" else F.lit(-1).cast("bigint").alias(c) if c == "doc_id" else F.lit(True).alias(c) if c == "held_out" else F.col(c) for c in docs.columns)))
+    whole = {r.doc_id: r.score for r in ppm_scores(docs, docs.where("not held_out"), contexts=1 << 24).collect()}
+    for contexts in (0, 50):
+        part = ppm_scores(docs, docs.where("not held_out"), contexts=contexts).collect()
+        assert len(part) == len(whole)
+        assert all(math.isclose(r.score, whole[r.doc_id], rel_tol=1e-9) for r in part)
+
+
 def test_ppm_probabilities_sum_to_one_and_follow_a_plain_trie():
     training = [b"abracadabra", b"abra", b"cadabra!", b""]
     grams = Counter()
