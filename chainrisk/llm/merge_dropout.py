@@ -4,12 +4,14 @@ A text gets one space in front, spaces become the space piece, and known charact
 become pieces; all other characters become byte pieces.  Then the best pair of
 neighbours merges, again and again, as an agenda would deliver it: highest score
 first, leftmost of equals.  A candidate is skipped by a keyed hash of the seed, the
-text's variant, and the candidate (place in its word and the two pieces), so the same
-text always gets the same pieces, and other variants get others.
-
-No piece joins text across a space before a word or a newline, so words are encoded
-by themselves: each different word of a batch once per variant, all of them together.
-Words of over LONG symbols take the agenda one by one.
+document (doc_id, copy and all bytes of its text), the word's place in the text, and the
+candidate (place in its word and the two pieces), so the same copy of a document always
+gets the same pieces, and every occurrence of a word is drawn by itself.
+
+No piece joins text across a space before a word or a newline, so words are encoded by
+themselves.  Each different word of a batch is merged once without dropout; occurrences in
+which none of its merges is skipped share that result, all others are merged anew, all of
+them together.  Words of over LONG symbols take the agenda one by one.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from chainrisk.llm.arrays import SpanHash, mix, text_chunks
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 20
 LONG = 48
+OCCURRENCES = 1 << 16
 _SPACE_MARK = 0x2581
 _NEVER = np.int64(1) << np.int64(62)
 
@@ -156,9 +159,12 @@ def encode_agenda(m: Merges, symbols: list[int], key: int, limit: int) -> list[i
 
 
 def encode_words(
-    m: Merges, ids: np.ndarray, starts: np.ndarray, keys: np.ndarray, limit: int
+    m: Merges, ids: np.ndarray, starts: np.ndarray, keys: np.ndarray, limit: int, merges: list | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of many words at once: symbols one after another, and where each word's begin (one more)."""
+    """Pieces of many words at once: symbols one after another, and where each word's begin (one more).
+
+    ``merges`` takes the merges that were done: words, places in them, left and right pieces.
+    """
     n = len(starts) - 1
     done: dict[str, list[np.ndarray]] = {"word": [], "ids": []}
     sizes = np.diff(starts)
@@ -199,6 +205,8 @@ def encode_words(
         if not len(hit):
             break
         lead = hit[np.concatenate([[True], word[hit[1:]] != word[hit[:-1]]])]  # the leftmost of each word
+        if merges is not None:
+            merges.append((word[lead], at[lead], ids[lead], ids[lead + 1]))
         ids[lead] = rule[lead] & 0xFFFFFFFF
         stay = ~over
         stay[lead + 1] = False
@@ -222,10 +230,45 @@ def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return data[np.arange(int(sizes.sum())) + skip]
 
 
+def _encode_occurrences(
+    m: Merges, ids: np.ndarray, starts: np.ndarray, word: np.ndarray, keys: np.ndarray, limit: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces, and where those of each occurrence begin and end; ``word`` is its word, ``keys`` its own key."""
+    sizes = np.diff(starts)
+    short = np.flatnonzero(sizes <= LONG)
+    slot = np.full(len(sizes), -1, dtype=np.int64)
+    slot[short] = np.arange(len(short))
+    merges: list = []
+    ahead = np.concatenate([[0], np.cumsum(sizes[short])])
+    shared, where = encode_words(m, _gather(ids, starts[short], starts[short + 1]), ahead, np.zeros(len(short), np.uint64), 0, merges)
+    own = slot[word]
+    fresh = own < 0
+    if merges:
+        of, at, left, right = (np.concatenate(x) for x in zip(*merges))
+        order = np.argsort(of, kind="stable")
+        at, left, right = at[order], left[order], right[order]
+        first = np.searchsorted(of[order], np.arange(len(short) + 1))
+        for begin in range(0, len(word), OCCURRENCES):
+            some = begin + np.flatnonzero(own[begin : begin + OCCURRENCES] >= 0)
+            lo, count = first[own[some]], np.diff(first)[own[some]]
+            which = np.repeat(some, count)
+            step = np.arange(len(which)) + np.repeat(lo - (np.cumsum(count) - count), count)
+            fresh[which[_skipped(keys[which], at[step], left[step], right[step], limit)]] = True
+    anew = np.flatnonzero(fresh)
+    w = word[anew]
+    ahead = np.concatenate([[0], np.cumsum(sizes[w])])
+    drawn, at = encode_words(m, _gather(ids, starts[w], starts[w + 1]), ahead, keys[anew], limit)
+    lo, hi = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+    same = np.flatnonzero(~fresh)
+    lo[same], hi[same] = where[own[same]], where[own[same] + 1]
+    lo[anew], hi[anew] = len(shared) + at[:-1], len(shared) + at[1:]
+    return np.concatenate([shared, drawn]), lo, hi
+
+
 def encode_texts(
     m: Merges, data: np.ndarray, offsets: np.ndarray, variants: np.ndarray, seed: int, limit: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of all texts and where each text's begin; ``variants`` has one number per text."""
+    """Pieces of all texts and where each text's begin; ``variants`` has one number per text, from all 64 bits."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
     lead = (sizes > 0).astype(np.int64)  # the space in front
@@ -242,9 +285,10 @@ def encode_texts(
     text = np.searchsorted(begin, starts, side="right") - 1
     # Among texts that begin at the same place only the last has symbols.
     key = mix(mix(variants[text].astype(np.uint64) + np.uint64(1)) + np.uint64(seed % (1 << 63)))
+    place = np.arange(len(starts)) - np.searchsorted(text, text)
     word_hash = SpanHash(s)(starts, ends)
-    key = mix(key ^ word_hash)
-    _, pick, back = np.unique(key, return_index=True, return_inverse=True)
+    key = mix(mix(key + place.astype(np.uint64)) ^ word_hash)
+    _, pick, back = np.unique(word_hash, return_index=True, return_inverse=True)
     chosen = _gather(s, starts[pick], ends[pick])
     points = np.frombuffer(chosen.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     ids = m.char_ids[points].astype(np.int64)
@@ -261,8 +305,11 @@ def encode_texts(
         as_bytes = m.byte_ids[chosen[char_start[source] + inner]]
         char_at = np.concatenate([[0], np.cumsum(copies)])[char_at]
         ids = np.where(known < 0, as_bytes, known)
-    pieces, where = encode_words(m, ids, char_at, key[pick], limit)
-    lo, hi = where[back], where[back + 1]
+    if limit:
+        pieces, lo, hi = _encode_occurrences(m, ids, char_at, back, key, limit)
+    else:
+        pieces, where = encode_words(m, ids, char_at, key[pick], limit)
+        lo, hi = where[back], where[back + 1]
     out = _gather(pieces, lo, hi)
     ahead = np.concatenate([[0], np.cumsum(hi - lo)])
     return out, ahead[np.searchsorted(text, np.arange(n + 1))]
@@ -283,13 +330,11 @@ def _local(path: str) -> str:
     return path if path.startswith("/") else SparkFiles.get(path)
 
 
-def _encode(batches: Iterable[pa.RecordBatch], path: str, seed: int, limit: int, variants: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterable[pa.RecordBatch], path: str, seed: int, limit: int) -> Iterator[pa.RecordBatch]:
     m = load_merges(_local(path))
     for rows, data, offsets in text_chunks(batches, column="body", limit=CHUNK):
-        if variants > 1:
-            own = (SpanHash(data)(offsets[:-1], offsets[1:]) % np.uint64(variants)).astype(np.int64)
-        else:
-            own = np.zeros(rows.num_rows, np.int64)
+        salt = rows.column("salt").to_numpy(zero_copy_only=False).view(np.uint64)
+        own = mix(SpanHash(data)(offsets[:-1], offsets[1:]) ^ mix(salt))
         pieces, starts = encode_texts(m, data, offsets, own, seed, limit)
         back, at = decode_texts(m, pieces, starts)
         same_size = np.diff(at) == np.diff(offsets)
@@ -298,10 +343,10 @@ def _encode(batches: Iterable[pa.RecordBatch], path: str, seed: int, limit: int,
             lossless = wrong[offsets[1:]] == wrong[offsets[:-1]]
         else:
             lossless = np.array([ok and (back[a:b] == data[c:d]).all() for ok, a, b, c, d in zip(same_size, at[:-1], at[1:], offsets[:-1], offsets[1:])])
-        kept = [c for c in rows.schema.names if c != "body"]
+        kept = [c for c in rows.schema.names if c not in ("body", "salt")]
         ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(pieces.astype(np.int32)))
         yield pa.record_batch(
-            [*(rows.column(c) for c in kept), pa.array(np.diff(offsets), pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(own), pa.array(lossless, pa.bool_()), ids],
+            [*(rows.column(c) for c in kept), pa.array(np.diff(offsets), pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(own.view(np.int64)), pa.array(lossless, pa.bool_()), ids],
             [*kept, "n_bytes", "n_tokens", "variant", "lossless", "ids"],
         )
 
@@ -311,14 +356,15 @@ def encode_documents(
     carry: tuple[str, ...] = ("doc_id",),
     dropout: float = 0.1,
     seed: int = 1,
-    variants: int = 4,
+    copy: str | None = None,
     model_path: str = MODEL_PATH,
 ) -> DataFrame:
     """The ``carry`` columns with n_bytes, n_tokens, variant, lossless and ids of each whole text.
 
-    ``dropout`` is the share of merge candidates that are skipped.  A text's variant is a hash
-    of its bytes, so equal texts get equal pieces, and a word is cut alike in all texts of one
-    variant; ``variants`` bounds how many ways of cutting a word are drawn under one seed.
+    ``dropout`` is the share of merge candidates that are skipped.  A row's variant is a
+    hash of doc_id, ``copy`` (a column that numbers the copies of a document) and the bytes of
+    the text; every word of a text is drawn by variant and place, so nothing bounds how many
+    ways of cutting a word are drawn.  Rows equal in these get equal pieces.
     ``lossless`` tells whether the pieces decode to the same bytes.  A null or empty text has
     no pieces.  ``model_path`` is an absolute path on every node, or a name given to addFile.
     """
@@ -326,11 +372,13 @@ def encode_documents(
         raise ValueError("dropout must be at least 0 and below 1")
     limit = int(dropout * (1 << 32))
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*(F.col(c).alias(f"c_{c}") for c in carry), body.alias("body"))
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", *([copy] if copy else []))]
+    salt = F.xxhash64(*named)
+    rows = docs.select(*(F.col(c).alias(f"c_{c}") for c in carry), body.alias("body"), salt.alias("salt"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"`c_{c}` {kinds[f'c_{c}']}" for c in carry)
     out = rows.mapInArrow(
-        lambda it: _encode(it, model_path, seed, limit, variants),
+        lambda it: _encode(it, model_path, seed, limit),
         f"{schema}, n_bytes bigint, n_tokens bigint, variant bigint, lossless boolean, ids array<int>",
     )
     return out.select(*(F.col(f"c_{c}").alias(c) for c in carry), "n_bytes", "n_tokens", "variant", "lossless", "ids")

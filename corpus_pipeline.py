@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainrisk.llm.jaccard_join import jaccard_classes
@@ -93,8 +93,10 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang and source with the pieces of each text."""
-    return encode_documents(docs, carry=("doc_id", "lang", "source"))
+    """doc_id, lang and source with the pieces of each text; copies of a document are drawn apart."""
+    alike = Window.partitionBy("doc_id", "lang", "source", F.xxhash64("text")).orderBy(F.lit(0))
+    copies = docs.select("doc_id", "lang", "source", "text", F.row_number().over(alike).alias("copy"))
+    return encode_documents(copies, carry=("doc_id", "lang", "source"), copy="copy")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

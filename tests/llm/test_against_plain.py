@@ -13,6 +13,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from chainrisk.llm import arrays, jaccard_join, merge_dropout, suffix_dedup
 from chainrisk.llm.byte_ppm import build_trie, ppm_scores, text_logs
 from chainrisk.llm.hash_tree import layout, with_shard
@@ -175,6 +176,19 @@ def test_merge_encoding_equals_the_library_without_dropout_and_the_agenda_with_i
     assert (merge_dropout.encode_texts(m, data, offsets, none, 2, limit)[0][:50] != all_at_once[:50]).any()
 
 
+def test_dropout_draws_every_occurrence_and_copy_by_itself(spark):
+    m = merge_dropout.load_merges(merge_dropout.MODEL_PATH)
+    data, offsets = arrays.text_arrays(pa.array([" ".join(["consideration"] * 400)]))
+    ids = merge_dropout.encode_texts(m, data, offsets, np.zeros(1, np.int64), 1, int(0.1 * (1 << 32)))[0]
+    raw = [m.bytes[m.starts[i] : m.starts[i + 1]].tobytes() for i in ids.tolist()]
+    cuts = {tuple(w.split(b"|")) for w in b"|".join(raw).split(b"| ")}
+    assert len(cuts) > 8
+    rows = [(1, "The consideration of the documents was repeated. " * 20, "en", "a")] * 6 + [(2, "", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    pieces = corpus_pipeline.piece_stage(spark, docs, "").where("doc_id = 1").collect()
+    assert len({tuple(r.ids) for r in pieces}) == 6 and all(r.lossless for r in pieces)
+
+
 def test_merge_encoding_decodes_to_the_text(spark, texts):
     encoded = QUERIES["op7_merge_dropout"](spark, FOLDER)
     assert {r.doc_id: r.text for r in merge_dropout.decode_documents(encoded).collect()} == texts
