@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -102,31 +103,33 @@ def fit_languages(
     docs: DataFrame,
     per_language: int = 1000,
     landmarks_per_language: int = 48,
-    max_languages: int = 64,
+    full_languages: int = 64,
     max_gram: int = 4,
     buckets: int = 1 << 14,
     ridge: float = 1e-3,
 ) -> KernelModel:
     """Fit on (text, lang) rows; those with a null in either, or without a letter, teach nothing.
 
-    The sample is bounded: the ``max_languages`` most frequent languages, and of each
-    different texts whose hash is below ``per_language`` over the language's rows, so
-    about that many; at most ``per_language * max_languages`` texts in all.  The first
-    ``landmarks_per_language`` of each, by hash, are landmarks.
+    Every language is learned.  The sample is bounded by texts of a language: those whose
+    hash is below ``per_language`` over the language's rows, so about that many,
+    and always the one of the least hash.  The first ``landmarks_per_language`` of each, by
+    hash, are landmarks.  Above ``full_languages`` languages both numbers fall in inverse
+    proportion to the languages, to no less than one.
     """
     spark = docs.sparkSession
     known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(_has_letter("text") & F.col("lang").isNotNull())
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    share = F.lit(None).cast("double")
-    for row in common:
-        share = F.when(F.col("lang") == row["lang"], per_language / row["count"]).otherwise(share)
     hashed = known.withColumn("h", F.xxhash64("text"))
     u = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
+    common = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(u).alias("least")).collect()
+    fewer = min(1.0, full_languages / max(len(common), 1))
+    per, heads_per = max(1, int(per_language * fewer)), max(1, int(landmarks_per_language * fewer))
+    shares = [x for r in common for x in (F.lit(r.lang), F.lit(max(per / r.n, float(np.nextafter(r.least, 2.0)))))]
+    share = F.create_map(*shares)[F.col("lang")] if shares else F.lit(None).cast("double")
     picked = hashed.where(u < share).dropDuplicates(["lang", "h"])
-    sample = stage(picked.orderBy(u, "lang", "h").limit(per_language * max_languages), "sample-texts")
-    keys = sorted((r.u, r.lang, r.h) for r in sample.select(u.alias("u"), "lang", "h").collect())
-    heads = [h for name in {k[1] for k in keys} for _, _, h in [k for k in keys if k[1] == name][:landmarks_per_language]]
+    sample = stage(picked.orderBy(u, "lang", "h"), "sample-texts")
+    keys = sorted((r.lang, r.u, r.h) for r in sample.select(u.alias("u"), "lang", "h").collect())
+    heads = [h for _, own in groupby(keys, key=lambda k: k[0]) for _, _, h in islice(own, heads_per)]
     picks = sample.where(F.col("h").isin(heads)).orderBy("lang", u, "h")
     grams = picks.select("text", "lang").mapInArrow(lambda it: _sparse(it, max_gram, buckets), "lang string, grams binary").collect()
     if not grams:
@@ -141,16 +144,20 @@ def fit_languages(
     shared.unpersist()
     languages = tuple(sorted({r.lang for r in rows}))
     k = np.stack([np.frombuffer(r.kernel, np.float32) for r in rows]).astype(np.float64)
-    y = np.array([[1.0 if r.lang == name else -1.0 for name in languages] for r in rows])
+    place = {name: i for i, name in enumerate(languages)}
+    label = np.array([place[r.lang] for r in rows])
     # Classes weigh alike, however many texts each has.
-    even = {name: len(rows) / len(languages) / sum(r.lang == name for r in rows) for name in languages}
-    w = np.sqrt(np.array([even[r.lang] for r in rows]))[:, None]
+    w = np.sqrt(len(rows) / len(languages) / np.bincount(label)[label])[:, None]
     among = _kernels(landmarks.T, landmarks, sizes).astype(np.float64)
     value, vector = np.linalg.eigh((among + among.T) / 2)
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
     z = (k @ root) * w
-    solved = np.linalg.solve(z.T @ z + ridge * len(rows) * np.eye(z.shape[1]), z.T @ (y * w))
+    # Targets are 1 for the language of a text and -1 for others.
+    order = np.argsort(label, kind="stable")
+    own = np.add.reduceat((z * w)[order], np.searchsorted(label[order], np.arange(len(languages))))
+    target = (2 * own - own.sum(axis=0)).T
+    solved = np.linalg.solve(z.T @ z + ridge * len(rows) * np.eye(z.shape[1]), target)
     return KernelModel(languages, landmarks, sizes, (root @ solved).astype(np.float32), max_gram)
 
 

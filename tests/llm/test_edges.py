@@ -85,6 +85,16 @@ def test_defined_results_of_odd_texts(spark):
         assert sorted(r.slot for r in shards if r.shard == s) == list(range(sum(r.shard == s for r in shards)))
 
 
+def test_every_language_is_learned(spark):
+    words = lambda k: " ".join(f"{chr(0x4E00 + 40 * k + i % 40)}{chr(0x4E00 + 40 * k + i * i % 40)}" for i in range(60))
+    rows = [(words(k) + f" {j}", f"l{k:02}") for k in range(70) for j in range(1 if k == 69 else 3)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string")
+    model = fit_languages(docs)
+    assert len(model.languages) == 70
+    found = {r.doc_id: r.lang_pred for r in predict_languages(docs, model).collect()}
+    assert all(found[i] == lang for i, (_, lang) in enumerate(rows))
+
+
 def test_mixing_keeps_all_columns(spark, docs):
     mixed = poisson_mix(docs, tempered_weights(docs), total=40)
     assert set(mixed.columns) == set(docs.columns) | {"mix_copy", "mix_key"}
