@@ -111,7 +111,7 @@ def fit_languages(
     """Fit on (text, lang) rows; those with a null in either, or without a letter, teach nothing.
 
     Every language is learned.  The sample is bounded by texts of a language: those whose
-    hash is below ``per_language`` over the language's rows, so about that many,
+    hash is below ``per_language`` over the language's different texts, so about that many,
     and always the one of the least hash.  The first ``landmarks_per_language`` of each, by
     hash, are landmarks.  Above ``full_languages`` languages both numbers fall in inverse
     proportion to the languages, to no less than one.
@@ -121,7 +121,9 @@ def fit_languages(
     known = known.where(_has_letter("text") & F.col("lang").isNotNull())
     hashed = known.withColumn("h", F.xxhash64("text"))
     u = F.pmod("h", F.lit(1 << 40)) / float(1 << 40)
-    common = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(u).alias("least")).collect()
+    # Copies count once: shares are of the different texts of a language.
+    texts = hashed.select("lang", "h").distinct()
+    common = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(u).alias("least")).collect()
     fewer = min(1.0, full_languages / max(len(common), 1))
     per, heads_per = max(1, int(per_language * fewer)), max(1, int(landmarks_per_language * fewer))
     shares = [x for r in common for x in (F.lit(r.lang), F.lit(max(per / r.n, float(np.nextafter(r.least, 2.0)))))]

@@ -95,6 +95,15 @@ def test_every_language_is_learned(spark):
     assert all(found[i] == lang for i, (_, lang) in enumerate(rows))
 
 
+def test_copies_do_not_crowd_out_a_language(spark):
+    same = spark.range(2000).selectExpr("id AS doc_id", "'the same text again' AS text", "'en' AS lang")
+    other = [(5000 + i, f"un autre texte {i}", "fr") for i in range(4)]
+    few = [(6000 + i, f"some other text {i}", "en") for i in range(4)]
+    docs = same.unionByName(spark.createDataFrame(other + few, "doc_id bigint, text string, lang string"))
+    model = fit_languages(docs, per_language=5)
+    assert model.languages == ("en", "fr") and model.landmarks.shape[1] == 9
+
+
 def test_mixing_keeps_all_columns(spark, docs):
     mixed = poisson_mix(docs, tempered_weights(docs), total=40)
     assert set(mixed.columns) == set(docs.columns) | {"mix_copy", "mix_key"}
