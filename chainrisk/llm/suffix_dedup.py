@@ -145,9 +145,13 @@ class _Outbox:
             cut = (np.diff(start[twice]) != 1) | (np.diff(rid[twice]) != 0) | (np.diff(tag[twice]) != 0)
             cuts = np.flatnonzero(cut)
             first, last = twice[np.append(0, cuts + 1)], twice[np.append(cuts, len(twice) - 1)]
-            home = int(a[0] >> np.uint64(64 - self.bits))
             size = start[last] - start[first] + self.length
-            rows.append(self._row(home, _SPAN_KIND, np.zeros(len(first)), rid[first], tag[first], start[first], size))
+            # Settled spans are only passed through: each text has a bucket of its own hash.
+            home = mix(rid[first].view(np.uint64) ^ mix(tag[first].view(np.uint64))) >> np.uint64(64 - self.bits)
+            by_home = np.argsort(home, kind="stable")
+            for part in np.split(by_home, np.flatnonzero(np.diff(home[by_home])) + 1):
+                at = first[part]
+                rows.append(self._row(int(home[part[0]]), _SPAN_KIND, np.zeros(len(part)), rid[at], tag[at], start[at], size[part]))
         # One window of each digest goes on; those seen twice here stand for two.
         lead = order[np.flatnonzero(new)]
         weight = np.where(many, 2, 1)

@@ -176,6 +176,18 @@ def test_merge_encoding_equals_the_library_without_dropout_and_the_agenda_with_i
     assert (merge_dropout.encode_texts(m, data, offsets, none, 2, limit)[0][:50] != all_at_once[:50]).any()
 
 
+def test_settled_spans_are_spread_over_buckets():
+    n = 500
+    box = suffix_dedup._Outbox(8, 200)
+    same, rid = np.full(n, 1 << 60, np.uint64), np.arange(n)
+    box.windows.append((same, same, rid, rid * 7, np.zeros(n, np.int64)))
+    got = next(box.flush_windows()).to_pandas()
+    spans = got[got["kind"] == suffix_dedup._SPAN_KIND]
+    assert spans["bucket"].nunique() > 100 and spans["rid"].map(len).max() < 8 * 20
+    found = suffix_dedup._bucket_spans(spans, 200)
+    assert sorted(found["rid"]) == rid.tolist() and set(found["size"]) == {200} and (found["tag"] == found["rid"] * 7).all()
+
+
 def test_dropout_draws_every_occurrence_and_copy_by_itself(spark):
     m = merge_dropout.load_merges(merge_dropout.MODEL_PATH)
     data, offsets = arrays.text_arrays(pa.array([" ".join(["consideration"] * 400)]))
