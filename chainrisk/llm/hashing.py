@@ -21,3 +21,21 @@ def draw(*parts: Column | str) -> Column:
 def draw_sql(*parts: str) -> str:
     """The same in DuckDB's dialect; every part is an SQL text expression."""
     return f"((('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r})"
+
+
+def crc_table_sql() -> str:
+    """CTE ``crc(crc_table)`` in DuckDB's dialect: the 256 entries of the CRC-32 table, made by its rule."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    entry = "i::BIGINT"
+    for _ in range(8):
+        entry = f"(SELECT {step} FROM (SELECT {entry} AS c))"
+    return f"crc AS (SELECT list(entry ORDER BY i) AS crc_table FROM (SELECT i, {entry} AS entry FROM range(256) AS s(i)))"
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of a text expression; ``crc_table`` must be in scope."""
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({text}))::BIGINT), "
+        f"lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::BIGINT, 2))::BIGINT)), "
+        "lambda a, b: xor(a >> 8, crc_table[(xor(a, b) & 255) + 1])), 4294967295)"
+    )

@@ -16,6 +16,7 @@ from chainrisk.llm.language_id import fit_languages, held_out, predict_languages
 from chainrisk.llm.maxscore_search import maxscore_topk, whole_components
 from chainrisk.llm.merge_dropout import encode_documents
 from chainrisk.llm.neighbour_quality import fit_votes, vote_scores
+from chainrisk.llm.prefix_trie import prefix_trie, trie_sql
 from chainrisk.llm.source_mixing import mix_sql, poisson_mix, tempered_weights
 from chainrisk.llm.suffix_dedup import cut_repeats
 
@@ -91,6 +92,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predict_languages(docs, model, carry=("doc_id", "held_out"))
 
 
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(table(spark, folder, "conversations"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE["op2_maxscore_search"] = """
     WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
@@ -102,3 +108,4 @@ ORACLE["op2_maxscore_search"] = """
 ORACLE["op3_source_mixing"] = mix_sql()
 ORACLE["op4_host_rules"] = verdict_sql()
 ORACLE["op6_hash_tree"] = tree_sql()
+ORACLE["op13_prefix_trie"] = trie_sql()
