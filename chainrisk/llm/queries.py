@@ -18,6 +18,7 @@ from chainrisk.llm.merge_dropout import encode_documents
 from chainrisk.llm.neighbour_quality import fit_votes, vote_scores
 from chainrisk.llm.prefix_trie import prefix_trie, trie_sql
 from chainrisk.llm.source_mixing import mix_sql, poisson_mix, tempered_weights
+from chainrisk.llm.spelling_variants import spelling_variants, variants_sql
 from chainrisk.llm.suffix_dedup import cut_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +93,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predict_languages(docs, model, carry=("doc_id", "held_out"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie(table(spark, folder, "conversations"))
@@ -108,4 +114,5 @@ ORACLE["op2_maxscore_search"] = """
 ORACLE["op3_source_mixing"] = mix_sql()
 ORACLE["op4_host_rules"] = verdict_sql()
 ORACLE["op6_hash_tree"] = tree_sql()
+ORACLE["op11_spelling_variants"] = variants_sql()
 ORACLE["op13_prefix_trie"] = trie_sql()
