@@ -6,12 +6,9 @@ similarity of at least t share a shingle among their first n - ceil(t n) + 1,
 and shingles that occur once can be left out of that search.  So:
 
 1. equal sets are one class, and classes with equal prefix and size one group;
-2. groups meet through shared prefix shingles; first only with a pivot of each
-   list, which links large families of near copies by as many checks as members;
-   what that leaves apart tries several members of the list's largest component;
-3. what a list still holds outside its largest component meets the whole list,
-   under size and position filters;
-4. group pairs are expanded to member classes and verified on the whole sets.
+2. groups meet through shared prefix shingles, families first by pivots and then
+   under size and position filters (``linking``);
+3. group pairs are expanded to member classes and verified on the whole sets.
 
 Pairs inside a component are not enumerated: the result is the components, and
 every link between two of them is checked.
@@ -27,14 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainrisk.llm.arrays import SpanHash, distinct, lower, mix, text_chunks, word_spans
-from chainrisk.llm.components import components
 from chainrisk.llm.levels import corpus_levels, level_of
+from chainrisk.llm.linking import linked_parts, with_components
 from chainrisk.sources.staging import stage
 
 #: Least counts of a "repeated", a "frequent" and a "very frequent" shingle.
 STEPS = (2, 32, 1024)
-#: Members of a list's largest component that the rest of the list tries, and how often.
-PIVOTS, PIVOT_TURNS = 8, 2
 _SEED = np.uint64(0x51ED270B7F4A7C15)
 
 
@@ -71,7 +66,7 @@ def _all_sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[np.ndarr
         yield np.concatenate(sets)
 
 
-def _digest(hashes: np.ndarray) -> bytes:
+def set_digest(hashes: np.ndarray) -> bytes:
     """128 bits of a set of hashes and its size."""
     a = mix(hashes).sum(dtype=np.uint64)
     b = mix(hashes ^ _SEED).sum(dtype=np.uint64) + np.uint64(len(hashes))
@@ -94,8 +89,8 @@ def _prefixes(
                 for k in ("class", "group", "tokens", "shingles"):
                     out[k].append(None)
                 continue
-            out["class"].append(_digest(s))
-            out["group"].append(_digest(s[order]) + n.to_bytes(4, "big"))
+            out["class"].append(set_digest(s))
+            out["group"].append(set_digest(s[order]) + n.to_bytes(4, "big"))
             out["tokens"].append(s[met])
             out["shingles"].append(s)
 
@@ -120,7 +115,7 @@ def _prefixes(
         )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the similarity."""
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
@@ -129,25 +124,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(shared * 100 >= union * percent).select("a", "b")
 
 
-def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """group, class and component (part) of every class after more links between classes."""
-    of = lambda c: parts.select(F.col("class").alias(c), F.col("part").alias(f"p{c}"))
-    edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-    label = components(edges).select(F.col("v").alias("part"), "label")
-    found = parts.join(label, "part", "left").select("group", "class", F.coalesce("label", "part").alias("part"))
-    return stage(found, "parts")
-
-
-def _open_lists(entries: DataFrame, parts: DataFrame) -> DataFrame:
-    """Entries of the token lists that hold several parts, with the list's largest part (main)."""
-    in_list = stage(entries.join(parts.select("group", "part").distinct(), "group"), "listed")
-    sizes = in_list.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("token").agg(
-        F.max_by("part", F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts")
-    )
-    return stage(in_list.join(main.where("parts > 1").select("token", "main"), "token"), "open")
-
-
 def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """Columns doc_id, n_shingles, component_id, text_hash: components of texts linked by similarity.
 
@@ -192,76 +168,11 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     before = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.size("tokens")
     entries = groups.select("group", "head", "n", before.alias("before"), F.posexplode("tokens").alias("at", "token"))
     entries = entries.select("token", "group", "head", "n", (F.col("before") + F.col("at")).alias("rank"))
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    entries = stage(entries.join(lists, "token"), "entries")
-
-    # Pivots: the first group of each list and size band, and the head of each group.
-    band = F.floor(F.log(4 / 3, F.col("n")))
-    banded = entries.withColumn("band", band)
-    pivots = banded.groupBy("token", "band").agg(F.min("head").alias("pivot"))
-    star = banded.join(pivots, ["token", "band"]).select("group", "pivot").distinct()
-    own = groups.select("group", F.col("head").alias("pivot"))
-    tries = (
-        star.unionByName(own)
-        .join(member, "group")
-        .where(F.col("class") != F.col("pivot"))
-        .select(F.col("class").alias("a"), F.col("pivot").alias("b"))
-        .distinct()
-    )
-    alone = member.withColumn("part", F.col("class"))
-    parts = _merged(alone, stage(_verified(tries, sets, percent), "links"))
-    # A list's rest then tries several members of its largest component.
-    open_lists = _open_lists(entries, parts)
-    for turn in range(PIVOT_TURNS):
-        if open_lists.isEmpty():
-            break
-        draws = [F.min_by("head", F.xxhash64("head", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)]
-        chosen = open_lists.where("part = main").groupBy("token").agg(F.array_distinct(F.array(*draws)).alias("heads"))
-        rest = open_lists.where("part <> main").select("token", "group", "part")
-        tries = (
-            rest.join(chosen, "token")
-            .select("group", "part", F.explode("heads").alias("b"))
-            .distinct()
-            .join(parts.withColumnRenamed("class", "a"), ["group", "part"])
-            .select("a", "b")
-            .distinct()
-        )
-        parts = _merged(parts, stage(_verified(tries, sets, percent), "links"))
-        open_lists = _open_lists(entries, parts)
-
-    # What is still outside the largest component of a list meets the whole list.
-    one = open_lists.where("part <> main").select(
-        "token", F.col("group").alias("g1"), F.col("part").alias("p1"), F.col("n").alias("n1"), F.col("rank").alias("r1")
-    )
-    two = open_lists.select(
-        "token", "main", F.col("group").alias("g2"), F.col("part").alias("p2"), F.col("n").alias("n2"), F.col("rank").alias("r2")
-    )
-    near = (
-        (F.col("p1") != F.col("p2"))
-        & ((F.col("p2") == F.col("main")) | (F.col("p1") < F.col("p2")))
-        & (F.col("n1") * 100 >= F.col("n2") * percent)
-        & (F.col("n2") * 100 >= F.col("n1") * percent)
-        # At the rarest shared token all other shared ones come later in both orders.
-        & (
-            (F.lit(1) + F.least(F.col("n1") - F.col("r1") - 1, F.col("n2") - F.col("r2") - 1)) * (100 + percent)
-            >= (F.col("n1") + F.col("n2")) * percent
-        )
-    )
-    cross = stage(one.join(two, "token").where(near).select("g1", "p1", "g2", "p2").distinct(), "cross")
-    side = lambda g, p, c: parts.select(F.col("group").alias(g), F.col("part").alias(p), F.col("class").alias(c))
-    within = parts.groupBy("group").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-    inner = (
-        side("g1", "p1", "a")
-        .join(within.select(F.col("group").alias("g1")), "g1")
-        .join(side("g1", "p2", "b"), "g1")
-        .where("p1 < p2")
-        .select("a", "b")
-    )
-    outer = cross.join(side("g1", "p1", "a"), ["g1", "p1"]).join(side("g2", "p2", "b"), ["g2", "p2"]).select("a", "b")
-    last = stage(_verified(outer.unionByName(inner).distinct(), sets, percent), "links")
-    named_parts = classes.select("class", "low").join(_merged(parts, last).drop("group"), "class")
-    least = named_parts.groupBy("part").agg(F.min("low").alias("component_id"))
-    ids = named_parts.join(least, "part").select("class", "component_id")
+    # At the rarest shared token all other shared ones come later in both orders.
+    left = F.lit(1) + F.least(F.col("n1") - F.col("rank1") - 1, F.col("n2") - F.col("rank2") - 1)
+    possible = left * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
+    parts = linked_parts(entries, member, lambda pairs: verified(pairs, sets, percent), percent, possible)
+    ids = with_components(classes, parts)
     return (
         rows.select("doc_id", "text_hash", "n", "class")
         .join(ids, "class", "left")
@@ -272,3 +183,21 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
             "text_hash",
         )
     )
+
+
+def components_sql(size: int = 5, percent: int = 75, kept: bool = False) -> str:
+    """DuckDB counterpart over ``documents``: all pairs that share a shingle, and a closure of the links."""
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    runs = f"list_transform(range(1, greatest(len(w) - {size - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {size - 1}], ' '))"
+    extra = ", d.doc_id = c.component_id AS kept" if kept else ""
+    return f"""
+    WITH RECURSIVE t AS (SELECT doc_id, coalesce(regexp_extract_all({lowered}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({runs}) AS g FROM t WHERE len(w) > 0),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+      JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY ALL
+      HAVING 100 * count(*) >= {percent} * (any_value(x.n) + any_value(y.n) - count(*))),
+    r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached),
+    c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id{extra}
+    FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""

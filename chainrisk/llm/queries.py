@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from chainrisk.llm.bottom_k import sketch_copies
 from chainrisk.llm.byte_ppm import ppm_scores
 from chainrisk.llm.hash_tree import tree_shards, tree_sql
 from chainrisk.llm.host_rules import host_verdicts, verdict_sql
-from chainrisk.llm.jaccard_join import jaccard_classes
+from chainrisk.llm.jaccard_join import components_sql, jaccard_classes
 from chainrisk.llm.language_id import fit_languages, held_out, predict_languages
 from chainrisk.llm.maxscore_search import maxscore_topk, whole_components
 from chainrisk.llm.merge_dropout import encode_documents
@@ -61,7 +62,7 @@ def op4_host_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_classes(table(spark, folder, "documents"))
+    return jaccard_classes(table(spark, folder, "documents")).drop("text_hash")
 
 
 @query
@@ -98,6 +99,11 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(table(spark, folder, "documents"))
 
 
+@query
+def op12_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch_copies(table(spark, folder, "documents"))
+
+
 @query
 def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie(table(spark, folder, "conversations"))
@@ -113,6 +119,8 @@ ORACLE["op2_maxscore_search"] = """
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 ORACLE["op3_source_mixing"] = mix_sql()
 ORACLE["op4_host_rules"] = verdict_sql()
+ORACLE["op5_jaccard_join"] = components_sql()
 ORACLE["op6_hash_tree"] = tree_sql()
 ORACLE["op11_spelling_variants"] = variants_sql()
+ORACLE["op12_bottom_k"] = components_sql(2, 80, kept=True)
 ORACLE["op13_prefix_trie"] = trie_sql()
