@@ -7,8 +7,10 @@ of their union, so a pair is worth checking only if it shares half of them:
 1. equal sets are one class; each class is listed under the retained values that are
    rarest in the corpus, enough of them that a pair sharing half must meet twice;
 2. the lists generate pairs and their overlaps, families by pivots (``linking``);
-3. the k smallest of both sketches together estimate the similarity of a pair;
-4. pairs with an estimate of at least one half are verified on the whole sets.
+3. the k smallest of both sketches together estimate the similarity of a pair, and
+   components of pairs with an estimate of at least one half are families;
+4. inside a family the pairs so estimated are verified on the whole sets, which are
+   built for members of families only.
 
 Sketches of sets of up to k shingles are the whole sets, and nothing is left to chance.
 Above, a link at the least similarity of 0.8 fails the estimate with a probability below
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainrisk.llm.arrays import longs, mix, text_chunks
+from chainrisk.llm.components import spread_join
 from chainrisk.llm.jaccard_join import set_digest, shingle_sets, verified
 from chainrisk.llm.levels import corpus_levels, level_of
 from chainrisk.llm.linking import linked_parts, with_components
@@ -62,7 +65,7 @@ def _retained(batches: Iterable[pa.RecordBatch], size: int, k: int) -> Iterator[
 def _sketched(batches: Iterable[pa.RecordBatch], table: object, size: int, percent: int, k: int) -> Iterator[pa.RecordBatch]:
     empty = np.zeros(0, np.uint64)
     for rows, data, offsets in text_chunks(batches):
-        sizes, classes, least, starts, listed, sketches, sets = [], [], [], [], [], [], []
+        sizes, classes, least, starts, listed, sketches = [], [], [], [], [], []
         for s in shingle_sets(data, offsets, size):
             n, sketch = len(s), sketch_of(s, k)
             need = least_overlap(n, k, percent)
@@ -77,16 +80,29 @@ def _sketched(batches: Iterable[pa.RecordBatch], table: object, size: int, perce
             classes.append(set_digest(s) if some else None)
             listed.append(sketch[met])
             sketches.append(sketch if some else empty)
-            sets.append(s if some else empty)
         yield pa.record_batch(
             [
                 rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(least, pa.int64()),
-                pa.array(starts, pa.int64()), longs(listed), longs(sketches), longs(sets),
+                pa.array(starts, pa.int64()), longs(listed), longs(sketches),
             ],
-            ["doc_id", "n", "class", "least", "before", "listed", "sketch", "shingles"],
+            ["doc_id", "n", "class", "least", "before", "listed", "sketch"],
         )
 
 
+def _class_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield np.array([int.from_bytes(c[:8], "little") for c in batch.column("class").to_pylist()], np.uint64)
+
+
+def _whole_sets(batches: Iterable[pa.RecordBatch], table: object, size: int) -> Iterator[pa.RecordBatch]:
+    """class and shingles of the texts whose class may be in ``table``."""
+    for _, data, offsets in text_chunks(batches):
+        sets = [(set_digest(s), s) for s in shingle_sets(data, offsets, size)]
+        keys = np.array([int.from_bytes(c[:8], "little") for c, _ in sets], np.uint64)
+        found = [sets[i] for i in np.flatnonzero(level_of(table.value, keys)).tolist()]
+        yield pa.record_batch([pa.array([c for c, _ in found], pa.binary()), longs([s for _, s in found])], ["class", "shingles"])
+
+
 def alike(a: str, b: str, k: int) -> Column:
     """Do two sketches share at least half of the k smallest values of both together?"""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
@@ -114,30 +130,40 @@ def sketch_copies(docs: DataFrame, size: int = 2, percent: int = 80, k: int = RE
     rows = stage(
         texts.mapInArrow(
             lambda it: _sketched(it, table, size, percent, k),
-            "doc_id bigint, n bigint, class binary, least bigint, before bigint, listed array<bigint>, "
-            "sketch array<bigint>, shingles array<bigint>",
+            "doc_id bigint, n bigint, class binary, least bigint, before bigint, listed array<bigint>, sketch array<bigint>",
         ),
         "sketches",
     )
     table.unpersist()
-    first = [F.first(c).alias(c) for c in ("n", "least", "before", "listed", "sketch", "shingles")]
+    first = [F.first(c).alias(c) for c in ("n", "least", "before", "listed", "sketch")]
     met = rows.where("class is not null and doc_id is not null")
     classes = stage(met.groupBy("class").agg(F.min("doc_id").alias("low"), *first), "classes")
-    sketches, sets = classes.select("class", "sketch"), classes.select("class", "shingles")
 
     # Values after this one in the whole sketch, by rarity.
     after = F.size("sketch") - F.col("before") - F.col("at") - 1
     entries = classes.select("*", F.posexplode("listed").alias("at", "token")).select(
         "token", F.col("class").alias("group"), F.col("class").alias("head"), "n", "least", after.alias("after")
     )
-    member = classes.select(F.col("class").alias("group"), "class")
     possible = F.least("after1", "after2") + OVERLAP >= F.greatest("least1", "least2")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        side = lambda c: sketches.select(F.col("class").alias(c), F.col("sketch").alias(f"s{c}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where(alike("sa", "sb", k)).select("a", "b")
-        return verified(stage(near, "estimated"), sets, percent)
+    def estimated(pairs: DataFrame) -> DataFrame:
+        side = lambda c: classes.select(F.col("class").alias(c), F.col("sketch").alias(f"s{c}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(alike("sa", "sb", k)).select("a", "b")
 
+    member = classes.select(F.col("class").alias("group"), "class")
+    likely = linked_parts(entries, member, estimated, percent, possible, OVERLAP)
+    several = likely.groupBy("part").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    family = stage(spread_join(likely, several, "part", "class").where("k is not null").select("class", "part"), "families")
+
+    table = corpus_levels(family.select("class"), _class_keys, (1, 2, 3))
+    built = texts.select("text").mapInArrow(lambda it: _whole_sets(it, table, size), "class binary, shingles array<bigint>")
+    built = built.join(family.select("class"), "class", "left_semi")
+    sets = stage(built.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
+    table.unpersist()
+    entries = entries.join(family.select(F.col("class").alias("group"), "part"), "group")
+    entries = entries.withColumn("token", F.xxhash64("part", "token")).drop("part")
+    member = family.select(F.col("class").alias("group"), "class")
+    links = lambda pairs: verified(stage(estimated(pairs), "estimated"), sets, percent)
     parts = linked_parts(entries, member, links, percent, possible, OVERLAP)
     ids = with_components(classes, parts)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
