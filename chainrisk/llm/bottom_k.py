@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainrisk.llm.arrays import longs, mix, text_chunks
+from chainrisk.llm.arrays import longs, text_chunks
 from chainrisk.llm.components import spread_join
 from chainrisk.llm.jaccard_join import set_digest, shingle_sets, verified
 from chainrisk.llm.levels import corpus_levels, level_of
@@ -59,7 +59,7 @@ def least_overlap(n: int, k: int, percent: int) -> int:
 
 def _retained(batches: Iterable[pa.RecordBatch], size: int, k: int) -> Iterator[np.ndarray]:
     for _, data, offsets in text_chunks(batches):
-        yield mix(np.concatenate([sketch_of(s, k) for s in shingle_sets(data, offsets, size)]))
+        yield np.concatenate([sketch_of(s, k) for s in shingle_sets(data, offsets, size)])
 
 
 def _sketched(batches: Iterable[pa.RecordBatch], table: object, size: int, percent: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -69,7 +69,7 @@ def _sketched(batches: Iterable[pa.RecordBatch], table: object, size: int, perce
         for s in shingle_sets(data, offsets, size):
             n, sketch = len(s), sketch_of(s, k)
             need = least_overlap(n, k, percent)
-            level = level_of(table.value, mix(sketch))
+            level = level_of(table.value, sketch)
             reach = min(len(sketch), len(sketch) - need + OVERLAP) if n else 0
             order = np.argsort(level << np.uint64(62) | sketch >> np.uint64(1), kind="stable")[:reach]
             met = order[level[order] > 0]

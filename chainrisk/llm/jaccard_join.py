@@ -125,14 +125,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """Columns doc_id, n_shingles, component_id, text_hash: components of texts linked by similarity.
+    """Columns doc_id, n_shingles, component_id, text_hash, part: components of texts linked by similarity.
 
     Two texts link when 100 |A and B| >= percent |A or B| for their sets of
     ``size``-word shingles.  ``component_id`` is the smallest doc_id that links
     reach from the row, its own included.  Texts that are null, empty or without
     words have no shingle, link with nothing and are their own component; repeated
     rows stay repeated.  A row without doc_id takes no part: n_shingles of its text,
-    component_id null.  Other columns are ignored.  Runs jobs and stages tables.
+    component_id null.  ``part`` tells components apart even where texts that do not link
+    bear the same doc_id; it is null for texts that no other row can link to.  Other
+    columns are ignored.  Runs jobs and stages tables.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
@@ -181,6 +183,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
             F.col("n").alias("n_shingles"),
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
             "text_hash",
+            "part",
         )
     )
 

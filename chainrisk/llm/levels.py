@@ -1,9 +1,10 @@
-"""How often 64-bit hashes occur in a whole corpus, as a table of fixed size.
+"""How often 64-bit hashes occur in a whole corpus, as a table of bounded size.
 
-Every occurrence is counted.  What leaves the count is one of four levels per
-slot (the top SLOT_BITS bits of a hash; the highest level of the slot's hashes),
-16 MB whatever the input.  A shared slot can only raise a level: level 0 proves
-that a hash occurs once, and any order by level is the same for all documents.
+Every occurrence is counted, after hashes have been scattered, so that callers may
+pass hashes of any range.  What leaves the count is one of four levels per slot (the
+top bits of a hash; the highest level of the slot's hashes).  Slots follow the size
+of the input, up to 64 MB of them.  A shared slot can only raise a level: level 0
+proves that a hash occurs once, and any order by level is the same for all documents.
 """
 
 from __future__ import annotations
@@ -14,18 +15,30 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from chainrisk.llm.arrays import split_by_bucket
+from chainrisk.llm.arrays import mix, split_by_bucket
 
-SLOT_BITS = 26
+#: Least and most bits of a slot number; two bits a slot.
+LEAST_SLOTS, MOST_SLOTS = 22, 28
+#: Bytes of input a slot and a bucket stand for.
+SLOT_BYTES, BUCKET_BYTES = 4, 1 << 22
 FLUSH = 1 << 20
 
 
-def bucket_bits(spark: SparkSession) -> int:
-    """Bits of the bucket number: at least 256 buckets, and over four per shuffle partition."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(20, max(8, (4 * partitions - 1).bit_length()))
+def _input_bytes(df: DataFrame) -> int:
+    """The planner's size of a frame: the bytes of its files, or an estimate."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def slot_bits(size: int) -> int:
+    return min(MOST_SLOTS, max(LEAST_SLOTS, (size // SLOT_BYTES).bit_length()))
+
+
+def bucket_bits(df: DataFrame) -> int:
+    """Bits of the bucket number: at least 256 buckets, over four per shuffle partition, and by input size."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(20, max(8, (4 * partitions - 1).bit_length(), (_input_bytes(df) // BUCKET_BYTES).bit_length()))
 
 
 def _packed(
@@ -36,16 +49,17 @@ def _packed(
     held: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
-        h = np.sort(np.concatenate(held))
+        h, counts = np.unique(mix(np.concatenate(held)), return_counts=True)
         held.clear()
         part = (h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
         found = list(split_by_bucket(h, bits))
+        # Counts above one go with the place of their hash.
+        more = [np.flatnonzero(counts[s] > 1).astype(np.uint32) for _, s in found]
+        times = [counts[s][at].astype(np.uint32) for (_, s), at in zip(found, more)]
+        columns = [[part[s].tobytes() for _, s in found], *([x.tobytes() for x in c] for c in (more, times))]
         return pa.record_batch(
-            [
-                pa.array([b for b, _ in found], pa.int32()),
-                pa.array([part[s].tobytes() for _, s in found], pa.binary()),
-            ],
-            ["bucket", "hashes"],
+            [pa.array([b for b, _ in found], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)],
+            ["bucket", "hashes", "more", "times"],
         )
 
     size = 0
@@ -59,12 +73,19 @@ def _packed(
         yield flush()
 
 
-def _levels_of(pdf: pd.DataFrame, bits: int, steps: tuple[int, int, int]) -> pd.DataFrame:
-    found = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["hashes"]]))
+def _levels_of(pdf: pd.DataFrame, bits: int, slots: int, steps: tuple[int, int, int]) -> pd.DataFrame:
+    parts, weights = [], []
+    for hashes, more, times in zip(pdf["hashes"], pdf["more"], pdf["times"]):
+        parts.append(np.frombuffer(hashes, np.uint32))
+        weights.append(np.ones(len(parts[-1]), np.int64))
+        weights[-1][np.frombuffer(more, np.uint32)] = np.frombuffer(times, np.uint32)
+    found = np.concatenate(parts)
+    order = np.argsort(found)
+    found = found[order]
     first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-    counts = np.diff(np.append(first, len(found)))
-    slot = found[first] >> np.uint32(32 - (SLOT_BITS - bits))
-    table = np.zeros(1 << (SLOT_BITS - bits), dtype=np.uint8)
+    counts = np.add.reduceat(np.concatenate(weights)[order], first)
+    slot = found[first] >> np.uint32(32 - (slots - bits))
+    table = np.zeros(1 << (slots - bits), dtype=np.uint8)
     for level, least in enumerate(steps, start=1):
         table[slot[counts >= least]] = level
     quads = table.reshape(-1, 4)
@@ -82,12 +103,13 @@ def corpus_levels(
     ``steps`` are the least counts of levels 1 to 3.
     """
     spark = df.sparkSession
-    bits = bucket_bits(spark)
-    packed = df.mapInArrow(lambda it: _packed(it, hashes_of, bits), "bucket int, hashes binary")
+    bits = bucket_bits(df)
+    slots = max(slot_bits(_input_bytes(df)), bits + 2)
+    packed = df.mapInArrow(lambda it: _packed(it, hashes_of, bits), "bucket int, hashes binary, more binary, times binary")
     counted = packed.groupBy("bucket").applyInPandas(
-        lambda pdf: _levels_of(pdf, bits, steps), "bucket int, levels binary"
+        lambda pdf: _levels_of(pdf, bits, slots, steps), "bucket int, levels binary"
     )
-    table = np.zeros(1 << (SLOT_BITS - 2), dtype=np.uint8)
+    table = np.zeros(1 << (slots - 2), dtype=np.uint8)
     width = len(table) >> bits
     for row in counted.collect():
         table[row.bucket * width : (row.bucket + 1) * width] = np.frombuffer(row.levels, np.uint8)
@@ -96,5 +118,6 @@ def corpus_levels(
 
 def level_of(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Levels (0 to 3) of hashes as uint64."""
-    slot = hashes >> np.uint64(64 - SLOT_BITS)
+    slots = len(table).bit_length() + 1
+    slot = mix(hashes) >> np.uint64(64 - slots)
     return (table[slot >> np.uint64(2)] >> (slot & np.uint64(3)).astype(np.uint8) * 2 & 3).astype(np.uint64)

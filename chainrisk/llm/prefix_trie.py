@@ -292,7 +292,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     Columns conv_id (smallest member), depth, parent_conv_id, n_convs, n_children,
     n_leaves, saved_tokens, ends_sha256.  A conversation is rebuilt from the first h
     turns of conversation c - c % 5 and its own turns after its first h, with
-    h = crc32 of c's digits % 9.  Turns go by number, null first; turns with the same
+    h = crc32 of c's digits % 9; the remainder of a negative c is negative, as in SQL.
+    Turns go by number, null first; turns with the same
     number by role, then by the md5 of their text, and repeated rows are turns of their
     own.  A null role or text is empty.  Rows without conv_id take no part; without any
     conversation there is no node, not even the root.  Other columns are ignored.

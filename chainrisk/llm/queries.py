@@ -62,7 +62,7 @@ def op4_host_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_classes(table(spark, folder, "documents")).drop("text_hash")
+    return jaccard_classes(table(spark, folder, "documents")).drop("text_hash", "part")
 
 
 @query

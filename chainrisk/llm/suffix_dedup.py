@@ -430,10 +430,10 @@ def cut_repeats(
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    bits = bucket_bits(docs.sparkSession)
     rid = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(rid.alias("rid"), F.xxhash64(body).alias("tag"), body.alias("text"))
+    bits = bucket_bits(texts)
     table = corpus_levels(docs.select(body.alias("text")), lambda it: _anchors(it, length), STEPS)
     dealt = texts.mapInArrow(
         lambda it: _deal(it, table, length, bits),
