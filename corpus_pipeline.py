@@ -6,7 +6,8 @@
 4. source_mix: sources are repeated to target weights, in a random order.
 5. pieces: texts become merge pieces with seeded dropout.
 
-All stages but the last return the columns of ``documents`` they were given.
+All stages but the last return the columns of ``documents`` they were given; source_mix
+adds the number and the key of each copy.
 """
 
 from __future__ import annotations
@@ -63,14 +64,23 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies: the one with the smallest (doc_id, text hash).
 
-    Rows without doc_id stay.  Rows with the same doc_id and without words are one group.
+    Components are told apart by their texts, so unlinked texts stay even where their
+    doc_id is the same.  Rows without doc_id, and texts that link with nothing, stay.
     """
-    classes = jaccard_classes(docs).where("doc_id is not null")
-    heads = classes.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("m"))
-    heads = heads.select(F.col("m.doc_id").alias("doc_id"), F.col("m.text_hash").alias("text_hash"))
-    marked = docs.withColumn("text_hash", F.xxhash64("text"))
-    kept = marked.join(heads, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = jaccard_classes(docs).where("doc_id is not null and part is not null")
+    rows = rows.groupBy("part", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("j_rows"))
+    heads = rows.groupBy("part").agg(F.min(F.struct("doc_id", "text_hash")).alias("m"))
+    heads = heads.select("m.doc_id", "m.text_hash", F.lit(True).alias("j_head"))
+    keys = rows.drop("part").join(heads, ["doc_id", "text_hash"], "left")
+    keys = stage(keys.select(F.col("doc_id").alias("j_id"), F.col("text_hash").alias("j_hash"), "j_rows", "j_head"), "copies")
+    plain = docs.select(*(F.col(c).alias(f"p_{i}") for i, c in enumerate(docs.columns)))
+    doc_id, text = (plain[f"p_{docs.columns.index(c)}"] for c in ("doc_id", "text"))
+    same = (doc_id.cast("bigint") == F.col("j_id")) & (F.xxhash64(text.cast("string")) == F.col("j_hash"))
+    kept = plain.join(keys, same, "left").where("j_rows is null or j_head")
+    single = kept.where("j_rows is null or j_rows = 1")
+    several = kept.where("j_rows > 1").dropDuplicates(["j_id", "j_hash"])
+    both = single.unionByName(several)
+    return both.select(*(F.col(f"p_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,12 +98,23 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources repeated towards weights by the square root of their size."""
-    return poisson_mix(docs, tempered_weights(docs)).select(*docs.columns)
+    """Sources repeated towards weights by the square root of their size, in a random order.
+
+    ``mix_copy`` and ``mix_key`` (a copy's number and its place in the order) travel on
+    behind the columns of ``docs``.
+    """
+    return poisson_mix(docs, tempered_weights(docs))
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang and source with the pieces of each text; copies of a document are drawn apart."""
+    """doc_id, lang and source with the pieces of each text; copies of a document are drawn apart.
+
+    Copies are told apart by ``mix_copy``, which is kept with ``mix_key``, as is the order
+    of ``docs``.  Rows that were not mixed are numbered here, which shuffles them.
+    """
+    if "mix_copy" in docs.columns:
+        mixed = tuple(c for c in ("mix_copy", "mix_key") if c in docs.columns)
+        return encode_documents(docs, carry=("doc_id", "lang", "source", *mixed), copy="mix_copy")
     alike = Window.partitionBy("doc_id", "lang", "source", F.xxhash64("text")).orderBy(F.lit(0))
     copies = docs.select("doc_id", "lang", "source", "text", F.row_number().over(alike).alias("copy"))
     return encode_documents(copies, carry=("doc_id", "lang", "source"), copy="copy")
