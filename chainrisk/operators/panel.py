@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainrisk.functions.calendar import (
@@ -46,31 +46,50 @@ def firm_quarter_grid(relations: DataFrame, first_year: int, last_year: int) ->
     )
 
 
+def merged_ranges(ranged: DataFrame, first: str = "_first", last: str = "_last") -> DataFrame:
+    """Rows equal in all other columns with their overlapping or adjacent ranges made one.
+
+    A row opens a new range if it starts behind everything before it; null values are equal.
+    """
+    keys = [c for c in ranged.columns if c not in (first, last)]
+    ordered = Window.partitionBy(*keys).orderBy(first, last)
+    reach = F.max(last).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col(first) <= reach + 1, 0).otherwise(1)
+    numbered = ranged.withColumn("_opens", opens).withColumn(
+        "_range", F.sum("_opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    merged = numbered.groupBy(*keys, "_range").agg(F.min(first).alias(first), F.max(last).alias(last))
+    return merged.select(*ranged.columns)
+
+
 def panel_expand(
     relations: DataFrame, first_year: int, last_year: int, open_end: str
 ) -> DataFrame:
-    """One row per relation and quarter end in force.
+    """One row per pair, type, identifiers and quarter end with a relation in force.
 
-    The quarter range follows from the two dates, so a relation expands inside
-    its own row and no join against a calendar is needed.
+    The quarter range follows from the two dates, so a relation expands inside its own
+    row and no join against a calendar is needed.  A pair has many relations in force at
+    once: their ranges are merged first, so that no quarter is made twice and the rows
+    need no distinct.
     """
     clean = relation_clean(relations, open_end).filter(F.col("target_company_id").isNotNull())
     last_in_force = F.when(
         F.col("end_") == quarter_end(F.year("end_"), F.quarter("end_")), index_of_date("end_")
     ).otherwise(index_of_date("end_") - 1)
+    for side in SIDES:
+        clean = clean.withColumn(f"{side}_cusip", F.substring(f"{side}_cusip", 1, 8))
     ranged = clean.withColumns(
         {
             "_first": F.greatest(index_of_date("start_"), F.lit(first_year * 4)),
             "_last": F.least(last_in_force, F.lit(last_year * 4 + 3)),
         }
     ).filter(F.col("_first") <= F.col("_last"))
-    expanded = ranged.withColumn("_q", F.explode(F.sequence("_first", "_last")))
+    merged = merged_ranges(ranged.drop("start_", "end_"))
+    expanded = merged.withColumn("_q", F.explode(F.sequence("_first", "_last")))
     panel = expanded.withColumns(
         {"year": year_of_index("_q"), "quarter": quarter_of_index("_q")}
     ).withColumn("date", quarter_end("year", "quarter"))
-    for side in SIDES:
-        panel = panel.withColumn(f"{side}_cusip", F.substring(f"{side}_cusip", 1, 8))
-    return panel.drop("_first", "_last", "_q", "start_", "end_")
+    return panel.drop("_first", "_last", "_q")
 
 
 def with_any_identifier(panel: DataFrame) -> DataFrame:

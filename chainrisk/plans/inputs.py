@@ -25,7 +25,8 @@ GRAPH_PERIOD = (1998, 4)
 CENTER = 1000
 
 STANDINS: dict[str, str] = {
-    # One relation per supplier, line status and quarter, over all their line items.
+    # One relation per supplier, customer, line status and year: every pair that trades.
+    # A customer is the firm of its number modulo the suppliers, so that partners have partners.
     "fx_relation": """
         SELECT source_company_id, target_company_id, rel_type, start_, end_,
           CASE WHEN k%7<>0 THEN concat('Firm ',source_company_id,' Inc.') END AS SOURCE_name,
@@ -34,15 +35,13 @@ STANDINS: dict[str, str] = {
           CASE WHEN k%4=0 THEN concat(lpad(CAST(target_company_id AS STRING),8,'0'),'7') END AS TARGET_cusip,
           CASE WHEN k%4=1 THEN concat('US',source_company_id) END AS SOURCE_isin,
           CASE WHEN k%4 IN (1,2) THEN concat('US',target_company_id) END AS TARGET_isin
-        FROM (SELECT l_suppkey AS source_company_id,
-                CAST(sum(o_custkey) % (SELECT count(*) FROM supplier) AS BIGINT) AS target_company_id,
-                CASE WHEN l_linestatus='F' THEN 'SUPPLIER' ELSE 'CUSTOMER' END AS rel_type,
-                min(CAST(l_shipdate AS DATE)) AS start_,
-                CASE WHEN sum(CAST(round(l_tax*100) AS BIGINT))>=5*count(*) THEN DATE '4000-01-01'
-                     ELSE CAST(max(CAST(l_shipdate AS DATE)) + INTERVAL '100' DAY AS DATE) END AS end_,
-                count(*) AS k
-              FROM lineitem JOIN orders ON l_orderkey=o_orderkey
-              GROUP BY l_suppkey, l_linestatus, year(l_shipdate), quarter(l_shipdate)) r
+        FROM (SELECT source_company_id, target_company_id, rel_type, source_company_id + target_company_id AS k, min(day) AS start_,
+                CASE WHEN (source_company_id + target_company_id)%97=0 THEN DATE '4000-01-01'
+                     ELSE CAST(max(day) + INTERVAL '60' DAY AS DATE) END AS end_
+              FROM (SELECT l_suppkey AS source_company_id, o_custkey % (SELECT count(*) FROM supplier) AS target_company_id,
+                      CASE WHEN l_linestatus='F' THEN 'SUPPLIER' ELSE 'CUSTOMER' END AS rel_type, CAST(l_shipdate AS DATE) AS day
+                    FROM lineitem JOIN orders ON l_orderkey=o_orderkey) t
+              GROUP BY source_company_id, target_company_id, rel_type, year(day)) r
         WHERE source_company_id<>target_company_id""",
     "fx_link": """
         SELECT s_suppkey+1000 AS gvkey, lpad(CAST(s_suppkey AS STRING),8,'0') AS CUSIPH, s_suppkey+5000 AS cik,
@@ -58,13 +57,11 @@ STANDINS: dict[str, str] = {
     "fx_cc": """
         SELECT l_suppkey+1000 AS gvkey, year(l_shipdate) AS year, quarter(l_shipdate) AS quarter, avg(l_discount) AS cc_expo_ew
         FROM lineitem GROUP BY l_suppkey, year(l_shipdate), quarter(l_shipdate)""",
-    # Sales of a supplier to ten customer segments a year, over all line items.
+    # Sales of a supplier to each of its customers a year, over all line items.
     "fx_disclosed": """
-        SELECT l_suppkey+1000 AS GVKEY1, customer_no + 1000 AS GVKEY2, y, sum(sales)-100000 AS SALECS
-        FROM (SELECT l_suppkey, CAST(sum(o_custkey) % (SELECT count(*) FROM supplier) AS BIGINT) AS customer_no,
-                     year(o_orderdate) AS y, sum(l_extendedprice) AS sales
-              FROM lineitem JOIN orders ON l_orderkey=o_orderkey
-              GROUP BY l_suppkey, o_custkey%10, year(o_orderdate)) s
+        SELECT l_suppkey+1000 AS GVKEY1, customer_no + 1000 AS GVKEY2, y, sum(l_extendedprice)-10000 AS SALECS
+        FROM (SELECT l_suppkey, o_custkey % (SELECT count(*) FROM supplier) AS customer_no, year(o_orderdate) AS y, l_extendedprice
+              FROM lineitem JOIN orders ON l_orderkey=o_orderkey) s
         GROUP BY l_suppkey, customer_no, y""",
     # One score per institution, quarter and line number, over all line items.
     "fx_trucost": """

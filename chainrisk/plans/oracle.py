@@ -163,7 +163,7 @@ CTES |= {
     "qe": f"""SELECT y AS year, k AS quarter, last_day(make_date(y::BIGINT, k::BIGINT * 3, 1::BIGINT)) AS date
       FROM range({IN.FIRST_YEAR}, {IN.LAST_YEAR + 1}) a(y), range(1, 5) b(k)""",
     "rel": f"""SELECT * REPLACE (CASE WHEN end_ = DATE '4000-01-01' THEN DATE '{IN.OPEN_END}' ELSE end_ END AS end_) FROM fx_relation""",
-    "pan": """SELECT r.source_company_id, r.target_company_id, r.rel_type, q.year, q.quarter, q.date, r.SOURCE_name, r.TARGET_name,
+    "pan": """SELECT DISTINCT r.source_company_id, r.target_company_id, r.rel_type, q.year, q.quarter, q.date, r.SOURCE_name, r.TARGET_name,
         left(r.SOURCE_cusip, 8) AS SOURCE_cusip, left(r.TARGET_cusip, 8) AS TARGET_cusip, r.SOURCE_isin, r.TARGET_isin
       FROM rel r JOIN qe q ON q.date >= r.start_ AND q.date <= r.end_""",
     "pid": f"""SELECT * REPLACE ({_base('SOURCE_name')} AS SOURCE_name, {_base('TARGET_name')} AS TARGET_name) FROM pan
