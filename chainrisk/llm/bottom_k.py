@@ -9,8 +9,9 @@ of their union, so a pair is worth checking only if it shares half of them:
 2. the lists generate pairs and their overlaps, families by pivots (``linking``);
 3. the k smallest of both sketches together estimate the similarity of a pair, and
    components of pairs with an estimate of at least one half are families;
-4. inside a family the pairs so estimated are verified on the whole sets, which are
-   built for members of families only.
+4. whole sets are built for members of families only.  A family may hold very many
+   texts that are alike but not linked, so the pairs that go to verification are those
+   that meet under the rarest shingles of both whole sets, early enough to link.
 
 Sketches of sets of up to k shingles are the whole sets, and nothing is left to chance.
 Above, a link at the least similarity of 0.8 fails the estimate with a probability below
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from chainrisk.llm.arrays import longs, text_chunks
 from chainrisk.llm.components import spread_join
-from chainrisk.llm.jaccard_join import set_digest, shingle_sets, verified
+from chainrisk.llm.jaccard_join import in_reach, set_digest, shingle_sets, verified
 from chainrisk.llm.levels import corpus_levels, level_of
 from chainrisk.llm.linking import linked_parts, with_components
 from chainrisk.sources.staging import stage
@@ -103,6 +104,31 @@ def _whole_sets(batches: Iterable[pa.RecordBatch], table: object, size: int) ->
         yield pa.record_batch([pa.array([c for c, _ in found], pa.binary()), longs([s for _, s in found])], ["class", "shingles"])
 
 
+def _set_prefixes(batches: Iterable[pa.RecordBatch], table: object, percent: int) -> Iterator[pa.RecordBatch]:
+    """class, n and the listed shingles of whole sets, after how many that no other set has."""
+    for rows in batches:
+        flat = rows.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        ends = np.cumsum(rows.column("shingles").value_lengths().to_numpy(zero_copy_only=False))
+        level = level_of(table.value, flat)
+        sizes, before, listed = [], [], []
+        for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            s, at, n = flat[lo:hi], level[lo:hi], hi - lo
+            order = np.argsort(at << np.uint64(62) | s >> np.uint64(2), kind="stable")[: n - (percent * n + 99) // 100 + 1]
+            met = order[at[order] > 0]
+            sizes.append(n)
+            before.append(len(order) - len(met))
+            listed.append(s[met])
+        yield pa.record_batch(
+            [rows.column("class"), pa.array(sizes, pa.int64()), pa.array(before, pa.int64()), longs(listed)],
+            ["class", "n", "before", "listed"],
+        )
+
+
+def _set_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for rows in batches:
+        yield rows.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 def alike(a: str, b: str, k: int) -> Column:
     """Do two sketches share at least half of the k smallest values of both together?"""
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
@@ -160,11 +186,20 @@ def sketch_copies(docs: DataFrame, size: int = 2, percent: int = 80, k: int = RE
     built = built.join(family.select("class"), "class", "left_semi")
     sets = stage(built.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
     table.unpersist()
-    entries = entries.join(family.select(F.col("class").alias("group"), "part"), "group")
-    entries = entries.withColumn("token", F.xxhash64("part", "token")).drop("part")
+
+    table = corpus_levels(sets.select("shingles"), _set_hashes, STEPS)
+    prefixes = sets.mapInArrow(
+        lambda it: _set_prefixes(it, table, percent), "class binary, n bigint, before bigint, listed array<bigint>"
+    )
+    listed = prefixes.select("class", "n", "before", F.posexplode("listed").alias("at", "shingle")).join(family, "class")
+    entries = listed.select(
+        F.xxhash64("part", "shingle").alias("token"), F.col("class").alias("group"), F.col("class").alias("head"), "n",
+        (F.col("before") + F.col("at")).alias("rank"),
+    )
     member = family.select(F.col("class").alias("group"), "class")
     links = lambda pairs: verified(stage(estimated(pairs), "estimated"), sets, percent)
-    parts = linked_parts(entries, member, links, percent, possible, OVERLAP)
+    parts = linked_parts(stage(entries, "prefixes"), member, links, percent, in_reach(percent))
+    table.unpersist()
     ids = with_components(classes, parts)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return (

@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainrisk.llm.arrays import SpanHash, distinct, lower, mix, text_chunks, word_spans
@@ -124,6 +124,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(shared * 100 >= union * percent).select("a", "b")
 
 
+def in_reach(percent: int) -> Column:
+    """Can two sets of n1 and n2 shingles link that first meet at rank1 and rank2 of one order?
+
+    At the rarest shared token all other shared ones come later in both orders.
+    """
+    left = F.lit(1) + F.least(F.col("n1") - F.col("rank1") - 1, F.col("n2") - F.col("rank2") - 1)
+    return left * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
+
+
 def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """Columns doc_id, n_shingles, component_id, text_hash, part: components of texts linked by similarity.
 
@@ -170,10 +179,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     before = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.size("tokens")
     entries = groups.select("group", "head", "n", before.alias("before"), F.posexplode("tokens").alias("at", "token"))
     entries = entries.select("token", "group", "head", "n", (F.col("before") + F.col("at")).alias("rank"))
-    # At the rarest shared token all other shared ones come later in both orders.
-    left = F.lit(1) + F.least(F.col("n1") - F.col("rank1") - 1, F.col("n2") - F.col("rank2") - 1)
-    possible = left * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent
-    parts = linked_parts(entries, member, lambda pairs: verified(pairs, sets, percent), percent, possible)
+    parts = linked_parts(entries, member, lambda pairs: verified(pairs, sets, percent), percent, in_reach(percent))
     ids = with_components(classes, parts)
     return (
         rows.select("doc_id", "text_hash", "n", "class")

@@ -1,6 +1,7 @@
 """Links between classes that meet in token lists, without listing the pairs inside a family.
 
-Pivots first: the first group of each list and size band is tried by the others, which
+Pivots first: the most central group of each list and size band (the one whose lists are
+longest, as are those of a text that others were copied from) is tried by the others, which
 links large families of near copies by as many checks as members.  What that leaves apart
 tries several members of the list's largest part, and what a list still holds outside its
 largest part meets the whole list.  Pairs inside a part are not enumerated; every link
@@ -55,10 +56,13 @@ def linked_parts(
     pairs (a, b) of classes.  Pairs whose sizes are further apart than ``percent``, that
     are not ``possible``, or that share fewer than ``overlap`` lists are not tried.
     """
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-    entries = stage(entries.join(lists, "token"), "entries")
+    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = stage(entries.join(lists, "token"), "met")
+    weights = met.groupBy("group").agg(F.sum("k").alias("weight"))
+    entries = stage(met.drop("k").join(weights, "group"), "entries")
+    release(met)
     banded = entries.withColumn("band", F.floor(F.log(100 / percent, F.col("n"))))
-    pivots = banded.groupBy("token", "band").agg(F.min("head").alias("pivot"))
+    pivots = banded.groupBy("token", "band").agg(F.max_by("head", F.struct("weight", "head")).alias("pivot"))
     star = banded.join(pivots, ["token", "band"]).groupBy("group", "pivot").agg(F.count(F.lit(1)).alias("k"))
     star = star.where(F.col("k") >= overlap).select("group", "pivot")
     own = member.groupBy("group").agg(F.min("class").alias("pivot"))
@@ -75,7 +79,8 @@ def linked_parts(
     for turn in range(PIVOT_TURNS):
         if open_lists.isEmpty():
             break
-        draws = [F.min_by("head", F.xxhash64("head", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)]
+        draws = [F.min_by("head", F.xxhash64("head", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS - 1)]
+        draws.append(F.max_by("head", F.struct("weight", "head")))
         chosen = open_lists.where("part = main").groupBy("token").agg(F.array_distinct(F.array(*draws)).alias("heads"))
         rest = open_lists.where("part <> main").select("token", "group", "part")
         tries = (
