@@ -57,6 +57,21 @@ def release(*tables: DataFrame) -> None:
             system.delete(where, True)
 
 
+def staged(spark: SparkSession) -> list[str]:
+    """Paths of the tables that this session has staged and not released as a whole."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables by path, once the results that read them are written."""
+    known = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where, system = _file_system(spark, path)
+        system.delete(where, True)
+        if path in known:
+            known.remove(path)
+
+
 def discard(spark: SparkSession) -> None:
     """Delete all tables that this session has staged; frames that read them end with them."""
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):

@@ -22,7 +22,7 @@ from chainrisk.llm.language_id import UNKNOWN, fit_languages, held_out, predict_
 from chainrisk.llm.merge_dropout import encode_documents
 from chainrisk.llm.source_mixing import poisson_mix, tempered_weights
 from chainrisk.llm.suffix_dedup import cut_repeats
-from chainrisk.sources.staging import stage
+from chainrisk.sources.staging import release_paths, stage, staged
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -71,14 +71,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = rows.groupBy("part", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("j_rows"))
     heads = rows.groupBy("part").agg(F.min(F.struct("doc_id", "text_hash")).alias("m"))
     heads = heads.select("m.doc_id", "m.text_hash", F.lit(True).alias("j_head"))
-    keys = rows.drop("part").join(heads, ["doc_id", "text_hash"], "left")
+    # A head that stands in one row needs no look-up, so the keys are those of copies only.
+    keys = rows.drop("part").join(heads, ["doc_id", "text_hash"], "left").where("j_head is null or j_rows > 1")
     keys = stage(keys.select(F.col("doc_id").alias("j_id"), F.col("text_hash").alias("j_hash"), "j_rows", "j_head"), "copies")
     plain = docs.select(*(F.col(c).alias(f"p_{i}") for i, c in enumerate(docs.columns)))
     doc_id, text = (plain[f"p_{docs.columns.index(c)}"] for c in ("doc_id", "text"))
     same = (doc_id.cast("bigint") == F.col("j_id")) & (F.xxhash64(text.cast("string")) == F.col("j_hash"))
     kept = plain.join(keys, same, "left").where("j_rows is null or j_head")
-    single = kept.where("j_rows is null or j_rows = 1")
-    several = kept.where("j_rows > 1").dropDuplicates(["j_id", "j_hash"])
+    single = kept.where("j_rows is null")
+    several = kept.where("j_head").dropDuplicates(["j_id", "j_hash"])
     both = single.unionByName(several)
     return both.select(*(F.col(f"p_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
@@ -133,8 +134,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; each result is written and read again."""
+    """All stages over the documents of a folder; each result is written and read again.
+
+    What a stage staged goes, with the stage's input, as soon as its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    spent = staged(spark)
     for name, apply in STAGES[:-1]:
         docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+        *old, _ = [path for path in staged(spark) if path not in spent]
+        release_paths(spark, old)
     return STAGES[-1][1](spark, docs, sf_dir)
