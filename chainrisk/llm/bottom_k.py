@@ -5,7 +5,7 @@ hashes of its set.  Two texts of similarity J share about J of the k smallest ha
 of their union, so a pair is worth checking only if it shares half of them:
 
 1. equal sets are one class; each class is listed under the retained values that are
-   rarest in the corpus, enough of them that a pair sharing half must meet twice;
+   rarest in the corpus, enough of them that a pair sharing half must meet OVERLAP times;
 2. the lists generate pairs and their overlaps, families by pivots (``linking``);
 3. the k smallest of both sketches together estimate the similarity of a pair, and
    components of pairs with an estimate of at least one half are families;
@@ -36,8 +36,8 @@ from chainrisk.sources.staging import stage
 
 #: Retained values of a sketch.
 RETAINED = 96
-#: Lists in which a pair must meet.
-OVERLAP = 2
+#: Lists in which a pair must meet, if its sizes do not ask for fewer.
+OVERLAP = 12
 #: Least counts of a "repeated", a "frequent" and a "very frequent" retained value.
 STEPS = (2, 16, 256)
 

@@ -38,9 +38,9 @@ def _open_lists(entries: DataFrame, parts: DataFrame) -> DataFrame:
     in_list = stage(entries.join(parts.select("group", "part").distinct(), "group"), "listed")
     sizes = in_list.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("token").agg(
-        F.max_by("part", F.struct("k", "part")).alias("main"), F.count(F.lit(1)).alias("parts")
+        F.max_by("part", F.struct("k", "part")).alias("main"), F.max("k").alias("held"), F.count(F.lit(1)).alias("parts")
     )
-    found = stage(in_list.join(main.where("parts > 1").select("token", "main"), "token"), "open")
+    found = stage(in_list.join(main.where("parts > 1").select("token", "main", "held"), "token"), "open")
     release(in_list)
     return found
 
@@ -54,17 +54,22 @@ def linked_parts(
     size), and the columns that ``possible`` names with 1 and 2 behind them for the two
     sides of a pair.  ``member`` has group and class.  ``verify`` keeps the true links of
     pairs (a, b) of classes.  Pairs whose sizes are further apart than ``percent``, that
-    are not ``possible``, or that share fewer than ``overlap`` lists are not tried.
+    are not ``possible``, or that share fewer than ``overlap`` lists (fewer than ``least``,
+    an entry's overlap needed by its size, if that is less) are not tried.
     """
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    met = stage(entries.join(lists, "token"), "met")
-    weights = met.groupBy("group").agg(F.sum("k").alias("weight"))
-    entries = stage(met.drop("k").join(weights, "group"), "entries")
-    release(met)
+    repeated = stage(entries.join(lists, "token"), "repeated")
+    weights = repeated.groupBy("group").agg(F.sum("k").alias("weight"))
+    entries = stage(repeated.drop("k").join(weights, "group"), "entries")
+    release(repeated)
     banded = entries.withColumn("band", F.floor(F.log(100 / percent, F.col("n"))))
     pivots = banded.groupBy("token", "band").agg(F.max_by("head", F.struct("weight", "head")).alias("pivot"))
-    star = banded.join(pivots, ["token", "band"]).groupBy("group", "pivot").agg(F.count(F.lit(1)).alias("k"))
-    star = star.where(F.col("k") >= overlap).select("group", "pivot")
+    # Sets that need fewer shared values than ``overlap`` (column least) meet in as many lists.
+    counted = overlap > 1
+    enough = lambda *least: F.col("k") >= (F.least(F.lit(overlap), *least) if counted else F.lit(1))
+    met = lambda *least: [F.count(F.lit(1)).alias("k"), *(F.first(c).alias(c) for c in least if counted)]
+    star = banded.join(pivots, ["token", "band"]).groupBy("group", "pivot").agg(*met("least"))
+    star = star.where(enough("least")).select("group", "pivot")
     own = member.groupBy("group").agg(F.min("class").alias("pivot"))
     tries = (
         star.unionByName(own)
@@ -81,8 +86,10 @@ def linked_parts(
             break
         draws = [F.min_by("head", F.xxhash64("head", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS - 1)]
         draws.append(F.max_by("head", F.struct("weight", "head")))
-        chosen = open_lists.where("part = main").groupBy("token").agg(F.array_distinct(F.array(*draws)).alias("heads"))
-        rest = open_lists.where("part <> main").select("token", "group", "part")
+        # Where the largest part is small, meeting the whole list costs no more.
+        large = open_lists.where(F.col("held") >= PIVOTS)
+        chosen = large.where("part = main").groupBy("token").agg(F.array_distinct(F.array(*draws)).alias("heads"))
+        rest = large.where("part <> main").select("token", "group", "part")
         tries = (
             rest.join(chosen, "token")
             .select("group", "part", F.explode("heads").alias("b"))
@@ -95,7 +102,7 @@ def linked_parts(
         open_lists = _open_lists(entries, parts)
 
     # What is still outside the largest part of a list meets the whole list.
-    side = lambda k: [F.col(c).alias(f"{c}{k}") for c in open_lists.columns if c not in ("token", "main")]
+    side = lambda k: [F.col(c).alias(f"{c}{k}") for c in open_lists.columns if c not in ("token", "main", "held")]
     one, two = open_lists.where("part <> main").select("token", *side(1)), open_lists.select("token", "main", *side(2))
     near = (
         (F.col("part1") != F.col("part2"))
@@ -110,8 +117,10 @@ def linked_parts(
     ordered = [
         F.when(flip, F.col(f"{c}{x}")).otherwise(F.col(f"{c}{y}")).alias(f"{c}{x}") for x, y in ((1, 2), (2, 1)) for c in ("group", "part")
     ]
-    met = one.join(two, "token").where(near).select(*ordered)
-    cross = stage(met.groupBy(*pair).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= overlap).select(*pair), "cross")
+    least = ["least1", "least2"] if counted else []
+    found = one.join(two, "token").where(near).select(*ordered, *least)
+    cross = found.groupBy(*pair).agg(*met(*least)).where(enough(*least))
+    cross = stage(cross.select(*pair), "cross")
     of = lambda g, p, c: parts.select(F.col("group").alias(g), F.col("part").alias(p), F.col("class").alias(c))
     within = parts.groupBy("group").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
     inner = (
