@@ -178,3 +178,13 @@ def test_summary_of_one_firm_quarter_has_no_deviation(spark):
     got = rows(DC.decline_rate_summary(df))
     assert got == [("supplier", 1, 0.5, None, 0.5, 0.5, 0.5)]
     assert rows(DC.firm_decline_flag(df), "flag") == [(0,)]
+
+
+def test_merged_ranges_expand_like_distinct_quarters(spark):
+    from chainrisk.operators.panel import merged_ranges
+
+    ranges = [("a", None, 1, 4), ("a", None, 2, 3), ("a", None, 5, 6), ("a", None, 9, 9), ("a", "x", 3, 8), ("b", None, 4, 4), ("b", None, 4, 4)]
+    merged = merged_ranges(spark.createDataFrame(ranges, "pair string, id string, _first int, _last int"))
+    got = [(r.pair, r.id, q) for r in merged.collect() for q in range(r._first, r._last + 1)]
+    assert len(got) == len(set(got)) and set(got) == {(p, i, q) for p, i, lo, hi in ranges for q in range(lo, hi + 1)}
+    assert merged.count() == 4
