@@ -139,7 +139,10 @@ def _without_unit_part(cells: DataFrame, vectors: DataFrame, name: str, unit: st
 
 
 def _distributed_effects(cells: DataFrame, width: int, unit: str, time: str) -> DataFrame:
-    """Time effects by conjugate gradients, all columns at once: (time, x array)."""
+    """Time effects by conjugate gradients, all columns at once: (time, x array).
+
+    Raises if a column has not converged after as many rounds as it may need.
+    """
     totals = cells.groupBy(unit).agg(F.sum("n").alias("rows"), _array_sums("sums", width).alias("total"))
     right = cells.join(totals, unit).select(
         time,
@@ -148,7 +151,8 @@ def _distributed_effects(cells: DataFrame, width: int, unit: str, time: str) ->
     state = stage(right.select(time, F.transform("r", lambda x: x * 0).alias("x"), "r", F.col("r").alias("p")), "cg")
     norms = _dots(state, "r", "r", width)
     limit = TOLERANCE * np.maximum(norms, 1e-300)
-    for _ in range(10 * DENSE_LEVELS):
+    # Exact arithmetic ends within one round per level; rounding may take some more.
+    for _ in range(2 * state.count() + 10):
         if (norms <= limit).all():
             break
         applied = stage(
@@ -166,6 +170,8 @@ def _distributed_effects(cells: DataFrame, width: int, unit: str, time: str) ->
         turn = np.where(live, after / np.where(live, norms, 1.0), 0.0)
         state = stage(moved.select(time, "x", "r", _scaled_sum("r", "p", turn).alias("p")), "cg")
         norms = np.where(live, after, norms)
+    if (norms > limit).any():
+        raise ArithmeticError(f"time effects have not converged: squared residuals {norms} above {limit}")
     return state.select(time, "x")
 
 
