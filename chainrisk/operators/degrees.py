@@ -17,6 +17,9 @@ from chainrisk.operators.scores import FIRM_PERIOD, METRICS, firm_universe
 from chainrisk.sources.staging import stage
 
 SIDED_PERIOD = ["side", *FIRM_PERIOD]
+SIDE_QUARTER = ["side", "year", "quarter"]
+#: Links of one firm that a task joins at a time.
+HUB_LINKS = 4096
 
 
 def complete_links(scored: DataFrame) -> DataFrame:
@@ -159,32 +162,71 @@ def firm_first_degree_table(links: DataFrame, equal: DataFrame, value: DataFrame
     return firm_universe(links).join(stacked.groupBy(*FIRM_PERIOD).agg(*spread), FIRM_PERIOD, "left")
 
 
-def degree_links(links: DataFrame) -> DataFrame:
+def _numbered_ends(base: DataFrame) -> DataFrame:
+    """An ``id`` for every firm of a side and quarter; neighbours in that order share blocks of 64."""
+    end = F.explode(F.array("firm_gvkey", "partner_gvkey")).alias("firm")
+    ends = base.select(*SIDE_QUARTER, end).distinct()
+    ranged = ends.repartitionByRange(*SIDE_QUARTER, "firm").sortWithinPartitions(*SIDE_QUARTER, "firm")
+    return stage(ranged.withColumn("id", F.monotonically_increasing_id()), "degree-firms")
+
+
+def _linked_ids(base: DataFrame, firms: DataFrame) -> DataFrame:
+    """Links by id: ``via`` to ``next``."""
+    number = lambda end, name: firms.select(
+        *SIDE_QUARTER, F.col("firm").alias(end), F.col("id").alias(name)
+    )
+    edges = (
+        base.join(number("firm_gvkey", "via"), [*SIDE_QUARTER, "firm_gvkey"])
+        .join(number("partner_gvkey", "next"), [*SIDE_QUARTER, "partner_gvkey"])
+        .select("via", "next")
+    )
+    return stage(edges, "degree-edges")
+
+
+def _hop(reached: DataFrame, step: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Starts one hop further: a row of 64 starts meets each link of its node once per chunk."""
+    return (
+        reached.withColumnRenamed("node", "via")
+        .join(hubs, "via", "left")
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("chunks", F.lit(1)) - 1)))
+        .join(step, ["via", "chunk"])
+        .groupBy(F.col("next").alias("node"), "block")
+        .agg(F.bit_or("starts").alias("starts"))
+    )
+
+
+def degree_links(links: DataFrame, hub_links: int = HUB_LINKS) -> DataFrame:
     """Distinct partners at one, two and three hops, long.
 
-    Columns: side, degree, firm, partner, year, quarter.  Each hop is staged,
-    because the next hop and the result both read it.
+    Columns: side, degree, firm, partner, year, quarter.  Firms are numbered, and
+    one row holds which of 64 starts reach a firm, so a hop merges bits in place of
+    listing paths; pairs are listed in the result only.  The links of a firm with
+    more than ``hub_links`` of them are dealt over several tasks.  Links without a
+    firm, partner or period have no further hop.  Runs jobs and stages tables.
     """
-    period = ["side", "year", "quarter"]
-    base = stage(
-        links.select("firm_gvkey", "partner_gvkey", *period).distinct(), "degree-1"
-    )
-    step = base.select(
-        F.col("firm_gvkey").alias("via"), F.col("partner_gvkey").alias("next"), *period
-    )
-    hops = [base]
-    for n in (2, 3):
-        wider = (
-            hops[-1]
-            .withColumnRenamed("partner_gvkey", "via")
-            .join(step, ["via", *period])
-            .select("firm_gvkey", F.col("next").alias("partner_gvkey"), *period)
-            .distinct()
-        )
-        hops.append(stage(wider, f"degree-{n}"))
-    return reduce(
-        DataFrame.unionByName, [h.withColumn("degree", F.lit(i)) for i, h in enumerate(hops, 1)]
-    )
+    base = stage(links.select("firm_gvkey", "partner_gvkey", *SIDE_QUARTER).distinct(), "degree-1")
+    firms = _numbered_ends(base)
+    edges = _linked_ids(base, firms)
+    chunks = F.ceil(F.count(F.lit(1)) / hub_links).cast("bigint").alias("chunks")
+    hubs = stage(edges.groupBy("via").agg(chunks).filter("chunks > 1"), "degree-hubs")
+    dealt = F.pmod(F.xxhash64("next"), F.coalesce("chunks", F.lit(1).cast("bigint")))
+    step = stage(edges.join(hubs, "via", "left").select("via", "next", dealt.alias("chunk")), "degree-step")
+
+    block, slot = F.expr("shiftright(id, 6)"), F.expr("CAST(id & 63 AS INT)")
+    bit = F.expr("shiftleft(1L, CAST(via & 63 AS INT))")
+    reached = edges.groupBy(F.col("next").alias("node"), F.expr("shiftright(via, 6)").alias("block")).agg(
+        F.bit_or(bit).alias("starts")
+    )
+    # The firms of a block, 64 at most.
+    members = firms.groupBy(block.alias("block")).agg(F.collect_list(F.struct(slot.alias("slot"), "firm")).alias("members"))
+    partner = firms.select(F.col("id").alias("node"), *SIDE_QUARTER, F.col("firm").alias("partner_gvkey"))
+    found = [base.select("firm_gvkey", "partner_gvkey", *SIDE_QUARTER, F.lit(1).alias("degree"))]
+    for degree in (2, 3):
+        reached = stage(_hop(reached, step, hubs), f"degree-{degree}")
+        starts = F.explode(F.filter("members", lambda m: F.getbit("starts", m["slot"]) == 1)).alias("start")
+        pairs = reached.join(members, "block").join(partner, "node").select(starts, "partner_gvkey", *SIDE_QUARTER)
+        found.append(pairs.select(F.col("start.firm").alias("firm_gvkey"), "partner_gvkey", *SIDE_QUARTER, F.lit(degree).alias("degree")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def link_cycles(degree_link: DataFrame) -> DataFrame:

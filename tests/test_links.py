@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from chainrisk.operators import decline as DC
 from chainrisk.operators import degrees as DG
 from chainrisk.operators import panel as P
 from chainrisk.operators import scores as S
+from chainrisk.sources.staging import staged
 
 RELATION = (
     "source_company_id int, target_company_id int, rel_type string, start_ string, end_ string, "
@@ -125,6 +127,51 @@ def test_hop_links_and_cycles(spark):
     }
 
 
+def plain_hops(links):
+    """Pairs at one, two and three hops by plain set walks."""
+    out, reached = {}, {k: set(v) for k, v in links.items()}
+    for degree in (1, 2, 3):
+        out |= {(degree, f, p): 1 for f, ps in reached.items() for p in ps}
+        reached = {f: {q for p in ps for q in links.get(p, ())} for f, ps in reached.items()}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hub_links", [1, 7, 4096])
+def test_hop_links_like_set_walks(spark, hub_links):
+    rng = random.Random(9)
+    plain, data = {}, []
+    for side in ("supplier", "customer"):
+        for quarter in (1, 2):
+            pairs = {(rng.randint(1, 150), rng.randint(1, 150)) for _ in range(300)}
+            plain[side, quarter] = {f: {q for g, q in pairs if g == f} for f, _ in pairs}
+            data += [(side, f, p, 2010, quarter) for f, p in pairs]
+    links = spark.createDataFrame(data + data[:50], "side string, firm_gvkey int, partner_gvkey int, year int, quarter int")
+    got = DG.degree_links(links.repartition(3), hub_links)
+    for (side, quarter), own in plain.items():
+        here = got.filter((F.col("side") == side) & (F.col("quarter") == quarter))
+        assert sorted(tuple(r) for r in here.select("degree", "firm_gvkey", "partner_gvkey").collect()) == plain_hops(own)
+
+
+def test_hop_links_of_a_hub(spark):
+    n = 10_000
+    wide = spark.range(1, n + 1).selectExpr("CAST(id AS INT) + 10 AS x")
+    side = lambda s, f, p: wide.selectExpr(f"'{s}' AS side", f"{f} AS firm_gvkey", f"{p} AS partner_gvkey")
+    few = spark.createDataFrame(
+        [("in", 0, k) for k in (1, 2, 3)] + [("out", k, 0) for k in (1, 2, 3)] + [("out", 4, 1)],
+        "side string, firm_gvkey int, partner_gvkey int",
+    )
+    links = side("in", "x", 0).unionByName(side("out", 0, "x")).unionByName(few).selectExpr("*", "2010 AS year", "1 AS quarter")
+    before = set(staged(spark))
+    hops = DG.degree_links(links)
+    count = {(r["side"], r["degree"]): r["count"] for r in hops.groupBy("side", "degree").count().collect()}
+    assert count == {
+        ("in", 1): n + 3, ("out", 1): n + 4, ("in", 2): 3 * n, ("out", 2): 3 * n + 1, ("out", 3): n,
+    }
+    assert hops.distinct().count() == sum(count.values())
+    written = [spark.read.parquet(path).count() for path in staged(spark) if path not in before]
+    assert max(written) <= 6 * n + 1  # no more than the distinct pairs of one hop
+
+
 def plain_quarterly(links, scores):
     """Row-wise fills in order of quarter and score."""
     out, by = [], {}
