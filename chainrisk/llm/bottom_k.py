@@ -31,8 +31,8 @@ from chainrisk.llm.arrays import longs, text_chunks
 from chainrisk.llm.components import spread_join
 from chainrisk.llm.jaccard_join import in_reach, set_digest, shingle_sets, verified
 from chainrisk.llm.levels import corpus_levels, level_of
-from chainrisk.llm.linking import linked_parts, with_components
-from chainrisk.sources.staging import stage
+from chainrisk.llm.linking import linked_parts, of_pairs, with_components
+from chainrisk.sources.staging import release, stage
 
 #: Retained values of a sketch.
 RETAINED = 96
@@ -173,8 +173,12 @@ def sketch_copies(docs: DataFrame, size: int = 2, percent: int = 80, k: int = RE
     possible = F.least("after1", "after2") + OVERLAP >= F.greatest("least1", "least2")
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        side = lambda c: classes.select(F.col("class").alias(c), F.col("sketch").alias(f"s{c}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(alike("sa", "sb", k)).select("a", "b")
+        tried = of_pairs(classes.select("class", "sketch"), pairs)
+        side = lambda c: tried.select(F.col("class").alias(c), F.col("sketch").alias(f"s{c}"))
+        found = pairs.join(side("a"), "a").join(side("b"), "b").where(alike("sa", "sb", k)).select("a", "b")
+        likely = stage(found, "estimated")
+        release(tried)
+        return likely
 
     member = classes.select(F.col("class").alias("group"), "class")
     likely = linked_parts(entries, member, estimated, percent, possible, OVERLAP)
@@ -197,7 +201,7 @@ def sketch_copies(docs: DataFrame, size: int = 2, percent: int = 80, k: int = RE
         (F.col("before") + F.col("at")).alias("rank"),
     )
     member = family.select(F.col("class").alias("group"), "class")
-    links = lambda pairs: verified(stage(estimated(pairs), "estimated"), sets, percent)
+    links = lambda pairs: verified(estimated(pairs), sets, percent)
     parts = linked_parts(stage(entries, "prefixes"), member, links, percent, in_reach(percent))
     table.unpersist()
     ids = with_components(classes, parts)

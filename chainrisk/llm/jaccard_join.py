@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from chainrisk.llm.arrays import SpanHash, distinct, lower, mix, text_chunks, word_spans
 from chainrisk.llm.levels import corpus_levels, level_of
-from chainrisk.llm.linking import linked_parts, with_components
-from chainrisk.sources.staging import stage
+from chainrisk.llm.linking import linked_parts, of_pairs, with_components
+from chainrisk.sources.staging import release, stage
 
 #: Least counts of a "repeated", a "frequent" and a "very frequent" shingle.
 STEPS = (2, 32, 1024)
@@ -116,12 +116,16 @@ def _prefixes(
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the similarity."""
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
+    """The staged pairs (a, b) of classes whose whole sets reach the similarity, staged."""
+    tried = of_pairs(sets, pairs)
+    left = tried.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
+    right = tried.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - shared
-    return pairs.join(left, "a").join(right, "b").where(shared * 100 >= union * percent).select("a", "b")
+    found = pairs.join(left, "a").join(right, "b").where(shared * 100 >= union * percent).select("a", "b")
+    links = stage(found, "links")
+    release(tried)
+    return links
 
 
 def in_reach(percent: int) -> Column:

@@ -5,7 +5,8 @@ longest, as are those of a text that others were copied from) is tried by the ot
 links large families of near copies by as many checks as members.  What that leaves apart
 tries several members of the list's largest part, and what a list still holds outside its
 largest part meets the whole list.  Pairs inside a part are not enumerated; every link
-between two parts is checked.
+between two parts is checked.  Lists are read once with the parts that the pivots left
+(``first``); only those that are long or hold a large part are read again after each turn.
 """
 
 from __future__ import annotations
@@ -20,29 +21,42 @@ from chainrisk.sources.staging import release, stage
 
 #: Members of a list's largest part that the rest of the list tries, and how often.
 PIVOTS, PIVOT_TURNS = 8, 2
+#: Entries up to which a list without a large part keeps the parts that the pivots left.
+SHORT_LIST = 64
 
 Verify = Callable[[DataFrame], DataFrame]
 
 
+def of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows whose class is an end of the staged pairs (a, b), staged."""
+    ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ends")
+    found = stage(rows.join(ends, "class", "left_semi"), "of-pairs")
+    release(ends)
+    return found
+
+
 def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """group, class and component (part) of every class after more links between classes."""
+    """``parts`` with the component (part) of every class after more links between classes."""
     of = lambda c: parts.select(F.col("class").alias(c), F.col("part").alias(f"p{c}"))
     edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
     label = components(edges).select(F.col("v").alias("part"), "label")
-    found = spread_join(parts, label, "part", "class").select("group", "class", F.coalesce("label", "part").alias("part"))
-    return stage(found, "parts")
+    found = spread_join(parts, label, "part", "class").withColumn("part", F.coalesce("label", "part"))
+    return stage(found.select(*parts.columns), "parts")
 
 
-def _open_lists(entries: DataFrame, parts: DataFrame) -> DataFrame:
-    """Entries of the token lists that hold several parts, with the list's largest part (main)."""
-    in_list = stage(entries.join(parts.select("group", "part").distinct(), "group"), "listed")
-    sizes = in_list.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
+def _open_lists(listed: DataFrame) -> DataFrame:
+    """Entries of the token lists that hold several parts, with the list's largest part (main).
+
+    ``held`` is the size of that part, ``length`` that of the list.
+    """
+    sizes = listed.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("token").agg(
-        F.max_by("part", F.struct("k", "part")).alias("main"), F.max("k").alias("held"), F.count(F.lit(1)).alias("parts")
+        F.max_by("part", F.struct("k", "part")).alias("main"),
+        F.max("k").alias("held"),
+        F.sum("k").alias("length"),
+        F.count(F.lit(1)).alias("parts"),
     )
-    found = stage(in_list.join(main.where("parts > 1").select("token", "main", "held"), "token"), "open")
-    release(in_list)
-    return found
+    return stage(listed.join(main.where("parts > 1").drop("parts"), "token"), "open")
 
 
 def linked_parts(
@@ -52,8 +66,8 @@ def linked_parts(
 
     ``entries`` are the token lists: token, group, head (a class of the group), n (set
     size), and the columns that ``possible`` names with 1 and 2 behind them for the two
-    sides of a pair.  ``member`` has group and class.  ``verify`` keeps the true links of
-    pairs (a, b) of classes.  Pairs whose sizes are further apart than ``percent``, that
+    sides of a pair.  ``member`` has group and class.  ``verify`` stages the true links of
+    staged pairs (a, b) of classes.  Pairs whose sizes are further apart than ``percent``, that
     are not ``possible``, or that share fewer than ``overlap`` lists (fewer than ``least``,
     an entry's overlap needed by its size, if that is less) are not tried.
     """
@@ -79,15 +93,19 @@ def linked_parts(
         .distinct()
     )
     alone = member.select("group", "class", F.col("class").alias("part"))
-    parts = _merged(alone, stage(verify(tries), "links"))
-    open_lists = _open_lists(entries, parts)
+    parts = _merged(alone, verify(stage(tries, "tries"))).withColumn("first", F.col("part"))
+    listed = stage(entries.join(parts.select("group", "first", "part").distinct(), "group"), "listed")
+    open_lists = _open_lists(listed)
+    release(listed)
+    short = (F.col("held") < PIVOTS) & (F.col("length") <= SHORT_LIST)
+    settled, busy = open_lists.where(short), open_lists.where(~short)
     for turn in range(PIVOT_TURNS):
-        if open_lists.isEmpty():
-            break
         draws = [F.min_by("head", F.xxhash64("head", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS - 1)]
         draws.append(F.max_by("head", F.struct("weight", "head")))
         # Where the largest part is small, meeting the whole list costs no more.
-        large = open_lists.where(F.col("held") >= PIVOTS)
+        large = busy.where(F.col("held") >= PIVOTS)
+        if large.isEmpty():
+            break
         chosen = large.where("part = main").groupBy("token").agg(F.array_distinct(F.array(*draws)).alias("heads"))
         rest = large.where("part <> main").select("token", "group", "part")
         tries = (
@@ -98,11 +116,17 @@ def linked_parts(
             .select("a", "b")
             .distinct()
         )
-        parts = _merged(parts, stage(verify(tries), "links"))
-        open_lists = _open_lists(entries, parts)
-
-    # What is still outside the largest part of a list meets the whole list.
-    side = lambda k: [F.col(c).alias(f"{c}{k}") for c in open_lists.columns if c not in ("token", "main", "held")]
+        parts = _merged(parts, verify(stage(tries, "tries")))
+        entered = busy.drop("part", "main", "held", "length")
+        listed = stage(entered.join(parts.select("group", "first", "part").distinct(), ["group", "first"]), "listed")
+        busy = _open_lists(listed)
+        release(listed)
+
+    # What is still outside the largest part of a list meets the whole list.  Pairs are told
+    # apart by their first parts, which both kinds of lists have, so that counts add up.
+    open_lists = settled.unionByName(busy)
+    of_list = ("token", "main", "held", "length")
+    side = lambda k: [F.col(c).alias(f"{c}{k}") for c in open_lists.columns if c not in of_list]
     one, two = open_lists.where("part <> main").select("token", *side(1)), open_lists.select("token", "main", *side(2))
     near = (
         (F.col("part1") != F.col("part2"))
@@ -111,28 +135,30 @@ def linked_parts(
         & (F.col("n2") * 100 >= F.col("n1") * percent)
         & possible
     )
-    pair = ["group1", "part1", "group2", "part2"]
-    # A pair is ordered by its parts, so that its lists are counted together.
-    flip = F.col("part1") < F.col("part2")
+    pair = ["group1", "first1", "group2", "first2"]
+    # A pair is ordered by its first parts, so that its lists are counted together.
+    flip = F.col("first1") < F.col("first2")
     ordered = [
-        F.when(flip, F.col(f"{c}{x}")).otherwise(F.col(f"{c}{y}")).alias(f"{c}{x}") for x, y in ((1, 2), (2, 1)) for c in ("group", "part")
+        F.when(flip, F.col(f"{c}{x}")).otherwise(F.col(f"{c}{y}")).alias(f"{c}{x}") for x, y in ((1, 2), (2, 1)) for c in ("group", "first")
     ]
     least = ["least1", "least2"] if counted else []
     found = one.join(two, "token").where(near).select(*ordered, *least)
     cross = found.groupBy(*pair).agg(*met(*least)).where(enough(*least))
     cross = stage(cross.select(*pair), "cross")
-    of = lambda g, p, c: parts.select(F.col("group").alias(g), F.col("part").alias(p), F.col("class").alias(c))
+    of = lambda k, c: parts.select(
+        F.col("group").alias(f"group{k}"), F.col("first").alias(f"first{k}"), F.col("part").alias(f"p{c}"), F.col("class").alias(c)
+    )
     within = parts.groupBy("group").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    several = parts.join(within.select("group"), "group", "left_semi")
     inner = (
-        of("group1", "part1", "a")
-        .join(within.select(F.col("group").alias("group1")), "group1")
-        .join(of("group1", "part2", "b"), "group1")
-        .where("part1 < part2")
+        several.select("group", F.col("class").alias("a"), F.col("part").alias("pa"))
+        .join(several.select("group", F.col("class").alias("b"), F.col("part").alias("pb")), "group")
+        .where("pa < pb")
         .select("a", "b")
     )
-    outer = cross.join(of("group1", "part1", "a"), ["group1", "part1"])
-    outer = outer.join(of("group2", "part2", "b"), ["group2", "part2"]).select("a", "b")
-    last = stage(verify(outer.unionByName(inner).distinct()), "links")
+    outer = cross.join(of(1, "a"), ["group1", "first1"]).join(of(2, "b"), ["group2", "first2"])
+    outer = outer.where("pa <> pb").select("a", "b")
+    last = verify(stage(outer.unionByName(inner).distinct(), "tries"))
     return _merged(parts, last).select("class", "part")
 
 
