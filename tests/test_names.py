@@ -94,3 +94,31 @@ def test_one_letter_is_not_scored_pair_by_pair(spark, monkeypatch):
     monkeypatch.setattr(N, "common_subsequence", counting)
     N.score_pairs(N.candidate_pairs(profile, profile), profile, profile).count()
     assert 0 < scored.value < n * n / 20
+
+
+def test_top_matches_equal_the_best_of_all_matches(spark):
+    rng = random.Random(5)
+    parts = ["alpha", "beta", "be", "group", "holdings", "micro", "microsoft", "at", "a", "b2"]
+    a = {" ".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(80)} | {"alpha " + "x" * 120, "b" * 150}
+    b = {noisy(rng, rng.choice(sorted(a))) for _ in range(120)} | {"alpha " + "x" * 119 + "y", "b" * 149}
+    left = spark.createDataFrame([(x,) for x in a], "x string")
+    right = spark.createDataFrame([(y,) for y in b], "y string")
+    want = rows(N.best_matches(N.name_matches(left, "x", right, "y"), 1))
+    assert want and rows(N.top_matches(left, "x", right, "y")) == want
+
+
+def test_numbered_names_link_without_comparing_all_pairs(spark, monkeypatch):
+    firms = spark.range(1500).selectExpr("concat('Firm ', id, ' Inc.') AS coname", "id AS gvkey", "DATE '2000-01-01' AS FNDATE", "DATE '2001-01-01' AS LNDATE")
+    names = spark.range(1500).selectExpr("concat('firm ', id) AS name")
+    made = []
+    original = N.candidate_pairs
+
+    def counted(*given):
+        pairs = original(*given)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(N, "candidate_pairs", counted)
+    table = N.matched_link_table(firms, names)
+    assert rows(table, "coname", "gvkey") == sorted((f"firm {i}", i) for i in range(1500))
+    assert sum(made) <= 4 * 1500
