@@ -235,3 +235,41 @@ def test_merged_ranges_expand_like_distinct_quarters(spark):
     got = [(r.pair, r.id, q) for r in merged.collect() for q in range(r._first, r._last + 1)]
     assert len(got) == len(set(got)) and set(got) == {(p, i, q) for p, i, lo, hi in ranges for q in range(lo, hi + 1)}
     assert merged.count() == 4
+
+
+def _sales_and_scores(spark):
+    rng = random.Random(7)
+    sales = [(rng.randint(1, 9), rng.randint(1, 9), rng.randint(2009, 2011), float(rng.randint(-3, 9))) for _ in range(120)]
+    sales += [(None, 2, 2010, 1.0), (3, None, 2010, 2.0), (4, 5, None, 2.0), (4, 5, 2010, None), (8, 8, 2010, 3.0)]
+    score = lambda: rng.choice([None, 0.0, 1.5, 2.5])
+    panel = [(g, y, q, score(), score(), score()) for g in range(1, 8) for y in (2009, 2010, 2011) for q in (1, 2, 4)]
+    return (
+        spark.createDataFrame(sales, "GVKEY1 bigint, GVKEY2 bigint, y int, SALECS double"),
+        spark.createDataFrame(panel, "gvkey bigint, year int, quarter int, pol double, covid double, cc double"),
+    )
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_annual_sales_spread_to_the_quarterly_links(spark):
+    sales, panel = _sales_and_scores(spark)
+    totals = S.sales_totals(sales)
+    long = S.value_weighted_links(S.attach_scores(S.disclosed_links(sales), panel, 2010), totals)
+    annual = S.scored_sales(sales, S.firm_years(panel, totals), 2010)
+    got = S.quarterly_links(annual)
+    assert rows(got, *sorted(long.columns)) == rows(long, *sorted(long.columns))
+    # One row a sale is shuffled; eight links a sale are not.
+    assert annual.count() * 8 == got.count()
+    assert _shuffles(got) == 2 * _shuffles(annual)
+
+
+def test_firm_meta_does_not_shuffle_its_combinations(spark):
+    sales, panel = _sales_and_scores(spark)
+    totals = S.sales_totals(sales)
+    links = S.quarterly_links(S.scored_sales(sales, S.firm_years(panel, totals), 2010))
+    meta = S.firm_meta(links)
+    assert meta.count() == meta.distinct().count() > 0
+    plan = meta._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
