@@ -273,3 +273,17 @@ def test_firm_meta_does_not_shuffle_its_combinations(spark):
     assert meta.count() == meta.distinct().count() > 0
     plan = meta._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan.split("Join")[0]
+
+
+def test_panel_merges_quarters_of_a_long_study_without_a_sort(spark):
+    rng = random.Random(3)
+    day = lambda: dt.date(1990, 1, 1) + dt.timedelta(days=rng.randint(0, 40 * 365))
+    spans = [sorted((day(), day())) for _ in range(25)]
+    data = [relation(str(a), str(b), SOURCE_cusip=rng.choice(["x", None])) for a, b in spans]
+    panel = P.panel_expand(spark.createDataFrame(data, RELATION), 1992, 2027, "2027-12-31")
+    ends = [C.date() for y in range(1992, 2028) for C in (dt.datetime(y, 3, 31), dt.datetime(y, 6, 30), dt.datetime(y, 9, 30), dt.datetime(y, 12, 31))]
+    want = {(e, r[7]) for r, (a, b) in zip(data, spans) for e in ends if a <= e <= b}
+    got = rows(panel, "date", "SOURCE_cusip")
+    assert len(got) == len(want) and set(got) == want
+    plan = panel._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan
