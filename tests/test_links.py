@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from conftest import rows
@@ -287,3 +288,15 @@ def test_panel_merges_quarters_of_a_long_study_without_a_sort(spark):
     assert len(got) == len(want) and set(got) == want
     plan = panel._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and "Window" not in plan
+
+
+def test_distinct_sales_are_dealt_once_for_the_first_join(spark):
+    data = [(s, b, 2010, float(s + b)) for s in range(1, 6) for b in range(1, 6) if s != b]
+    sales = spark.createDataFrame(data + data[:4], "GVKEY1 int, GVKEY2 int, y int, SALECS double")
+    panel = spark.createDataFrame([(f, 2010, q, 1.0, 2.0, 3.0) for f in range(1, 6) for q in (1, 2)], "gvkey int, year int, quarter int, pol double, covid double, cc double")
+    firms = S.firm_years(panel, S.sales_totals(sales))
+    scored = S.scored_sales(sales, firms, 2009)
+    assert scored.count() == len(data)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(GVKEY1#" in plan
+    assert not re.search(r"hashpartitioning\(GVKEY1#\d+L?, GVKEY2#", plan)
