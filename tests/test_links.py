@@ -153,6 +153,22 @@ def test_hop_links_like_set_walks(spark, hub_links):
         assert sorted(tuple(r) for r in here.select("degree", "firm_gvkey", "partner_gvkey").collect()) == plain_hops(own)
 
 
+@pytest.mark.parametrize("hub_links", [1, 4096])
+def test_cycles_are_found_without_a_third_hop(spark, hub_links):
+    rng = random.Random(11)
+    data = []
+    for side in ("supplier", "customer"):
+        for quarter in (1, 2):
+            data += [(side, rng.randint(1, 150), rng.randint(1, 150), 2010, quarter) for _ in range(400)]
+    data += [("supplier", 7, 7, 2010, 1), ("supplier", None, 3, 2010, 1), ("supplier", 3, None, 2010, 1)]
+    links = spark.createDataFrame(data, "side string, firm_gvkey int, partner_gvkey int, year int, quarter int")
+    want = rows(DG.link_cycles(DG.degree_links(links)))
+    before = set(staged(spark))
+    got = rows(DG.cycle_links(DG.reach(links.repartition(3), hub_links)))
+    assert got == want and {r[-1] for r in got} == {1, 2, 3}
+    assert not [path for path in staged(spark) if path not in before and "degree-3" in path]
+
+
 def test_hop_links_of_a_hub(spark):
     n = 10_000
     wide = spark.range(1, n + 1).selectExpr("CAST(id AS INT) + 10 AS x")
