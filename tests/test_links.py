@@ -234,6 +234,44 @@ def test_quarterly_decline_with_repeated_scores(spark):
     assert rates.filter("decline_rate < 0 OR decline_rate > 1").count() == 0
 
 
+def _random_declines(spark):
+    rng = random.Random(12)
+    scores = [(rng.randint(1, 4), rng.randint(2000, 2005), rng.randint(1, 4), float(rng.randint(1, 9))) for _ in range(40)]
+    links = [("supplier", 1, f, rng.randint(1, 5), rng.randint(1999, 2005), rng.randint(1, 4)) for f in range(6) for _ in range(15)]
+    return (
+        sorted(set(links)),
+        spark.createDataFrame(links + links[:20], "side string, degree int, firm_gvkey int, partner_gvkey int, year int, quarter int"),
+        spark.createDataFrame(scores, "gvkey int, year int, quarter int, scorevalue double"),
+        scores,
+    )
+
+
+def test_annual_decline_with_repeated_links_and_scores(spark):
+    links, link_df, score_df, scores = _random_declines(spark)
+    by = {}
+    for p, year, _, v in scores:
+        by.setdefault((p, year), set()).add(v)
+    want = []
+    for f, p in sorted({r[2:4] for r in links}):
+        last = None
+        for year in sorted({r[4] for r in links if r[2:4] == (f, p)}):
+            for v in sorted(by.get((p, year), ())) or [last]:
+                if v is not None and last is not None:
+                    want.append((f, p, year, v, last, int(v < last)))
+                last = v
+    got = DC.annual_decline(link_df, score_df.withColumnRenamed("year", "assessmentyear"))
+    assert rows(got, "firm_gvkey", "partner_gvkey", "year", "scorevalue", "lst_score", "decline") == sorted(want)
+
+
+def test_declines_move_links_once(spark):
+    links, link_df, score_df, _ = _random_declines(spark)
+    annual = score_df.withColumnRenamed("year", "assessmentyear")
+    for found in (DC.quarterly_decline(link_df, score_df), DC.annual_decline(link_df, annual)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "firm_gvkey" not in "".join(re.findall(r"hashpartitioning\(.*?\)", plan))
+        assert plan.count("Window") <= 2 and found.count() > 0
+
+
 def test_summary_of_one_firm_quarter_has_no_deviation(spark):
     df = spark.createDataFrame(
         [("supplier", 1, 7, 8, 2010, 1, 1), ("supplier", 1, 7, 9, 2010, 1, 0)],
