@@ -96,12 +96,12 @@ def _class_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def _whole_sets(batches: Iterable[pa.RecordBatch], table: object, size: int) -> Iterator[pa.RecordBatch]:
-    """class and shingles of the texts whose class may be in ``table``."""
+    """digest and shingles of the texts whose digest may be in ``table``."""
     for _, data, offsets in text_chunks(batches):
         sets = [(set_digest(s), s) for s in shingle_sets(data, offsets, size)]
         keys = np.array([int.from_bytes(c[:8], "little") for c, _ in sets], np.uint64)
         found = [sets[i] for i in np.flatnonzero(level_of(table.value, keys)).tolist()]
-        yield pa.record_batch([pa.array([c for c, _ in found], pa.binary()), longs([s for _, s in found])], ["class", "shingles"])
+        yield pa.record_batch([pa.array([c for c, _ in found], pa.binary()), longs([s for _, s in found])], ["digest", "shingles"])
 
 
 def _set_prefixes(batches: Iterable[pa.RecordBatch], table: object, percent: int) -> Iterator[pa.RecordBatch]:
@@ -162,8 +162,10 @@ def sketch_copies(docs: DataFrame, size: int = 2, percent: int = 80, k: int = RE
     )
     table.unpersist()
     first = [F.first(c).alias(c) for c in ("n", "least", "before", "listed", "sketch")]
-    met = rows.where("class is not null and doc_id is not null")
-    classes = stage(met.groupBy("class").agg(F.min("doc_id").alias("low"), *first), "classes")
+    met = rows.withColumnRenamed("class", "digest").where("digest is not null and doc_id is not null")
+    found = met.groupBy("digest").agg(F.min("doc_id").alias("low"), *first)
+    # Digests do not compress: from here on a class is a number.
+    classes = stage(found.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     # Values after this one in the whole sketch, by rarity.
     after = F.size("sketch") - F.col("before") - F.col("at") - 1
@@ -185,15 +187,16 @@ def sketch_copies(docs: DataFrame, size: int = 2, percent: int = 80, k: int = RE
     several = likely.groupBy("part").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     family = stage(spread_join(likely, several, "part", "class").where("k is not null").select("class", "part"), "families")
 
-    table = corpus_levels(family.select("class"), _class_keys, (1, 2, 3))
-    built = texts.select("text").mapInArrow(lambda it: _whole_sets(it, table, size), "class binary, shingles array<bigint>")
-    built = built.join(family.select("class"), "class", "left_semi")
-    sets = stage(built.groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
+    digests = stage(family.select("class").join(classes.select("class", "digest"), "class"), "digests")
+    table = corpus_levels(digests.select(F.col("digest").alias("class")), _class_keys, (1, 2, 3))
+    built = texts.select("text").mapInArrow(lambda it: _whole_sets(it, table, size), "digest binary, shingles array<bigint>")
+    built = built.join(digests, "digest").groupBy("digest", "class").agg(F.first("shingles").alias("shingles"))
+    sets = stage(built.select("class", "shingles"), "sets")
     table.unpersist()
 
     table = corpus_levels(sets.select("shingles"), _set_hashes, STEPS)
     prefixes = sets.mapInArrow(
-        lambda it: _set_prefixes(it, table, percent), "class binary, n bigint, before bigint, listed array<bigint>"
+        lambda it: _set_prefixes(it, table, percent), "class bigint, n bigint, before bigint, listed array<bigint>"
     )
     listed = prefixes.select("class", "n", "before", F.posexplode("listed").alias("at", "shingle")).join(family, "class")
     entries = listed.select(
@@ -207,8 +210,8 @@ def sketch_copies(docs: DataFrame, size: int = 2, percent: int = 80, k: int = RE
     ids = with_components(classes, parts)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return (
-        rows.select("doc_id", "n", "class")
-        .join(ids, "class", "left")
+        rows.select("doc_id", "n", F.col("class").alias("digest"))
+        .join(ids, "digest", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

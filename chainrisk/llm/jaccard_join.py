@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainrisk.llm.arrays import SpanHash, distinct, lower, mix, text_chunks, word_spans
+from chainrisk.llm.components import spread_join
 from chainrisk.llm.levels import corpus_levels, level_of
 from chainrisk.llm.linking import linked_parts, of_pairs, with_components
 from chainrisk.sources.staging import release, stage
@@ -163,31 +164,27 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
         "prefixes",
     )
     table.unpersist()
-    met = rows.where("class is not null and doc_id is not null")
-    classes = stage(
-        met.groupBy("class").agg(
-            F.min("doc_id").alias("low"),
-            F.first("n").alias("n"),
-            F.first("group").alias("group"),
-            F.first("tokens").alias("tokens"),
-            F.first("shingles").alias("shingles"),
-        ),
-        "classes",
-    )
+    met = rows.withColumnRenamed("class", "digest").where("digest is not null and doc_id is not null")
+    first = [F.first(c).alias(c) for c in ("n", "group", "tokens", "shingles")]
+    found = met.groupBy("digest").agg(F.min("doc_id").alias("low"), *first)
+    # Digests do not compress: from here on a class is a number, and a group its least class.
+    classes = stage(found.withColumn("class", F.monotonically_increasing_id()), "classes")
     sets = classes.select("class", "shingles")
-    member = classes.select("group", "class")
     groups = classes.groupBy("group").agg(
         F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.min("class").alias("head")
     )
+    groups = stage(groups, "groups")
+    member = spread_join(classes.select("group", "class"), groups.select("group", "head"), "group", "class")
+    member = stage(member.select(F.col("head").alias("group"), "class"), "members")
     # Tokens are the last part of the prefix, so a token's rank counts the unseen ones too.
     before = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.size("tokens")
-    entries = groups.select("group", "head", "n", before.alias("before"), F.posexplode("tokens").alias("at", "token"))
-    entries = entries.select("token", "group", "head", "n", (F.col("before") + F.col("at")).alias("rank"))
+    entries = groups.select("head", "n", before.alias("before"), F.posexplode("tokens").alias("at", "token"))
+    entries = entries.select("token", F.col("head").alias("group"), "head", "n", (F.col("before") + F.col("at")).alias("rank"))
     parts = linked_parts(entries, member, lambda pairs: verified(pairs, sets, percent), percent, in_reach(percent))
     ids = with_components(classes, parts)
     return (
-        rows.select("doc_id", "text_hash", "n", "class")
-        .join(ids, "class", "left")
+        rows.select("doc_id", "text_hash", "n", F.col("class").alias("digest"))
+        .join(ids, "digest", "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),

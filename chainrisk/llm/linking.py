@@ -163,12 +163,12 @@ def linked_parts(
 
 
 def with_components(classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Columns class, part and component_id: the smallest ``low`` of the classes of each part.
+    """Columns digest, part and component_id: the smallest ``low`` of the classes of each part.
 
-    A class without a part is one of its own.
+    ``classes`` has digest, class and low.  A class without a part is one of its own.
     """
-    named = classes.select("class", "low").join(parts, "class", "left")
+    named = classes.select("digest", "class", "low").join(parts, "class", "left")
     named = named.withColumn("part", F.coalesce("part", "class"))
     least = named.groupBy("part").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("k"))
     found = spread_join(named, least.where("k > 1").drop("k"), "part", "class")
-    return found.select("class", "part", F.coalesce("component_id", "low").alias("component_id"))
+    return found.select("digest", "part", F.coalesce("component_id", "low").alias("component_id"))

@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chainrisk.llm import bottom_k, levels, prefix_trie, spelling_variants, suffix_dedup
+from chainrisk.llm import bottom_k, levels, linking, prefix_trie, spelling_variants, suffix_dedup
 from chainrisk.llm.bottom_k import sketch_copies
+from chainrisk.llm.jaccard_join import jaccard_classes
 from chainrisk.llm.prefix_trie import prefix_trie as trie
 from chainrisk.llm.spelling_variants import near_words
 from chainrisk.llm.spelling_variants import spelling_variants as variants
@@ -271,3 +272,20 @@ def test_pieces_keep_the_global_order(spark):
     for r in place(pieces):
         by_part.setdefault(r.p, []).append(r.mix_key)
     assert all(keys == sorted(keys) for keys in by_part.values())
+
+
+def test_lists_and_pairs_carry_numbers_in_place_of_digests(spark, monkeypatch):
+    kinds = []
+    original = linking.stage
+
+    def watched(df, name):
+        kinds.extend(kind for _, kind in df.dtypes)
+        return original(df, name)
+
+    monkeypatch.setattr(linking, "stage", watched)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words, f"end{k}"]) for k in range(6)] + [" ".join(words[::-1])] * 2
+    docs = docs_of(spark, list(enumerate(texts)))
+    for found in (sketch_copies(docs), jaccard_classes(docs)):
+        assert {r.doc_id: r.component_id for r in found.collect()} == {**dict.fromkeys(range(6), 0), 6: 6, 7: 6}
+    assert kinds and "binary" not in kinds
