@@ -4,8 +4,11 @@ One hash function orders all word shingles; the sketch of a text is the k smalle
 hashes of its set.  Two texts of similarity J share about J of the k smallest hashes
 of their union, so a pair is worth checking only if it shares half of them:
 
-1. equal sets are one class; each class is listed under the retained values that are
-   rarest in the corpus, enough of them that a pair sharing half must meet OVERLAP times;
+1. equal sets are one class; each class is listed under its windows: RUN retained values
+   that follow each other in the order of the hashes.  A value alone is in as many sketches
+   as there are texts with a common shingle, so that its list would meet in the square of
+   the corpus; a window is shared by texts that are alike, and few others.  Linked texts
+   share several windows, so each leaves out all but one of that number, the most frequent;
 2. the lists generate pairs and their overlaps, families by pivots (``linking``);
 3. the k smallest of both sketches together estimate the similarity of a pair, and
    components of pairs with an estimate of at least one half are families;
@@ -13,21 +16,25 @@ of their union, so a pair is worth checking only if it shares half of them:
    texts that are alike but not linked, so the pairs that go to verification are those
    that meet under the rarest shingles of both whole sets, early enough to link.
 
-Sketches of sets of up to k shingles are the whole sets, and nothing is left to chance.
+Sketches of sets of up to k shingles are the whole sets, and nothing is left to chance:
+the shingles that two linked sets do not share cut the shared ones into so few pieces that
+one is a window, of two values where the sets are very small (``window_sizes``).
 Above, a link at the least similarity of 0.8 fails the estimate with a probability below
-1e-9 (binomial tail: 96 draws at 0.8 giving less than 48), and one above it more seldom.
+1e-9 (binomial tail: 96 draws at 0.8 giving less than 48), and one above it more seldom; it
+shares fewer windows than are asked for with one below LOSS (``likely_windows``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainrisk.llm.arrays import longs, text_chunks
+from chainrisk.llm.arrays import longs, mix, text_chunks
 from chainrisk.llm.components import spread_join
 from chainrisk.llm.jaccard_join import in_reach, set_digest, shingle_sets, verified
 from chainrisk.llm.levels import corpus_levels, level_of
@@ -36,10 +43,13 @@ from chainrisk.sources.staging import release, stage
 
 #: Retained values of a sketch.
 RETAINED = 96
-#: Lists in which a pair must meet, if its sizes do not ask for fewer.
-OVERLAP = 12
-#: Least counts of a "repeated", a "frequent" and a "very frequent" retained value.
+#: Retained values of a window.
+RUN = 3
+#: Probability below which a link at the least similarity shares fewer windows than are asked for.
+LOSS = 1e-10
+#: Least counts of a "repeated", a "frequent" and a "very frequent" window or shingle.
 STEPS = (2, 16, 256)
+_TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sketch_of(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -58,36 +68,88 @@ def least_overlap(n: int, k: int, percent: int) -> int:
     return -(-min(n, k) // 2)
 
 
-def _retained(batches: Iterable[pa.RecordBatch], size: int, k: int) -> Iterator[np.ndarray]:
+def _unions(n: int, percent: int) -> list[tuple[int, int]]:
+    """Size of the union, and how many of it are not shared at most, where a set of ``n`` links to a different one."""
+    sizes = [(u, u * (100 - percent) // 100) for u in range(n, n * 100 // percent + 1)]
+    return [(u, missing) for u, missing in sizes if missing]
+
+
+@lru_cache(maxsize=None)
+def window_sizes(n: int, percent: int) -> tuple[int, ...]:
+    """Lengths of the windows of a set of ``n``: RUN, and less where linked sets may share no run of RUN.
+
+    Both sets of a link take the length that the size of their union asks for.
+    """
+    if n > RETAINED:
+        return (RUN,)
+    # What is not shared cuts the shared ones of a union into pieces, one more at most.
+    return tuple(sorted({min(RUN, -(-(u - missing) // (missing + 1))) for u, missing in _unions(n, percent)}))
+
+
+@lru_cache(maxsize=None)
+def likely_windows(k: int, percent: int) -> int:
+    """Windows of RUN shared values among ``k`` draws that are shared with ``percent``, but for a chance of LOSS."""
+    share = percent / 100
+    # Chances by the shared values since the last other one (row) and the windows so far (column).
+    chance = np.zeros((RUN + 1, k))
+    chance[0, 0] = 1
+    for _ in range(k):
+        drawn = np.zeros_like(chance)
+        drawn[0] = chance.sum(axis=0) * (1 - share)
+        drawn[1:RUN] = chance[: RUN - 1] * share
+        drawn[RUN, 1:] = (chance[RUN - 1] + chance[RUN])[:-1] * share
+        chance = drawn
+    return max(1, int(np.searchsorted(np.cumsum(chance.sum(axis=0)), LOSS)))
+
+
+@lru_cache(maxsize=None)
+def least_windows(n: int, k: int, percent: int) -> int:
+    """Windows that a set of ``n`` shares with every set it links to."""
+    likely = likely_windows(k, percent)
+    if n * 100 // percent > k:
+        return likely
+    # A piece of r shared values holds r - RUN + 1 windows.
+    shared = [u - missing - (RUN - 1) * (missing + 1) for u, missing in _unions(n, percent)]
+    return max(1, min([likely, *shared]))
+
+
+def windows(sketch: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Hashes of the windows of a sketch of a set of ``n``."""
+    out = [sketch[:0]]
+    for length in window_sizes(n, percent):
+        many = max(0, len(sketch) - length + 1)
+        key = np.full(many, np.uint64(length))
+        for at in range(length):
+            key = mix(key * _TURN + sketch[at : at + many])
+        out.append(key)
+    return np.concatenate(out)
+
+
+def _windows(batches: Iterable[pa.RecordBatch], size: int, percent: int, k: int) -> Iterator[np.ndarray]:
     for _, data, offsets in text_chunks(batches):
-        yield np.concatenate([sketch_of(s, k) for s in shingle_sets(data, offsets, size)])
+        yield np.concatenate([windows(sketch_of(s, k), len(s), percent) for s in shingle_sets(data, offsets, size)])
 
 
 def _sketched(batches: Iterable[pa.RecordBatch], table: object, size: int, percent: int, k: int) -> Iterator[pa.RecordBatch]:
     empty = np.zeros(0, np.uint64)
     for rows, data, offsets in text_chunks(batches):
-        sizes, classes, least, starts, listed, sketches = [], [], [], [], [], []
+        sizes, classes, listed, sketches = [], [], [], []
         for s in shingle_sets(data, offsets, size):
             n, sketch = len(s), sketch_of(s, k)
-            need = least_overlap(n, k, percent)
-            level = level_of(table.value, sketch)
-            reach = min(len(sketch), len(sketch) - need + OVERLAP) if n else 0
-            order = np.argsort(level << np.uint64(62) | sketch >> np.uint64(1), kind="stable")[:reach]
-            met = order[level[order] > 0]
-            some = len(met) > 0
+            need = least_windows(n, k, percent)
+            found = windows(sketch, n, percent)
+            level = level_of(table.value, found)
+            some = np.count_nonzero(level) >= need
+            order = np.argsort(level << np.uint64(62) | found >> np.uint64(2), kind="stable")[: len(found) - need + 1]
             sizes.append(n)
-            least.append(need)
-            starts.append(reach - len(met))
-            classes.append(set_digest(s) if some else None)
-            listed.append(sketch[met])
+            # Equal sets share all windows; a set without enough of them equals others only.
+            classes.append(set_digest(s) if n and (some or len(found) < need) else None)
+            listed.append(found[order[level[order] > 0]] if some else empty)
             sketches.append(sketch if some else empty)
         yield pa.record_batch(
-            [
-                rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(least, pa.int64()),
-                pa.array(starts, pa.int64()), longs(listed), longs(sketches),
-            ],
-            ["doc_id", "n", "class", "least", "before", "listed", "sketch"],
-        )
+            [rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), longs(listed), longs(sketches)],
+            ["doc_id", "n", "class", "listed", "sketch"],
+        )
 
 
 def _class_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -152,27 +214,22 @@ def sketch_copies(docs: DataFrame, size: int = 2, percent: int = 80, k: int = RE
         raise ValueError("percent must be at least 75, or the estimate loses links, and at most 100")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = texts.where("doc_id is not null")
-    table = corpus_levels(named.select("text"), lambda it: _retained(it, size, k), STEPS)
+    table = corpus_levels(named.select("text"), lambda it: _windows(it, size, percent, k), STEPS)
     rows = stage(
         texts.mapInArrow(
             lambda it: _sketched(it, table, size, percent, k),
-            "doc_id bigint, n bigint, class binary, least bigint, before bigint, listed array<bigint>, sketch array<bigint>",
+            "doc_id bigint, n bigint, class binary, listed array<bigint>, sketch array<bigint>",
         ),
         "sketches",
     )
     table.unpersist()
-    first = [F.first(c).alias(c) for c in ("n", "least", "before", "listed", "sketch")]
+    first = [F.first(c).alias(c) for c in ("n", "listed", "sketch")]
     met = rows.withColumnRenamed("class", "digest").where("digest is not null and doc_id is not null")
     found = met.groupBy("digest").agg(F.min("doc_id").alias("low"), *first)
     # Digests do not compress: from here on a class is a number.
     classes = stage(found.withColumn("class", F.monotonically_increasing_id()), "classes")
 
-    # Values after this one in the whole sketch, by rarity.
-    after = F.size("sketch") - F.col("before") - F.col("at") - 1
-    entries = classes.select("*", F.posexplode("listed").alias("at", "token")).select(
-        "token", F.col("class").alias("group"), F.col("class").alias("head"), "n", "least", after.alias("after")
-    )
-    possible = F.least("after1", "after2") + OVERLAP >= F.greatest("least1", "least2")
+    entries = classes.select(F.explode("listed").alias("token"), F.col("class").alias("group"), F.col("class").alias("head"), "n")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         tried = of_pairs(classes.select("class", "sketch"), pairs)
@@ -183,7 +240,7 @@ def sketch_copies(docs: DataFrame, size: int = 2, percent: int = 80, k: int = RE
         return likely
 
     member = classes.select(F.col("class").alias("group"), "class")
-    likely = linked_parts(entries, member, estimated, percent, possible, OVERLAP)
+    likely = linked_parts(entries, member, estimated, percent, F.lit(True))
     several = likely.groupBy("part").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     family = stage(spread_join(likely, several, "part", "class").where("k is not null").select("class", "part"), "families")
 

@@ -106,6 +106,35 @@ def test_estimate_keeps_links_at_the_least_similarity():
     assert lost == 0
 
 
+@pytest.mark.parametrize("percent", [75, 80, 95])
+def test_links_share_enough_windows(percent):
+    rng = np.random.default_rng(percent)
+    k = bottom_k.RETAINED
+    for union in [*range(2, 130), 400, 1000]:
+        missing = union * (100 - percent) // 100
+        for _ in range(40 if missing else 0):
+            pool = rng.permutation(np.sort(rng.integers(0, 1 << 62, union, dtype=np.uint64)))
+            cut = rng.integers(0, missing + 1)
+            one, two, shared = pool[:cut], pool[cut:missing], pool[missing:]
+            a, b = np.sort(np.append(shared, one)), np.sort(np.append(shared, two))
+            met = np.intersect1d(bottom_k.windows(a[:k], len(a), percent), bottom_k.windows(b[:k], len(b), percent))
+            assert len(met) >= max(1, min(bottom_k.least_windows(len(x), k, percent) for x in (a, b)))
+
+
+def test_common_shingles_do_not_fill_lists(spark, tmp_path):
+    """Unlike texts of a small vocabulary, one line in all of them: hardly any two meet in a list."""
+    rng = random.Random(11)
+    line, k = " ".join(f"line{i}" for i in range(20)), bottom_k.RETAINED
+    rows = [(i, f"{line} " + " ".join(f"w{rng.randrange(120)}" for _ in range(150))) for i in range(400)]
+    docs_of(spark, rows).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    table = levels.corpus_levels(docs.select("text"), lambda it: bottom_k._windows(it, 2, 80, k), bottom_k.STEPS)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])
+    listed = [x for out in bottom_k._sketched([batch], table, 2, 80, k) for x in out.column("listed").flatten().to_pylist()]
+    _, lengths = np.unique(listed, return_counts=True)
+    assert (lengths**2).sum() < 20 * len(rows)
+
+
 # -- spelling ----------------------------------------------------------------
 
 
