@@ -354,3 +354,22 @@ def test_distinct_sales_are_dealt_once_for_the_first_join(spark):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(GVKEY1#" in plan
     assert not re.search(r"hashpartitioning\(GVKEY1#\d+L?, GVKEY2#", plan)
+
+
+def test_names_are_reduced_before_quarters_are_spread(spark):
+    rows = [
+        (1, 2, "SUPPLIER", "1996-01-15", "1997-02-01", "Acme Inc.", "Zeta Corp.", "123456789", None, None, "US2"),
+        (1, 2, "SUPPLIER", "1996-05-15", "4000-01-01", "ACME", "Zeta", "123456789", None, None, "US2"),
+        (3, 4, "CUSTOMER", "1996-01-15", "1998-02-01", None, "Omega Ltd.", None, None, None, "US4"),
+    ]
+    ids = [f"{side}_{kind} string" for kind in ("name", "cusip", "isin") for side in ("SOURCE", "TARGET")]
+    schema = ", ".join(["source_company_id long, target_company_id long, rel_type string, start_ string, end_ string", *ids])
+    relations = spark.createDataFrame(rows, schema)
+    study = (1995, 2001, "2001-12-31")
+    want = P.with_any_identifier(P.panel_expand(relations, *study))
+    got = P.identified_panel(relations, *study)
+    sort = lambda df: sorted(map(str, df.select(*want.columns).collect()))
+    assert got.columns == want.columns and sort(got) == sort(want) and len(sort(got)) > 20
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("regexp_replace") > plan.rindex("Generate")
+    assert "regexp_replace" not in plan[: plan.rindex("Generate")]
