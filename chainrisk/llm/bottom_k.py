@@ -4,11 +4,13 @@ One hash function orders all word shingles; the sketch of a text is the k smalle
 hashes of its set.  Two texts of similarity J share about J of the k smallest hashes
 of their union, so a pair is worth checking only if it shares half of them:
 
-1. equal sets are one class; each class is listed under its windows: RUN retained values
-   that follow each other in the order of the hashes.  A value alone is in as many sketches
-   as there are texts with a common shingle, so that its list would meet in the square of
-   the corpus; a window is shared by texts that are alike, and few others.  Linked texts
-   share several windows, so each leaves out all but one of that number, the most frequent;
+1. equal sets are one class; each class is listed under its windows: RUN of its smallest
+   values that follow each other in the order of the hashes.  A value alone is in as many
+   sketches as there are texts with a common shingle, so that its list would meet in the
+   square of the corpus; a window is shared by texts that are alike, and few others.  Linked
+   texts share many windows, so each leaves out all but one of that number, the most frequent:
+   those of a passage that very many texts share.  The number grows faster than the values
+   that are taken, so windows take more of them (LISTED) than the estimate (RETAINED);
 2. the lists generate pairs and their overlaps, families by pivots (``linking``);
 3. the k smallest of both sketches together estimate the similarity of a pair, and
    components of pairs with an estimate of at least one half are families;
@@ -18,7 +20,8 @@ of their union, so a pair is worth checking only if it shares half of them:
 
 Sketches of sets of up to k shingles are the whole sets, and nothing is left to chance:
 the shingles that two linked sets do not share cut the shared ones into so few pieces that
-one is a window, of two values where the sets are very small (``window_sizes``).
+a known number of windows stays whole (``least_windows``), of two values where the sets are
+very small (``window_sizes``).
 Above, a link at the least similarity of 0.8 fails the estimate with a probability below
 1e-9 (binomial tail: 96 draws at 0.8 giving less than 48), and one above it more seldom; it
 shares fewer windows than are asked for with one below LOSS (``likely_windows``).
@@ -43,7 +46,9 @@ from chainrisk.sources.staging import release, stage
 
 #: Retained values of a sketch.
 RETAINED = 96
-#: Retained values of a window.
+#: Smallest values of a set that windows are made of.
+LISTED = 192
+#: Values of a window.
 RUN = 3
 #: Probability below which a link at the least similarity shares fewer windows than are asked for.
 LOSS = 1e-10
@@ -104,13 +109,12 @@ def likely_windows(k: int, percent: int) -> int:
 
 @lru_cache(maxsize=None)
 def least_windows(n: int, k: int, percent: int) -> int:
-    """Windows that a set of ``n`` shares with every set it links to."""
-    likely = likely_windows(k, percent)
+    """Windows among the ``k`` smallest values that a set of ``n`` shares with every other set it links to."""
     if n * 100 // percent > k:
-        return likely
-    # A piece of r shared values holds r - RUN + 1 windows.
+        return likely_windows(k, percent)
+    # Both sets are whole.  A piece of r shared values holds r - RUN + 1 windows.
     shared = [u - missing - (RUN - 1) * (missing + 1) for u, missing in _unions(n, percent)]
-    return max(1, min([likely, *shared]))
+    return max(1, min(shared, default=1))
 
 
 def windows(sketch: np.ndarray, n: int, percent: int) -> np.ndarray:
@@ -130,14 +134,17 @@ def _windows(batches: Iterable[pa.RecordBatch], size: int, percent: int, k: int)
         yield np.concatenate([windows(sketch_of(s, k), len(s), percent) for s in shingle_sets(data, offsets, size)])
 
 
-def _sketched(batches: Iterable[pa.RecordBatch], table: object, size: int, percent: int, k: int) -> Iterator[pa.RecordBatch]:
+def _sketched(
+    batches: Iterable[pa.RecordBatch], table: object, size: int, percent: int, k: int, retained: int = RETAINED
+) -> Iterator[pa.RecordBatch]:
+    """Set size, class, listed windows of the ``k`` smallest values, and sketch of each text."""
     empty = np.zeros(0, np.uint64)
     for rows, data, offsets in text_chunks(batches):
         sizes, classes, listed, sketches = [], [], [], []
         for s in shingle_sets(data, offsets, size):
-            n, sketch = len(s), sketch_of(s, k)
+            n = len(s)
             need = least_windows(n, k, percent)
-            found = windows(sketch, n, percent)
+            found = windows(sketch_of(s, k), n, percent)
             level = level_of(table.value, found)
             some = np.count_nonzero(level) >= need
             order = np.argsort(level << np.uint64(62) | found >> np.uint64(2), kind="stable")[: len(found) - need + 1]
@@ -145,7 +152,7 @@ def _sketched(batches: Iterable[pa.RecordBatch], table: object, size: int, perce
             # Equal sets share all windows; a set without enough of them equals others only.
             classes.append(set_digest(s) if n and (some or len(found) < need) else None)
             listed.append(found[order[level[order] > 0]] if some else empty)
-            sketches.append(sketch if some else empty)
+            sketches.append(sketch_of(s, retained) if some else empty)
         yield pa.record_batch(
             [rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), longs(listed), longs(sketches)],
             ["doc_id", "n", "class", "listed", "sketch"],
@@ -198,7 +205,7 @@ def alike(a: str, b: str, k: int) -> Column:
     return common * 2 >= F.size(union)
 
 
-def sketch_copies(docs: DataFrame, size: int = 2, percent: int = 80, k: int = RETAINED) -> DataFrame:
+def sketch_copies(docs: DataFrame, size: int = 2, percent: int = 80, k: int = RETAINED, listed: int = LISTED) -> DataFrame:
     """Columns doc_id, n_shingles, component_id, kept: components of texts linked by similarity.
 
     Two texts link when 100 |A and B| >= percent |A or B| for their sets of ``size``-word
@@ -208,16 +215,17 @@ def sketch_copies(docs: DataFrame, size: int = 2, percent: int = 80, k: int = RE
     and link with nothing; repeated rows stay repeated, and rows that share their doc_id
     are kept or not together.  A row without doc_id takes no part: component_id null, kept.
     Ties do not arise, an empty table gives an empty result, other columns are ignored.
+    ``k`` values of a set estimate similarities, windows are made of ``listed``.
     Runs jobs and stages tables.
     """
     if not 75 <= percent <= 100:
         raise ValueError("percent must be at least 75, or the estimate loses links, and at most 100")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = texts.where("doc_id is not null")
-    table = corpus_levels(named.select("text"), lambda it: _windows(it, size, percent, k), STEPS)
+    table = corpus_levels(named.select("text"), lambda it: _windows(it, size, percent, listed), STEPS)
     rows = stage(
         texts.mapInArrow(
-            lambda it: _sketched(it, table, size, percent, k),
+            lambda it: _sketched(it, table, size, percent, listed, k),
             "doc_id bigint, n bigint, class binary, listed array<bigint>, sketch array<bigint>",
         ),
         "sketches",
@@ -255,8 +263,8 @@ def sketch_copies(docs: DataFrame, size: int = 2, percent: int = 80, k: int = RE
     prefixes = sets.mapInArrow(
         lambda it: _set_prefixes(it, table, percent), "class bigint, n bigint, before bigint, listed array<bigint>"
     )
-    listed = prefixes.select("class", "n", "before", F.posexplode("listed").alias("at", "shingle")).join(family, "class")
-    entries = listed.select(
+    spread = prefixes.select("class", "n", "before", F.posexplode("listed").alias("at", "shingle")).join(family, "class")
+    entries = spread.select(
         F.xxhash64("part", "shingle").alias("token"), F.col("class").alias("group"), F.col("class").alias("head"), "n",
         (F.col("before") + F.col("at")).alias("rank"),
     )

@@ -135,6 +135,37 @@ def test_common_shingles_do_not_fill_lists(spark, tmp_path):
     assert (lengths**2).sum() < 20 * len(rows)
 
 
+@pytest.mark.parametrize("percent", [75, 80, 95])
+def test_links_share_enough_windows_of_listed_values(percent):
+    rng = np.random.default_rng(percent)
+    k = bottom_k.LISTED
+    for union in [*range(130, 270, 7), 400, 1000]:
+        missing = union * (100 - percent) // 100
+        for _ in range(40):
+            pool = rng.permutation(np.sort(rng.integers(0, 1 << 62, union, dtype=np.uint64)))
+            cut = rng.integers(0, missing + 1)
+            one, two, shared = pool[:cut], pool[cut:missing], pool[missing:]
+            a, b = np.sort(np.append(shared, one)), np.sort(np.append(shared, two))
+            met = np.intersect1d(bottom_k.windows(a[:k], len(a), percent), bottom_k.windows(b[:k], len(b), percent))
+            assert len(met) >= max(bottom_k.least_windows(len(x), k, percent) for x in (a, b))
+
+
+def test_a_common_passage_does_not_fill_lists(spark, tmp_path):
+    """Half of every text is one passage, the rest unlike: with LISTED values hardly any two meet in a list."""
+    rng = random.Random(12)
+    passage = " ".join(f"passage{i}" for i in range(90))
+    rows = [(i, f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(95))) for i in range(400)]
+    docs_of(spark, rows).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])
+    met = {}
+    for k in (bottom_k.RETAINED, bottom_k.LISTED):
+        table = levels.corpus_levels(docs.select("text"), lambda it: bottom_k._windows(it, 2, 80, k), bottom_k.STEPS)
+        out = [x for b in bottom_k._sketched([batch], table, 2, 80, k) for x in b.column("listed").flatten().to_pylist()]
+        met[k] = int((np.unique(out, return_counts=True)[1] ** 2).sum())
+    assert met[bottom_k.LISTED] < len(rows) < met[bottom_k.RETAINED]
+
+
 # -- spelling ----------------------------------------------------------------
 
 
