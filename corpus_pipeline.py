@@ -7,7 +7,7 @@
 5. pieces: texts become merge pieces with seeded dropout.
 
 All stages but the last return the columns of ``documents`` they were given; source_mix
-adds the number and the key of each copy.
+adds the number and the key of each copy where the table has no columns of these names.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ from chainrisk.llm.source_mixing import poisson_mix, tempered_weights
 from chainrisk.llm.suffix_dedup import cut_repeats
 from chainrisk.sources.staging import release_paths, stage, staged
 
+#: What source_mix adds: a copy's number and its place in the order.
+MIXED = ("mix_copy", "mix_key")
+
 
 def _numbered(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` but the text under names that no operator uses."""
@@ -102,20 +105,25 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources repeated towards weights by the square root of their size, in a random order.
 
     ``mix_copy`` and ``mix_key`` (a copy's number and its place in the order) travel on
-    behind the columns of ``docs``.
+    behind the columns of ``docs``.  A table that brings a column of either name keeps its
+    own columns and gets neither.
     """
-    return poisson_mix(docs, tempered_weights(docs))
+    if not set(MIXED) & set(docs.columns):
+        return poisson_mix(docs, tempered_weights(docs))
+    keys = ("doc_id", "source")
+    rows = docs.select(*keys, *(F.col(c).alias(f"p_{i}") for i, c in enumerate(docs.columns) if c not in keys))
+    mixed = poisson_mix(rows, tempered_weights(rows))
+    return mixed.select(*(F.col(c if c in keys else f"p_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang and source with the pieces of each text; copies of a document are drawn apart.
 
     Copies are told apart by ``mix_copy``, which is kept with ``mix_key``, as is the order
-    of ``docs``.  Rows that were not mixed are numbered here, which shuffles them.
+    of ``docs``.  Rows without these two are numbered here, which shuffles them.
     """
-    if "mix_copy" in docs.columns:
-        mixed = tuple(c for c in ("mix_copy", "mix_key") if c in docs.columns)
-        return encode_documents(docs, carry=("doc_id", "lang", "source", *mixed), copy="mix_copy")
+    if set(MIXED) <= set(docs.columns):
+        return encode_documents(docs, carry=("doc_id", "lang", "source", *MIXED), copy="mix_copy")
     alike = Window.partitionBy("doc_id", "lang", "source", F.xxhash64("text")).orderBy(F.lit(0))
     copies = docs.select("doc_id", "lang", "source", "text", F.row_number().over(alike).alias("copy"))
     return encode_documents(copies, carry=("doc_id", "lang", "source"), copy="copy")

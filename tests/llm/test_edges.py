@@ -132,3 +132,20 @@ def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
             frame = spark.createDataFrame(out.collect(), out.schema)
         else:
             assert all(r.lossless for r in out.collect())
+
+
+def test_mix_stage_keeps_a_column_named_like_its_own(spark, tmp_path):
+    """A table's own mix_copy or mix_key stays as it is; copies are still drawn apart, and alike without the clash."""
+    rows = [(i, "some words of a text to cut into pieces", "en", "ab"[i % 5 == 0], 3) for i in range(40)]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    mixed = corpus_pipeline.mix_stage(spark, plain, str(tmp_path))
+    assert mixed.columns == [*plain.columns, *corpus_pipeline.MIXED]
+    want = ids(mixed)
+    for name in corpus_pipeline.MIXED:
+        own = plain.withColumn(name, F.concat(F.lit("own"), "doc_id"))
+        out = corpus_pipeline.mix_stage(spark, own, str(tmp_path))
+        assert out.columns == own.columns and ids(out) == want
+        assert all(r[name] == f"own{r.doc_id}" for r in out.collect())
+        pieces = corpus_pipeline.piece_stage(spark, out, str(tmp_path))
+        assert ids(pieces) == want
+        assert len({(r.doc_id, tuple(r.ids)) for r in pieces.collect()}) > len(set(want))
