@@ -7,6 +7,8 @@ tries several members of the list's largest part, and what a list still holds ou
 largest part meets the whole list.  Pairs inside a part are not enumerated; every link
 between two parts is checked.  Lists are read once with the parts that the pivots left
 (``first``); only those that are long or hold a large part are read again after each turn.
+Turns end when the whole lists would make no more pairs than there are entries, or when a turn
+has hardly lowered that number; they are shortcuts only, so none of this changes a link.
 """
 
 from __future__ import annotations
@@ -96,16 +98,21 @@ def linked_parts(
     parts = _merged(alone, verify(stage(tries, "tries"))).withColumn("first", F.col("part"))
     listed = stage(entries.join(parts.select("group", "first", "part").distinct(), "group"), "listed")
     open_lists = _open_lists(listed)
+    read = listed.count()
     release(listed)
     short = (F.col("held") < PIVOTS) & (F.col("length") <= SHORT_LIST)
     settled, busy = open_lists.where(short), open_lists.where(~short)
+    last = None
     for turn in range(PIVOT_TURNS):
-        draws = [F.min_by("head", F.xxhash64("head", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS - 1)]
-        draws.append(F.max_by("head", F.struct("weight", "head")))
         # Where the largest part is small, meeting the whole list costs no more.
         large = busy.where(F.col("held") >= PIVOTS)
-        if large.isEmpty():
+        left = large.where("part <> main").agg(F.sum("length")).first()[0] or 0
+        # No turn where whole lists make no more pairs than entries, or the last one closed few.
+        if left <= read or (last is not None and left * 10 > last * 9):
             break
+        last = left
+        draws = [F.min_by("head", F.xxhash64("head", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS - 1)]
+        draws.append(F.max_by("head", F.struct("weight", "head")))
         chosen = large.where("part = main").groupBy("token").agg(F.array_distinct(F.array(*draws)).alias("heads"))
         rest = large.where("part <> main").select("token", "group", "part")
         tries = (

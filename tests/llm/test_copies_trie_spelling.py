@@ -166,6 +166,27 @@ def test_a_common_passage_does_not_fill_lists(spark, tmp_path):
     assert met[bottom_k.LISTED] < len(rows) < met[bottom_k.RETAINED]
 
 
+def test_no_turns_where_whole_lists_are_short(spark):
+    """One class outside the large part of a list meets the list at once, and links are still found there."""
+    rows = [(1, c) for c in range(12)] + [(2, c) for c in (3, 20, 21, 22)] + [(3, 20), (3, 21)]
+    entries = spark.createDataFrame(rows, "token bigint, group bigint").selectExpr("*", "group AS head", "10L AS n")
+    member = entries.selectExpr("group", "group AS class").distinct()
+    true = {(a, b) for a in range(11) for b in range(11)} | {(3, 22), (22, 3), (20, 21), (21, 20)}
+    tried = []
+
+    def verify(pairs):
+        tried.append(pairs.count())
+        found = [(r.a, r.b) for r in pairs.collect() if (r.a, r.b) in true]
+        return spark.createDataFrame(found, "a bigint, b bigint")
+
+    parts = linking.linked_parts(entries, member, verify, 80, F.lit(True)).collect()
+    groups = {}
+    for r in parts:
+        groups.setdefault(r.part, set()).add(r["class"])
+    assert sorted(map(sorted, groups.values())) == [[*range(11), 22], [11], [20, 21]]
+    assert len(tried) == 2
+
+
 # -- spelling ----------------------------------------------------------------
 
 
